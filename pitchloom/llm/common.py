@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +66,16 @@ def id_text(docs: DataFrame) -> DataFrame:
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit shuffle: what the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def known_to_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    Enough where the hosts share the folder. Elsewhere ship the package with
+    ``--py-files``; then this changes nothing.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])

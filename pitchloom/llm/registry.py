@@ -6,15 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchloom.llm import op9
+from pitchloom.llm import op1, op3, op6, op7, op9, op10
+from pitchloom.llm.common import known_to_workers
 
 QUERIES = {
+    "op1_pfor_token_ids": op1,
+    "op3_simhash": op3,
+    "op6_pattern_packing": op6,
+    "op7_language_bitmask": op7,
     "op9_bpe_automaton": op9,
+    "op10_secret_links": op10,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.run for name, module in QUERIES.items()}
+    def with_package(run):
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            known_to_workers(spark)
+            return run(spark, sf_dir)
+
+        return query
+
+    return {name: with_package(module.run) for name, module in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
