@@ -321,3 +321,18 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
     component = named.select("c", "root").join(smallest, "root").select("c", "component")
     out = found.join(component, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that with the least ``doc_id``.
+
+    Documents without words are no copies of each other and stay, as do rows with a
+    null ``doc_id``. Of rows that agree in id and text one stays.
+    """
+    found = join(docs, words, percent).where("doc_id is not null")
+    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("doc_id", "_id"), "kept")
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    out = named.join(kept.select("_id"), "_id", "left_semi")
+    if not kept.where("m > 1").isEmpty():
+        out = out.dropDuplicates(["_id", "text"])
+    return out.unionByName(named.where("_id is null")).select(docs.columns)
