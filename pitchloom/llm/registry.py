@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchloom.llm import op1, op3, op4, op5, op6, op7, op9, op10
+from pitchloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10
 from pitchloom.llm.common import known_to_workers
 
 QUERIES = {
     "op1_pfor_token_ids": op1,
+    "op2_nn_descent": op2,
     "op3_simhash": op3,
     "op4_divide_skip": op4,
     "op5_level_doubling": op5,
     "op6_pattern_packing": op6,
     "op7_language_bitmask": op7,
+    "op8_chat_windows": op8,
     "op9_bpe_automaton": op9,
     "op10_secret_links": op10,
 }
