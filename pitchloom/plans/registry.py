@@ -1,19 +1,772 @@
-"""Registry of the core queries and their DuckDB oracles."""
+"""Registry of the core queries and their DuckDB oracles.
+
+Queries run on the generic tables through the adapters, with parameters that suit
+them: 12 bins, runs of 2 frames, small margins. Values are rounded here only.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from pitchloom.functions import names as G
+from pitchloom.functions import pitch
+from pitchloom.operators import decide, evaluate, features, gate, models, quality, scoring, stats, tonic
+from pitchloom.params import UNKNOWN, Params
+from pitchloom.plans.oracle import loo, q
+from pitchloom.sources import adapters, listing, sinks
+from pitchloom.sources.adapters import table
+
+P = Params().but(n_bins=12, min_stable=2, min_voiced=20, margin_strict=8e-4, margin_min=2e-4)
+V = Params().but(n_bins=64, margin_strict=6e-5, margin_min=2e-5)
+SA = 100.0
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r(c, n: int = 6):
+    """A double, rounded for comparison; -0 becomes 0."""
+    name = c if isinstance(c, str) else None
+    out = F.round(F.col(c) if name else c, n) + F.lit(0.0)
+    return out.alias(name) if name else out
+
+
+# --- inputs -----------------------------------------------------------------------
+
+
+def _frames(spark, d):
+    return adapters.frames(table(spark, d, "events"))
+
+
+def _folded(spark, d):
+    return tonic.folded(_frames(spark, d), sa=SA)
+
+
+def _pcd(spark, d):
+    return features.histogram(_folded(spark, d), P)
+
+
+def _runs(spark, d):
+    return features.runs(features.binned(_folded(spark, d), P))
+
+
+def _dyads(spark, d):
+    return features.dyads(features.transitions(_runs(spark, d), P))
+
+
+def _parts(spark, d):
+    """Histograms, transition counts and totals of the clips."""
+    folded = _folded(spark, d)
+    bins = features.binned(folded, P)
+    counts = features.dyads(features.transitions(features.runs(bins), P))
+    return features.histogram(folded, P), counts, features.dyad_totals(bins, counts, P)
+
+
+def _scores(spark, d, p=P):
+    pcd, counts, totals = _parts(spark, d)
+    model = models.models(pcd, p)
+    cells, scalars = models.dyad_models(counts, totals, models.clip_counts(pcd), p)
+    sims = scoring.pcd_similarity(pcd, model, p, "weighted", models.weights(model, p))
+    return scoring.blend(sims, scoring.dyad_similarity(counts, totals, cells, scalars, p), p)
+
+
+def _vectors(spark, d):
+    return adapters.vectors(table(spark, d, "embeddings"))
+
+
+def _loo(spark, d):
+    return evaluate.outcomes(evaluate.loo_scores(_vectors(spark, d), V), V)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Frames to decisions: estimated tonics, models of the gated clips, scores, margins and tiers."""
+    frames = _frames(spark, sf_dir)
+    p = P.but(min_clips=1)
+    folded = tonic.folded(frames, tonic.tonic(frames, p))
+    trained = features.histogram(gate.gated_cents(gate.gate(folded, p)), p, p.eps)
+    pcd = features.histogram(folded, p)
+    model = models.models(trained, p)
+    sims = scoring.pcd_similarity(pcd, model, p, "weighted", models.weights(model, p))
+    return decide.decisions(scoring.blend(sims, None, p), frames.select("clip_id"), p).select("clip_id", "final", r("margin"), "confidence_tier")
+
+
+# --- pitch, histograms, transitions -------------------------------------------------
+
+
+@query(q("SELECT clip_id, raga, bin, round(p, 6) AS p FROM pcd", "pcd"))
+def pcd_by_clip(spark, d):
+    return _pcd(spark, d).select("clip_id", "raga", "bin", r("p"))
+
+
+_TONIC = dict(
+    v="SELECT clip_id, f0, min(f0) OVER (PARTITION BY clip_id) AS lo, max(f0) OVER (PARTITION BY clip_id) AS hi FROM frames WHERE f0 IS NOT NULL",
+    h="SELECT clip_id, lo, hi, least(floor((f0 - lo) * 200 / (hi - lo)), 199) AS b, count(*) AS c FROM v GROUP BY ALL",
+    k="SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY c DESC, b DESC) AS peak FROM h",
+    o="SELECT clip_id, peak, m, (lo + (b + 0.5) * (hi - lo) / 200) * x AS hz FROM k, (VALUES (0, 0.5), (1, 1.0), (2, 2.0)) t(m, x) WHERE peak <= 5",
+    s="SELECT o.clip_id, peak, m, hz, sum(CASE WHEN abs(1200 * log2(f0 / hz)) < 50 THEN 1 ELSE 0 END) AS score FROM o JOIN v USING (clip_id) WHERE hz BETWEEN 80 AND 400 GROUP BY ALL",
+    t="SELECT clip_id, hz AS sa, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY score DESC, peak DESC, m) AS rn FROM s) WHERE rn = 1 AND clip_id IN (SELECT clip_id FROM v GROUP BY clip_id HAVING count(*) >= 20)",
+)
+
+
+@query(q("SELECT clip_id, round(sa, 6) AS sa, score FROM t", "frames", **_TONIC))
+def tonic_by_clip(spark, d):
+    return tonic.tonic(_frames(spark, d), P).select("clip_id", r("sa"), "score")
+
+
+@query(q("SELECT clip_id, round(median(f0), 6) AS sa FROM frames WHERE f0 IS NOT NULL GROUP BY clip_id", "frames"))
+def tonic_median(spark, d):
+    return tonic.median_tonic(_frames(spark, d)).select("clip_id", r("sa"))
+
+
+@query(q("SELECT clip_id, round(lo + (b + 0.5) * (hi - lo) / 200, 6) AS sa FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY c DESC, b) AS rn FROM h) WHERE rn = 1", "frames", v=_TONIC["v"], h=_TONIC["h"]))
+def tonic_peak(spark, d):
+    return tonic.peak_tonic(_frames(spark, d), P).select("clip_id", r("sa"))
+
+
+_NEAR = "SELECT clip_id, frame_idx, CASE WHEN least(cents, 1200 - cents) < 50 THEN 1.0 ELSE 0.0 END AS near FROM folded WHERE f0 IS NOT NULL"
+
+
+@query(q("SELECT clip_id, round(avg(near), 6) AS density, round(coalesce(avg(near * nxt), 0), 6) AS continuity, round(0.7 * avg(near) + 0.3 * coalesce(avg(near * nxt), 0), 6) AS score FROM (SELECT *, lead(near) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS nxt FROM nr) GROUP BY clip_id", "folded", nr=_NEAR))
+def tonic_validation(spark, d):
+    frames = _frames(spark, d)
+    fixed = frames.select("clip_id").distinct().withColumn("sa", F.lit(SA))
+    return tonic.validated(frames, fixed).select("clip_id", r("density"), r("continuity"), r("score"))
+
+
+_GATE = dict(
+    g="SELECT *, coalesce(cents, 0) AS g, count(*) OVER (PARTITION BY clip_id) AS n FROM folded",
+    ok="""SELECT *, frame_idx < n - 10 AND avg(CASE WHEN voiced THEN 1.0 ELSE 0.0 END) OVER (w ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) >= 0.6
+       AND abs(avg(g) OVER (w ROWS BETWEEN 5 FOLLOWING AND 9 FOLLOWING) - avg(g) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) < 60 AS ok FROM g WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)""",
+    kept="SELECT a.*, EXISTS (SELECT 1 FROM ok b WHERE b.clip_id = a.clip_id AND b.ok AND b.frame_idx BETWEEN a.frame_idx - 9 AND a.frame_idx) AS kept FROM ok a",
+)
+
+
+@query(q("SELECT clip_id, CAST(sum(CASE WHEN kept THEN 1 ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN voiced THEN 1 ELSE 0 END) AS BIGINT) AS voiced, round(sum(CASE WHEN kept THEN 1 ELSE 0 END) / (sum(CASE WHEN voiced THEN 1 ELSE 0 END) + 1e-8), 6) AS gating_ratio FROM kept GROUP BY clip_id", "folded", **_GATE))
+def stability_gate(spark, d):
+    p = P.but(drift=60.0)
+    return gate.ratios(gate.gate(_folded(spark, d), p), p).select("clip_id", "kept", "voiced", r("gating_ratio"))
+
+
+@query(q("SELECT clip_id, round(sum(CASE WHEN voiced THEN 1 ELSE 0 END) / count(*), 6) AS gating_ratio FROM frames GROUP BY clip_id", "frames"))
+def voiced_ratio_ungated(spark, d):
+    rows = _folded(spark, d).withColumn("kept", F.lit(True))
+    return gate.ratios(rows, P, gated_input=False).select("clip_id", r("gating_ratio"))
+
+
+@query(q("SELECT clip_id, bin, len, first FROM stable", "stable"))
+def stable_runs(spark, d):
+    return features.stable(_runs(spark, d), P).select("clip_id", "bin", "len", "first")
+
+
+@query(q('SELECT clip_id, raga, dir, frm, "to", cnt FROM dyads', "dyads"))
+def transitions_directed(spark, d):
+    return _dyads(spark, d)
+
+
+@query(q("""SELECT clip_id, raga, CASE WHEN bin > prv THEN 'up' ELSE 'down' END AS dir, prv AS frm, bin AS "to", count(*) AS cnt FROM (SELECT *, lag(bin) OVER (PARTITION BY clip_id ORDER BY first) AS prv FROM runs) WHERE len >= 2 AND prv <> bin GROUP BY ALL""", "runs"))
+def transitions_variant_b(spark, d):
+    return features.dyads(features.transitions(_runs(spark, d), P, "into"))
+
+
+@query(q("""SELECT clip_id, raga, 'any' AS dir, bin AS frm, nxt AS "to", count(*) AS cnt FROM (SELECT *, lead(bin) OVER (PARTITION BY clip_id ORDER BY pos) AS nxt FROM binned) WHERE nxt IS NOT NULL GROUP BY ALL""", "binned"))
+def transitions_variant_c(spark, d):
+    return features.frame_transitions(features.binned(_folded(spark, d), P))
+
+
+@query(q("""SELECT clip_id, raga, 'any' AS dir, bin AS frm, nxt AS "to", count(*) AS cnt FROM (SELECT *, lead(bin) OVER (PARTITION BY clip_id ORDER BY first) AS nxt FROM runs) WHERE len >= 2 AND nxt IS NOT NULL GROUP BY ALL""", "runs"))
+def transitions_variant_d(spark, d):
+    return features.dyads(features.transitions(_runs(spark, d), P, "out_of"))
+
+
+@query(q("SELECT clip_id, round(sum(CASE WHEN len >= 2 THEN len ELSE 0 END) / sum(len), 6) AS coverage FROM runs GROUP BY clip_id", "runs"))
+def run_coverage(spark, d):
+    return features.coverage(_runs(spark, d), P).select("clip_id", r("coverage"))
+
+
+@query(q('SELECT round(avg(n), 6) AS mean, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS greatest, median(n) AS median, any_value(pairs) AS pairs FROM (SELECT clip_id, sum(cnt) AS n FROM dyads GROUP BY clip_id), (SELECT count(DISTINCT (frm, "to")) AS pairs FROM dyads)', "dyads"))
+def transition_summary(spark, d):
+    return stats.transition_summary(_dyads(spark, d)).select(r("mean"), "least", "greatest", "median", "pairs")
+
+
+@query(q("SELECT alpha, round(avg(n / (n + alpha * 144)), 6) AS signal, round(avg(alpha * 144 / (n + alpha * 144)), 6) AS noise FROM (SELECT clip_id, sum(cnt) AS n FROM dyads GROUP BY clip_id), (VALUES (CAST(0.5 AS DOUBLE)), (0.1), (0.01)) a(alpha) GROUP BY alpha", "dyads"))
+def sweep_smoothing(spark, d):
+    alphas = spark.createDataFrame([(0.5,), (0.1,), (0.01,)], "alpha double")
+    return stats.smoothing_share(_dyads(spark, d), alphas, 12).select("alpha", r("signal"), r("noise"))
+
+
+# --- models and weights ---------------------------------------------------------------
+
+
+@query(q("SELECT raga, bin, round(mean, 6) AS mean, round(std, 6) AS std, clip_count FROM models", "models"))
+def raga_models(spark, d):
+    return models.models(_pcd(spark, d), P).select("raga", "bin", r("mean"), r("std"), "clip_count")
+
+
+@query(q("SELECT raga, count(DISTINCT clip_id) AS clip_count, 5 - count(DISTINCT clip_id) AS deficit FROM pcd GROUP BY raga HAVING count(DISTINCT clip_id) < 5", "pcd"))
+def excluded_ragas(spark, d):
+    return models.excluded(models.clip_counts(_pcd(spark, d)), P)
+
+
+@query(q("SELECT bin, round(weight, 6) AS weight FROM weights", "weights"))
+def idf_variance_weights(spark, d):
+    return models.weights(models.models(_pcd(spark, d), P), P).select("bin", r("weight"))
+
+
+@query(q("SELECT bin, round(ln(n / (df + 1)) + 1, 6) AS weight FROM spread", "spread"))
+def idf_weights(spark, d):
+    return models.weights(models.models(_pcd(spark, d), P), P, "idf").select("bin", r("weight"))
+
+
+@query(q("SELECT bin, round(w / (sum(w) OVER () + 1e-8) * 12, 6) AS weight FROM (SELECT bin, ln(n / (df_old + 1)) / (sd + 1e-8) AS w FROM spread)", "spread"))
+def idf_weights_old(spark, d):
+    return models.weights(models.models(_pcd(spark, d), P), P, "idf_old").select("bin", r("weight"))
+
+
+@query(q('SELECT raga, dir, frm, "to", round(v, 8) AS v FROM mean_matrices', "mean_matrices"))
+def dyad_models_dense(spark, d):
+    pcd, counts, totals = _parts(spark, d)
+    cells, scalars = models.dyad_models(counts, totals, models.clip_counts(pcd), P)
+    axis = F.explode(F.sequence(F.lit(0), F.lit(11)))
+    grid = scalars.withColumn("frm", axis).withColumn("to", axis)
+    return grid.join(cells, ["raga", "dir", "frm", "to"], "left").select("raga", "dir", F.col("frm").cast("long").alias("frm"), F.col("to").cast("long").alias("to"), r(F.coalesce("m", F.lit(0.0)) + P.alpha * F.col("u"), 8).alias("v"))
+
+
+_CLIPS = "SELECT user_id AS clip_id, CAST(user_id % 5 AS INTEGER) AS raga, CASE WHEN user_id % 7 = 0 THEN 'v1.1' WHEN user_id % 11 = 0 THEN NULL ELSE 'v1.2' END AS feature_version, avg(value) / 100 % 0.3 AS gating_ratio, count(*) AS frames FROM events GROUP BY user_id"
+
+
+def _clips(spark, d):
+    rows = table(spark, d, "events").groupBy("user_id").agg((F.avg("value") / 100 % 0.3).alias("gating_ratio"), F.count(F.lit(1)).alias("frames"))
+    version = F.when(F.col("user_id") % 7 == 0, "v1.1").when(F.col("user_id") % 11 == 0, None).otherwise("v1.2")
+    return rows.select(F.col("user_id").alias("clip_id"), (F.col("user_id") % 5).cast("int").alias("raga"), version.alias("feature_version"), "gating_ratio", "frames")
+
+
+@query(q("SELECT count(*) AS total_files_seen, count(*) FILTER (w) AS skipped_version, count(*) FILTER (NOT w AND gating_ratio < 0.05) AS skipped_gating, count(*) FILTER (w OR gating_ratio < 0.05) AS skipped_files FROM (SELECT *, feature_version IS DISTINCT FROM 'v1.2' AS w FROM c)", c=_CLIPS))
+def guard_counters(spark, d):
+    return models.guard_counts(_clips(spark, d), P)
+
+
+@query(q("SELECT clip_id, raga, frames FROM c WHERE feature_version = 'v1.2' AND gating_ratio >= 0.05 AND frames >= 60", c=_CLIPS))
+def guarded_clips(spark, d):
+    return models.guarded(_clips(spark, d), P, min_frames=60).select("clip_id", "raga", "frames")
+
+
+@query(q("SELECT raga, round(avg(gating_ratio), 6) AS mean_gating_ratio, round(avg(frames), 6) AS mean_frames FROM c GROUP BY raga", c=_CLIPS))
+def class_scalar_means(spark, d):
+    return models.class_means(_clips(spark, d), ["gating_ratio", "frames"]).select("raga", r("mean_gating_ratio"), r("mean_frames"))
+
+
+@query(q("SELECT 'v1.2' AS feature_version, 12 AS bins, total, included, included_ragas FROM (SELECT count(*) AS total FROM c), (SELECT CAST(sum(n) AS BIGINT) AS included, string_agg(CAST(raga AS VARCHAR), ',' ORDER BY CAST(raga AS VARCHAR)) AS included_ragas FROM eligible)", "eligible", c=_CLIPS))
+def run_metadata(spark, d):
+    meta = models.run_metadata(_pcd(spark, d), models.guard_counts(_clips(spark, d), P), "20250101_000000", "events", P)
+    return meta.select("feature_version", "bins", F.col("total_files_seen").alias("total"), F.col("included_clips").alias("included"), F.array_join("included_ragas", ",").alias("included_ragas"))
+
+
+# --- scorers ----------------------------------------------------------------------------
+
+
+@query(q("SELECT clip_id, raga, model, round(pcd_sim, 6) AS pcd_sim, round(dyad_sim, 8) AS dyad_sim, round(score, 6) AS score FROM scores", "scores"))
+def score_weighted_dot(spark, d):
+    return _scores(spark, d).select("clip_id", "raga", "model", r("pcd_sim"), r("dyad_sim", 8), r("score"))
+
+
+def _simple(method, kind=None):
+    def run(spark, d):
+        pcd = _pcd(spark, d)
+        model = models.models(pcd, P)
+        weight = models.weights(model, P, kind) if kind else None
+        return scoring.pcd_similarity(pcd, model, P, method, weight).select("clip_id", "raga", "model", r("pcd_sim"))
+
+    return run
+
+
+def _simple_sql(expr: str, weight: str = "SELECT bin, 1.0 AS weight FROM bins", *extra: str) -> str:
+    return q(f"SELECT d.clip_id, d.raga, m.raga AS model, round({expr}, 6) AS pcd_sim FROM dense d JOIN models m USING (bin) JOIN w USING (bin) JOIN c USING (bin) GROUP BY d.clip_id, d.raga, m.raga", "dense", "models", *extra, w=weight, c="SELECT bin, avg(mean) AS centre FROM models GROUP BY bin")
+
+
+_RENORM = "sum(p * weight * mean * weight) / ((sum(p * weight) + 1e-8) * (sum(mean * weight) + 1e-8))"
+_WEIGHT = "SELECT bin, {} AS weight FROM spread"
+for _name, _method, _kind, _sql in (
+    ("score_dot", "dot", None, _simple_sql("sum(p * mean)")),
+    ("score_cosine", "cosine", None, _simple_sql("sum(p * mean) / ((sqrt(sum(p * p)) + 1e-8) * (sqrt(sum(mean * mean)) + 1e-8))")),
+    ("score_mean_sub", "mean_sub", None, _simple_sql("sum((p - centre) * (mean - centre))")),
+    ("score_idf", "weighted", "idf", _simple_sql(_RENORM, _WEIGHT.format("ln(n / (df + 1)) + 1"), "spread")),
+    ("score_whiten", "weighted", "whiten", _simple_sql(_RENORM, _WEIGHT.format("1 / (sd + 1e-8)"), "spread")),
+    ("score_idf_old", "weighted", "idf_old", _simple_sql(_RENORM, "SELECT bin, w / (sum(w) OVER () + 1e-8) * 12 AS weight FROM (SELECT bin, ln(n / (df_old + 1)) / (sd + 1e-8) AS w FROM spread)", "spread")),
+):
+    QUERIES[_name], ORACLES[_name] = _simple(_method, _kind), _sql
+
+
+@query(_simple_sql("sum(p * weight * mean * weight)", _WEIGHT.format("1 / (sd + 1e-8)"), "spread").replace(", 6) AS pcd_sim", ", 2) AS pcd_sim"))
+def score_whiten_raw(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    return scoring.pcd_similarity(pcd, model, P, "weighted_raw", models.weights(model, P, "whiten")).select("clip_id", "raga", "model", r("pcd_sim", 2))
+
+
+_PAIRS = dict(pairs="SELECT a.model, b.model AS other, sum(a.y * b.y) AS sim FROM model_w a JOIN model_w b USING (bin) WHERE a.model <> b.model GROUP BY a.model, b.model")
+
+
+@query(q("SELECT clip_id, s.model, round(0.8 * pcd_sim - a.avg_sim + (SELECT avg(avg_sim) FROM h), 6) AS score FROM pcd_sims s JOIN h a ON a.model = s.model", "pcd_sims", **_PAIRS, h="SELECT model, avg(sim) AS avg_sim FROM pairs GROUP BY model"))
+def score_hubness(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    w = models.weights(model, P)
+    scores = scoring.blend(scoring.pcd_similarity(pcd, model, P, "weighted", w), None, P)
+    return scoring.centred(scores, scoring.hubness(scoring.model_pairs(model, P, w))).select("clip_id", "model", r("score"))
+
+
+_NOTES = [("Sa", 0, 0), ("R", 1, 2), ("G", 3, 4), ("M", 5, 6), ("Pa", 7, 7), ("D", 8, 9), ("N", 10, 11)]
+_NEEDED = [(2, "Sa"), (2, "Pa"), (2, "R"), (3, "Sa"), (3, "G"), (3, "M"), (4, "Sa"), (4, "D"), (5, "N"), (5, "Pa"), (5, "G")]
+_VALUES = lambda rows, cols: f"SELECT * FROM (VALUES {', '.join(str(x) for x in rows)}) v({cols})"
+_DOT = "SELECT d.clip_id, d.raga, m.raga AS model, 0.8 * sum(p * mean) AS score FROM dense d JOIN models m USING (bin) GROUP BY ALL"
+
+
+def _plain_scores(pcd, model):
+    return scoring.blend(scoring.pcd_similarity(pcd, model, P, "dot"), None, P)
+
+
+@query(q("SELECT clip_id, note, round(sum(p), 6) AS energy FROM pcd JOIN notes ON bin BETWEEN lo AND hi GROUP BY clip_id, note", "pcd", notes=_VALUES(_NOTES, "note, lo, hi")))
+def note_energy(spark, d):
+    return scoring.note_energy(_pcd(spark, d), spark.createDataFrame(_NOTES, "note string, lo int, hi int")).select("clip_id", "note", r("energy"))
+
+
+@query(q("SELECT s.clip_id, s.model, round(score * (1 - 0.2 * coalesce(a.share, 0)), 6) AS score FROM s LEFT JOIN a ON a.clip_id = s.clip_id AND a.model = s.model", "dense", "models", s=_DOT,
+         e="SELECT raga AS model, bin FROM models JOIN (SELECT raga, median(mean) AS med FROM models WHERE mean > 0 GROUP BY raga) USING (raga) WHERE mean > 1.2 * med",
+         a="SELECT clip_id, model, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) AS share FROM e JOIN dense USING (bin) GROUP BY clip_id, model"))
+def score_absent_model(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    return scoring.absent_by_model(_plain_scores(pcd, model), pcd, model, 0.2, 1.2, 0.05).select("clip_id", "model", r("score"))
+
+
+@query(q("SELECT s.clip_id, s.model, round(score * (1 - 0.2 * coalesce(a.share, 0)), 6) AS score FROM s LEFT JOIN a ON a.clip_id = s.clip_id AND a.model = s.model", "dense", "models", s=_DOT, notes=_VALUES(_NOTES, "note, lo, hi"), needed=_VALUES(_NEEDED, "model, note"),
+         en="SELECT clip_id, note, sum(p) AS energy FROM dense JOIN notes ON bin BETWEEN lo AND hi GROUP BY clip_id, note",
+         a="SELECT clip_id, model, avg(CASE WHEN energy < 0.1 THEN 1.0 ELSE 0.0 END) AS share FROM needed JOIN en USING (note) GROUP BY clip_id, model"))
+def score_absent_dictionary(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    notes, needed = spark.createDataFrame(_NOTES, "note string, lo int, hi int"), spark.createDataFrame(_NEEDED, "model int, note string")
+    return scoring.absent_by_dictionary(_plain_scores(pcd, model), pcd, notes, needed, 0.2, 0.1).select("clip_id", "model", r("score"))
+
+
+_RATIO = "greatest(0, 1 - abs(t.{0} - m.{0}) / (m.{0} + 1e-8))"
+
+
+@query(q(f"SELECT s.clip_id, s.model, round(score * (1 + 0.1 * 0.5 * ({_RATIO.format('pa')} + {_RATIO.format('ni')})), 6) AS score FROM s JOIN t ON t.clip_id = s.clip_id JOIN m ON m.model = s.model", "dense", "models", s=_DOT,
+         t="SELECT clip_id, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN p ELSE 0 END) AS pa, sum(CASE WHEN bin BETWEEN 10 AND 11 THEN p ELSE 0 END) AS ni FROM dense GROUP BY clip_id",
+         m="SELECT raga AS model, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN mean ELSE 0 END) AS pa, sum(CASE WHEN bin BETWEEN 10 AND 11 THEN mean ELSE 0 END) AS ni FROM models GROUP BY raga"))
+def score_ratio(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    return scoring.ratio_boost(_plain_scores(pcd, model), pcd, model, {"pa": (6, 8), "ni": (10, 11)}, 0.1, P).select("clip_id", "model", r("score"))
+
+
+@query(q("SELECT s.clip_id, s.model, round(score - 0.05 * e.nats, 6) AS score FROM s JOIN (SELECT clip_id, -sum(p * ln(p + 1e-10)) AS nats FROM pcd GROUP BY clip_id) e USING (clip_id)", "dense", "models", s=_DOT))
+def score_genericness(spark, d):
+    pcd = _pcd(spark, d)
+    return scoring.genericness_penalty(_plain_scores(pcd, models.models(pcd, P)), scoring.entropy(pcd)).select("clip_id", "model", r("score"))
+
+
+@query(q("SELECT clip_id, s.model, round(coalesce(pw, 0.8) * pcd_sim + coalesce(dw, 0.2) * dyad_sim, 6) AS score FROM scores s LEFT JOIN (VALUES (3, 0.5, 0.5)) o(model, pw, dw) ON o.model = s.model", "scores"))
+def score_override(spark, d):
+    base = _scores(spark, d)
+    over = spark.createDataFrame([(3, 0.5, 0.5)], "model int, pcd_w double, dyad_w double")
+    return scoring.blend(base.select("clip_id", "raga", "model", "pcd_sim"), base.select("clip_id", "model", "dyad_sim"), P, over).select("clip_id", "model", r("score"))
+
+
+_JS = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + m)) ELSE 0 END + CASE WHEN m > 0 THEN m * ln(2 * m / (p + m)) ELSE 0 END) / 2))"
+_JS_TABLES = dict(mm="SELECT raga AS model, bin, mean / sum(mean) OVER (PARTITION BY raga) AS m FROM models", js=f"SELECT clip_id, raga, model, {_JS} AS distance FROM dense JOIN mm USING (bin) GROUP BY clip_id, raga, model")
+
+
+@query(q("SELECT clip_id, model, round(distance, 6) AS distance FROM js", "dense", "models", **_JS_TABLES))
+def score_jensen_shannon(spark, d):
+    pcd = _pcd(spark, d)
+    return scoring.jensen_shannon(pcd, models.models(pcd, P)).select("clip_id", "model", r("distance"))
+
+
+@query(q(f"SELECT clip_id, CASE WHEN d2 - d1 < 0.01 OR (d2 - d1 < 0.02 AND d3 - d2 < 0.01) THEN '{UNKNOWN}' ELSE best END AS final, round(d2 - d1, 6) AS margin_12, round(d3 - d2, 6) AS margin_23 FROM (SELECT clip_id, max(distance) FILTER (rn = 1) AS d1, max(distance) FILTER (rn = 2) AS d2, max(distance) FILTER (rn = 3) AS d3, max(CAST(model AS VARCHAR)) FILTER (rn = 1) AS best FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY distance, model) AS rn FROM js) GROUP BY clip_id)", "dense", "models", **_JS_TABLES))
+def decisions_by_distance(spark, d):
+    pcd = _pcd(spark, d)
+    return decide.distance_decisions(scoring.jensen_shannon(pcd, models.models(pcd, P)), 0.01, 0.02).select("clip_id", "final", r("margin_12"), r("margin_23"))
+
+
+@query(q("SELECT a.clip_id AS a, b.clip_id AS b, a.dir, round(sum(a.v * b.v), 8) AS dot FROM matrices a JOIN matrices b ON a.dir = b.dir AND a.frm = b.frm AND a.\"to\" = b.\"to\" AND a.clip_id < b.clip_id GROUP BY ALL", "matrices"))
+def dyad_similarity_sparse(spark, d):
+    _, counts, totals = _parts(spark, d)
+    maps = counts.groupBy("clip_id", "dir").agg(F.map_from_entries(F.collect_list(F.struct((F.col("frm") * 12 + F.col("to")).alias("k"), "cnt"))).alias("cells"))
+    side = totals.join(maps, ["clip_id", "dir"], "left").withColumn("cells", F.coalesce("cells", F.create_map().cast("map<int,bigint>")))
+    return scoring.sparse_dot(side, side, P).select("a", "b", "dir", r("dot", 8))
+
+
+@query(q("SELECT clip_id, round(-sum(p * ln(p + 1e-10)), 6) AS nats, round(-sum(p * log2(p)), 6) AS bits, count(*) FILTER (p > 0.005) AS active FROM pcd WHERE p > 0 GROUP BY clip_id", "pcd"))
+def entropy_by_clip(spark, d):
+    return scoring.entropy(_pcd(spark, d)).select("clip_id", r("nats"), r("bits"), "active")
+
+
+@query(q("SELECT a.raga AS model, b.raga AS other, round(sum(least(a.mean, b.mean)), 6) AS overlap FROM models a JOIN models b USING (bin) WHERE a.raga < b.raga GROUP BY a.raga, b.raga", "models"))
+def model_overlap(spark, d):
+    return scoring.overlap(models.models(_pcd(spark, d), P)).select("model", "other", r("overlap"))
+
+
+@query(q("SELECT o.model, round(o.own, 6) AS own, round(p.other, 6) AS other, round(o.own / p.other, 6) AS ratio FROM (SELECT raga AS model, sum(mean * mean) AS own FROM models GROUP BY raga) o JOIN (SELECT a.raga AS model, sum(a.mean * b.mean) / count(DISTINCT b.raga) AS other FROM models a JOIN models b ON a.bin = b.bin AND a.raga <> b.raga GROUP BY a.raga) p USING (model)", "models"))
+def discrimination_ratio(spark, d):
+    model = models.models(_pcd(spark, d), P)
+    own = model.groupBy(F.col("raga").alias("model")).agg(F.sum(F.col("mean") ** 2).alias("own"))
+    return stats.discrimination(scoring.model_pairs(model, P), own).select("model", r("own"), r("other"), r("ratio"))
+
+
+@query(q("SELECT clip_id, round(max(score) - avg(score), 6) AS confidence FROM scores GROUP BY clip_id", "scores"))
+def ood_confidence(spark, d):
+    return scoring.confidence(_scores(spark, d)).select("clip_id", r("confidence"))
+
+
+@query(q("SELECT clip_id, " + ", ".join(f'round(max(score) FILTER (model = {k}), 6) AS "{k}"' for k in (2, 3, 4, 5)) + " FROM scores GROUP BY clip_id", "scores"))
+def similarity_wide(spark, d):
+    return scoring.wide(_scores(spark, d), [2, 3, 4, 5]).select("clip_id", *[r(F.col(str(k))).alias(str(k)) for k in (2, 3, 4, 5)])
+
+
+# --- decisions ------------------------------------------------------------------------------
+
+
+@query(q(f"SELECT clip_id, CASE WHEN m < 2e-4 THEN '{UNKNOWN}' ELSE CAST(model AS VARCHAR) END AS final, round(m, 6) AS margin, CASE WHEN m >= 8e-4 THEN 'HIGH' WHEN m >= 2e-4 THEN 'MODERATE' ELSE 'UNKNOWN' END AS confidence_tier FROM (SELECT *, coalesce(score - second, 0) AS m FROM ranked WHERE rank = 1)", "ranked"))
+def decisions(spark, d):
+    return decide.decisions(_scores(spark, d), None, P).select("clip_id", "final", r("margin"), "confidence_tier")
+
+
+@query(q("SELECT clip_id, " + ", ".join(f"coalesce(max(CAST(model AS VARCHAR)) FILTER (rank = {k}), '') AS top{k}, round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3)) + " FROM ranked GROUP BY clip_id", "ranked"))
+def top3_wide(spark, d):
+    return decide.top(_scores(spark, d)).select("clip_id", *[c for k in (1, 2, 3) for c in (F.col(f"top{k}"), r(f"top{k}_score"))])
+
+
+@query(q("SELECT clip_id, model, CAST(rank AS INTEGER) AS rank FROM ranked", "ranked"))
+def full_ranking(spark, d):
+    return decide.rank(_scores(spark, d)).select("clip_id", "model", "rank")
+
+
+@query(q("SELECT raga, bin, CAST(rn AS INTEGER) AS rank FROM (SELECT raga, bin, row_number() OVER (PARTITION BY raga ORDER BY round(mean, 9) DESC, bin) AS rn FROM models) WHERE rn <= 10", "models"))
+def top_bins(spark, d):
+    order = W.partitionBy("raga").orderBy(F.desc(F.round("mean", 9)), "bin")
+    return models.models(_pcd(spark, d), P).select("raga", "bin", F.row_number().over(order).alias("rank")).where("rank <= 10")
+
+
+@query(q(f"""SELECT a.clip_id, CASE WHEN a.m >= 8e-4 THEN CAST(a.model AS VARCHAR) WHEN b.m >= 2e-4 THEN CAST(b.model AS VARCHAR) ELSE '{UNKNOWN}' END AS final,
+       round(CASE WHEN a.m >= 8e-4 THEN a.m ELSE b.m END, 6) AS margin, CASE WHEN a.m >= 8e-4 THEN 'HIGH' WHEN b.m >= 2e-4 THEN 'ESCALATED' ELSE 'UNKNOWN' END AS confidence_tier
+       FROM (SELECT *, coalesce(score - second, 0) AS m FROM ranked WHERE rank = 1) a JOIN (SELECT *, coalesce(s2 - lead(s2) OVER (PARTITION BY clip_id ORDER BY s2 DESC, model), 0) AS m, row_number() OVER (PARTITION BY clip_id ORDER BY s2 DESC, model) AS rn FROM (SELECT *, 0.3 * pcd_sim + 0.7 * dyad_sim AS s2 FROM scores)) b ON a.clip_id = b.clip_id AND b.rn = 1""", "ranked"))
+def decisions_escalated(spark, d):
+    first = _scores(spark, d)
+    second = first.withColumn("score", 0.3 * F.col("pcd_sim") + 0.7 * F.col("dyad_sim"))
+    return decide.escalated(first, second, P).select("clip_id", "final", r("margin"), "confidence_tier")
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+_VLOO = loo("loo_models", "vectors", 64, 6e-5, 2e-5)
+
+
+def _vq(body: str) -> str:
+    return q(body, "loo_models", **_VLOO)
+
+
+_TALLY = "count(*) FILTER (outcome = 'c') AS correct, count(*) FILTER (outcome = 'w') AS wrong, count(*) FILTER (outcome = 'u') AS unknown"
+
+
+@query(_vq("SELECT clip_id, raga, predicted, round(margin, 8) AS margin, tier, outcome FROM lo"))
+def loo_outcomes(spark, d):
+    return _loo(spark, d).select("clip_id", "raga", "predicted", r("margin", 8), "tier", "outcome")
+
+
+@query(_vq(f"SELECT raga, total, correct, wrong, unknown, round(correct / total, 6) AS acc_all, round(CASE WHEN correct + wrong > 0 THEN correct / (correct + wrong) ELSE 0 END, 6) AS acc_decided FROM (SELECT raga, count(*) AS total, {_TALLY} FROM lo GROUP BY raga)"))
+def loo_per_raga(spark, d):
+    return evaluate.per_class(_loo(spark, d)).select("raga", "total", "correct", "wrong", "unknown", r("acc_all"), r("acc_decided"))
+
+
+@query(_vq(f"SELECT total, correct, wrong, unknown, round(unknown / total, 6) AS unknown_rate, round(correct / total, 6) AS acc_all, round(CASE WHEN correct + wrong > 0 THEN correct / (correct + wrong) ELSE 0 END, 6) AS acc_decided FROM (SELECT count(*) AS total, {_TALLY} FROM lo)"))
+def loo_overall(spark, d):
+    return evaluate.overall(_loo(spark, d)).select("total", "correct", "wrong", "unknown", r("unknown_rate"), r("acc_all"), r("acc_decided"))
+
+
+@query(_vq("SELECT raga, CASE WHEN outcome = 'u' THEN 'UNKNOWN' ELSE CAST(predicted AS VARCHAR) END AS said, count(*) AS n FROM lo GROUP BY ALL"))
+def loo_confusion(spark, d):
+    return evaluate.confusion_long(_loo(spark, d))
+
+
+@query(_vq("SELECT raga, " + ", ".join(f"""count(*) FILTER (outcome <> 'u' AND predicted = {k}) AS "{k}" """ for k in range(10)) + """, count(*) FILTER (outcome = 'u') AS "UNKNOWN" FROM lo GROUP BY raga"""))
+def loo_confusion_wide(spark, d):
+    return evaluate.confusion(_loo(spark, d), list(range(10)))
+
+
+@query(_vq("SELECT predicted AS sink, count(*) AS n FROM lo WHERE outcome = 'w' GROUP BY predicted"))
+def loo_sinks(spark, d):
+    return evaluate.sinks(_loo(spark, d))
+
+
+@query(_vq("SELECT predicted AS sink, count(*) AS n FROM lo WHERE outcome = 'w' GROUP BY predicted ORDER BY n DESC, sink LIMIT 3"))
+def loo_top_sinks(spark, d):
+    return evaluate.sinks(_loo(spark, d), 3)
+
+
+@query(_vq("SELECT count(*) FILTER (outcome = 'w' AND predicted = 3) AS n FROM lo"))
+def loo_named_sink(spark, d):
+    return evaluate.named_sink(_loo(spark, d), 3)
+
+
+@query(_vq("SELECT raga, count(*) FILTER (outcome = 'c' AND tier = 'HIGH') AS high, count(*) FILTER (outcome = 'c' AND tier = 'MODERATE') AS moderate, count(*) FILTER (outcome = 'u') AS unknown, count(*) FILTER (outcome = 'w') AS wrong, round(avg(margin), 8) AS mean_margin FROM lo GROUP BY raga"))
+def loo_tiers(spark, d):
+    return evaluate.tiers(_loo(spark, d)).select("raga", "high", "moderate", "unknown", "wrong", r("mean_margin", 8))
+
+
+_FRAME_LOO = loo("loo_naive", "dense", 12, 8e-4, 2e-4)
+_LOO_DYADS = dict(
+    lm="""SELECT h.clip_id AS fold, m.raga AS model, m.dir, m.frm, m."to", sum(m.v) / any_value(e.n - CASE WHEN m.raga = h.raga THEN 1 ELSE 0 END) AS v FROM (SELECT DISTINCT clip_id, raga FROM dense WHERE raga IN (SELECT raga FROM eligible)) h JOIN matrices m ON m.clip_id <> h.clip_id JOIN eligible e ON e.raga = m.raga GROUP BY ALL""",
+    ld="""SELECT a.clip_id, b.model, 0.5 * sum(a.v * b.v) AS dyad_sim FROM matrices a JOIN lm b ON a.clip_id = b.fold AND a.dir = b.dir AND a.frm = b.frm AND a."to" = b."to" GROUP BY ALL""",
+    lf="SELECT s.clip_id, s.raga, s.model, s.score / 0.8 AS pcd_sim, coalesce(d.dyad_sim, 0) AS dyad_sim FROM ls s LEFT JOIN ld d ON d.clip_id = s.clip_id AND d.model = s.model",
+)
+
+
+@query(q("SELECT clip_id, raga, model, round(pcd_sim, 6) AS pcd_sim, round(dyad_sim, 8) AS dyad_sim, round(0.8 * pcd_sim + 0.2 * dyad_sim, 6) AS score FROM lf", "loo_naive", "matrices", **{k: v for k, v in _FRAME_LOO.items() if k not in ("lr", "lo")}, **_LOO_DYADS))
+def loo_scores_with_dyads(spark, d):
+    pcd, counts, totals = _parts(spark, d)
+    return evaluate.loo_scores(pcd, P, counts, totals).select("clip_id", "raga", "model", r("pcd_sim"), r("dyad_sim", 8), r("score"))
+
+
+_RESUB = "SELECT clip_id, raga, model AS predicted, coalesce(score - second, 0) AS margin, CASE WHEN coalesce(score - second, 0) < 2e-4 THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS outcome FROM ranked WHERE rank = 1"
+
+
+@query(q("SELECT clip_id, raga, predicted, outcome FROM rs", "ranked", rs=_RESUB))
+def resubstitution(spark, d):
+    return evaluate.outcomes(_scores(spark, d), P).select("clip_id", "raga", "predicted", "outcome")
+
+
+_SWEEP = [(f"w{a}", a, round(1 - a, 1), 8e-4, 2e-4) for a in (1.0, 0.8, 0.7, 0.6)] + [(f"m{m}", 0.8, 0.2, 8e-4, m) for m in (1e-5, 1e-4, 5e-4)]
+
+
+@query(q(f"""SELECT param, count(*) FILTER (o = 'c') AS correct, count(*) FILTER (o = 'w') AS wrong, count(*) FILTER (o = 'u') AS unknown,
+       round(CASE WHEN count(*) FILTER (o <> 'u') > 0 THEN count(*) FILTER (o = 'c') / count(*) FILTER (o <> 'u') ELSE 0 END, 6) AS acc_decided
+       FROM (SELECT *, CASE WHEN coalesce(sc - nx, 0) < least_ THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS o FROM
+       (SELECT *, lead(sc) OVER (PARTITION BY param, clip_id ORDER BY sc DESC, model) AS nx, row_number() OVER (PARTITION BY param, clip_id ORDER BY sc DESC, model) AS rn FROM (SELECT p.param, p.least_, s.clip_id, s.raga, s.model, p.a * s.pcd_sim + p.b * s.dyad_sim AS sc FROM scores s CROSS JOIN p)) WHERE rn = 1) GROUP BY param""", "scores", p=_VALUES(_SWEEP, "param, a, b, strict, least_")))
+def sweep_weights_margins(spark, d):
+    params = spark.createDataFrame(_SWEEP, "param string, pcd_w double, dyad_w double, strict double, least double")
+    return evaluate.sweep(params, _scores(spark, d)).select("param", "correct", "wrong", "unknown", r("acc_decided"))
+
+
+_BINS = (6, 12, 24)
+
+
+@query(q("SELECT n, clip_id, bin, round(c / sum(c) OVER (PARTITION BY n, clip_id), 6) AS p FROM (SELECT n, clip_id, CAST(least(floor(cents * n / 1200), n - 1) AS INTEGER) AS bin, count(*) AS c FROM folded, (VALUES (6), (12), (24)) b(n) WHERE cents IS NOT NULL GROUP BY ALL)", "folded"))
+def sweep_bins(spark, d):
+    folded = _folded(spark, d)
+    out = None
+    for n in _BINS:
+        one = features.histogram(folded, P.but(n_bins=n)).select(F.lit(n).alias("n"), "clip_id", "bin", r("p"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(q("SELECT clip_id, 'fixed' AS change FROM (SELECT clip_id FROM a WHERE outcome = 'w' EXCEPT SELECT clip_id FROM b WHERE outcome = 'w') UNION ALL SELECT clip_id, 'broken' FROM (SELECT clip_id FROM b WHERE outcome = 'w' EXCEPT SELECT clip_id FROM a WHERE outcome = 'w')", "ranked", a=_RESUB,
+         b="SELECT clip_id, CASE WHEN m < 2e-4 THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS outcome FROM (SELECT *, coalesce(s - lead(s) OVER (PARTITION BY clip_id ORDER BY s DESC, model), 0) AS m, row_number() OVER (PARTITION BY clip_id ORDER BY s DESC, model) AS rn FROM (SELECT d.clip_id, d.raga, m.raga AS model, 0.8 * sum(p * mean) AS s FROM dense d JOIN models m USING (bin) GROUP BY ALL)) WHERE rn = 1"))
+def fixed_broken_diff(spark, d):
+    pcd = _pcd(spark, d)
+    return evaluate.fixed_broken(evaluate.outcomes(_scores(spark, d), P), evaluate.outcomes(_plain_scores(pcd, models.models(pcd, P)), P))
+
+
+# --- scales, n-grams, statistics ------------------------------------------------------------------
+
+_SCALES = [(2, s) for s in (0, 2, 3, 5, 9)] + [(3, s) for s in (0, 2, 4, 6, 7, 9, 11)] + [(5, s) for s in (0, 2, 4, 5, 7, 9, 11)]
+
+
+@query(q("""SELECT clip_id, raga, round(avg(hit), 6) AS prec_raw, round((avg(hit) - any_value(k) / 12.0) / (1 - any_value(k) / 12.0), 6) AS prec_corrected, round(count(DISTINCT CASE WHEN hit = 1 THEN sem END) / any_value(k), 6) AS recall, round(avg(res), 6) AS residual
+       FROM (SELECT s.clip_id, s.raga, floor(s.bin / 2) AS sem, k, CASE WHEN z.semitone IS NULL THEN 0.0 ELSE 1.0 END AS hit, least(s.bin % 2, 2 - s.bin % 2) * 50.0 AS res FROM st s JOIN (SELECT raga, count(*) AS k FROM sc GROUP BY raga) USING (raga) LEFT JOIN sc z ON z.raga = s.raga AND z.semitone = floor(s.bin / 2)) GROUP BY clip_id, raga""", "folded", sc=_VALUES(_SCALES, "raga, semitone"),
+         b24="SELECT clip_id, raga, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS pos, CAST(floor(cents * 24 / 1200) AS INTEGER) AS bin FROM folded WHERE cents IS NOT NULL AND floor(cents * 24 / 1200) BETWEEN 0 AND 23",
+         st="SELECT clip_id, raga, bin, count(*) AS len FROM (SELECT *, pos - row_number() OVER (PARTITION BY clip_id, bin ORDER BY pos) AS island FROM b24) GROUP BY clip_id, raga, bin, island HAVING count(*) >= 2"))
+def scale_precision(spark, d):
+    p = P.but(n_bins=24)
+    stable = features.stable(features.runs(features.binned(_folded(spark, d), p)), p)
+    scales = spark.createDataFrame(_SCALES, "raga int, semitone int")
+    return features.scale_fit(stable, scales, p).select("clip_id", "raga", r("prec_raw"), r("prec_corrected"), r("recall"), r("residual"))
+
+
+_COLLAPSED = dict(col="SELECT clip_id, symbol, row_number() OVER (PARTITION BY clip_id ORDER BY pos) - 1 AS pos FROM (SELECT clip_id, pos, symbol, lag(symbol) OVER (PARTITION BY clip_id ORDER BY pos) AS prv FROM sym) WHERE prv IS NULL OR prv <> symbol", ng="SELECT clip_id, CAST(sum(CASE WHEN symbol = 'user' AND n1 = 'assistant' AND n2 = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT *, lead(symbol, 1) OVER w AS n1, lead(symbol, 2) OVER w AS n2 FROM col WINDOW w AS (PARTITION BY clip_id ORDER BY pos)) GROUP BY clip_id")
+_SYM = dict(sym="SELECT conv_id AS clip_id, turn AS pos, role AS symbol FROM conversations")
+
+
+def _ngrams(spark, d):
+    return features.ngram_counts(features.collapsed(adapters.symbols(table(spark, d, "conversations"))), ["user", "assistant", "user"])
+
+
+@query(q("SELECT clip_id, pos, symbol FROM col", **_SYM, col=_COLLAPSED["col"]))
+def collapsed_symbols(spark, d):
+    return features.collapsed(adapters.symbols(table(spark, d, "conversations")))
+
+
+@query(q("SELECT clip_id, n FROM ng", **_SYM, **_COLLAPSED))
+def ngram_counts(spark, d):
+    return _ngrams(spark, d)
+
+
+@query(q("SELECT round(a, 6) AS target_recall, round(b, 6) AS target_mean, round(c, 6) AS confuser_recall, round(a / c, 6) AS discrimination FROM (SELECT avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) FILTER (clip_id % 2 = 0) AS a, avg(n) FILTER (clip_id % 2 = 0) AS b, avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END) FILTER (clip_id % 2 = 1) AS c FROM ng)", **_SYM, **_COLLAPSED))
+def ngram_recall(spark, d):
+    counts = _ngrams(spark, d)
+    out = features.ngram_recall(counts.where("clip_id % 2 = 0"), counts.where("clip_id % 2 = 1"))
+    return out.select(r("target_recall"), r("target_mean"), r("confuser_recall"), r("discrimination"))
+
+
+@query("SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM (SELECT count(*) FILTER (event_type = 'click') AS na, avg(value) FILTER (event_type = 'click') AS ma, var_samp(value) FILTER (event_type = 'click') AS va, count(*) FILTER (event_type = 'view') AS nb, avg(value) FILTER (event_type = 'view') AS mb, var_samp(value) FILTER (event_type = 'view') AS vb FROM events)")
+def cohens_d(spark, d):
+    return stats.cohens_d(table(spark, d, "events"), "value", "event_type", "click", "view").select(r("d"))
+
+
+@query()
+def permutation_p(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0, iterations=2000)
+
+
+@query("SELECT round(rm, 6) AS reference_median, round(tm, 6) AS target_median, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > rm) AS beats FROM (SELECT median(value) FILTER (event_type = 'view') AS rm, median(value) FILTER (event_type = 'click') AS tm FROM events)")
+def above_reference_median(spark, d):
+    return stats.above_median(table(spark, d, "events"), "value", "event_type", "click", "view").select(r("reference_median"), r("target_median"), "beats")
+
+
+@query(q("SELECT raga, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, round(min(e), 6) AS least, round(max(e), 6) AS greatest FROM en GROUP BY raga", "dense", en="SELECT clip_id, raga, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN p ELSE 0 END) AS e FROM dense GROUP BY clip_id, raga"))
+def window_energy_by_class(spark, d):
+    pcd = _pcd(spark, d)
+    rows = scoring.window_energies(pcd, "clip_id", {"e": (6, 8)}).join(pcd.select("clip_id", "raga").distinct(), "clip_id")
+    return stats.by_class(rows, "e").select("raga", r("mean"), r("std"), r("least"), r("greatest"))
+
+
+@query(q("SELECT (SELECT count(*) FROM en WHERE raga = 3 AND e >= (SELECT min(e) FROM en WHERE raga = 4)) AS overlapping, (SELECT count(*) FROM en WHERE raga = 3) AS n, round((SELECT avg(e) FROM en WHERE raga = 4) / ((SELECT avg(e) FROM en WHERE raga = 3) + 1e-8), 6) AS mean_ratio", "dense", en="SELECT clip_id, raga, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN p ELSE 0 END) AS e FROM dense GROUP BY clip_id, raga"))
+def energy_range_overlap(spark, d):
+    pcd = _pcd(spark, d)
+    rows = scoring.window_energies(pcd, "clip_id", {"e": (6, 8)}).join(pcd.select("clip_id", "raga").distinct(), "clip_id")
+    return stats.range_overlap(rows, "e", "raga", 3, 4).select("overlapping", "n", r("mean_ratio"))
+
+
+@query(q("SELECT count(*) AS frames, count(*) FILTER (NOT ((a.f0 IS NULL AND b.f0 IS NULL) OR (a.f0 IS NOT NULL AND b.f0 IS NOT NULL AND abs(a.f0 - b.f0) <= 1e-8 + 1e-5 * abs(b.f0)))) AS mismatches, round(max(abs(a.f0 - b.f0)), 6) AS max_diff FROM frames a JOIN (SELECT clip_id, frame_idx, CASE WHEN frame_idx % 50 = 0 THEN f0 + 0.5 ELSE f0 END AS f0 FROM frames) b USING (clip_id, frame_idx)", "frames"))
+def cache_validation(spark, d):
+    a = _frames(spark, d)
+    b = a.withColumn("f0", F.when(F.col("frame_idx") % 50 == 0, F.col("f0") + 0.5).otherwise(F.col("f0")))
+    return stats.same_frames(a, b).select("frames", "mismatches", r("max_diff"))
+
+
+# --- names, duplicates, metadata ----------------------------------------------------------------
+
+_FILES = "SELECT lang AS raga, 'Song' || CAST(doc_id % 40 AS VARCHAR) || (CASE doc_id % 4 WHEN 0 THEN '.vocal' WHEN 1 THEN '.demucs-vocal' WHEN 2 THEN '.vocal-s' ELSE '' END) || '_2025010' || CAST(doc_id % 9 + 1 AS VARCHAR) || '_' || lpad(CAST(doc_id % 1000000 AS VARCHAR), 6, '0') || '.npz' AS fname, n_chars % 100 / 100.0 AS gating FROM documents"
+_SONGS = "SELECT *, lower(replace(replace(replace(regexp_replace(fname, '_[^_]*_[^_]*$', ''), '.demucs-vocal', ''), '.vocal-s', ''), '.vocal', '')) AS song, CASE WHEN contains(fname, '.vocal_') OR contains(fname, '.vocal-s_') THEN 'STEM' WHEN contains(fname, '.demucs-vocal_') THEN 'DEMUCS' ELSE 'OTHER' END AS kind FROM f"
+
+
+def _files(spark, d):
+    i = F.col("doc_id")
+    suffix = F.when(i % 4 == 0, ".vocal").when(i % 4 == 1, ".demucs-vocal").when(i % 4 == 2, ".vocal-s").otherwise("")
+    name = F.concat(F.lit("Song"), (i % 40).cast("string"), suffix, F.lit("_2025010"), (i % 9 + 1).cast("string"), F.lit("_"), F.lpad((i % 1000000).cast("string"), 6, "0"), F.lit(".npz"))
+    return table(spark, d, "documents").select(F.col("lang").alias("raga"), name.alias("fname"), (F.col("n_chars") % 100 / 100.0).alias("gating"))
+
+
+@query(q("SELECT raga, fname, song, kind, row_number() OVER (PARTITION BY raga, song ORDER BY gating + CASE WHEN kind = 'STEM' THEN 0.1 ELSE 0 END DESC, fname) = 1 AS kept FROM s", f=_FILES, s=_SONGS))
+def dedup_best(spark, d):
+    return quality.best_of_duplicates(_files(spark, d))
+
+
+@query(q("SELECT raga, song, count(*) AS n FROM s GROUP BY raga, song HAVING count(*) > 1", f=_FILES, s=_SONGS))
+def duplicate_groups(spark, d):
+    return quality.duplicate_groups(_files(spark, d).withColumn("song", G.song(F.col("fname"))), ["raga", "song"])
+
+
+@query("SELECT xx AS n, count(*) AS groups FROM (SELECT count(*) AS xx FROM documents GROUP BY text) GROUP BY xx")
+def duplicate_texts(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("t")).agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query("SELECT url, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, CASE WHEN contains(lower(url), 'ref') THEN 'ref' WHEN contains(lower(url), 'page') THEN 'page' END AS keyword, contains(lower(url), '/fr/') AS is_fr FROM pages")
+def url_parts(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("url", F.lower(F.regexp_extract(url, "^https?://([^/]+)", 1)).alias("host"), G.first_keyword(url, ["ref", "page"]).alias("keyword"), F.contains(F.lower(url), F.lit("/fr/")).alias("is_fr"))
+
+
+@query("SELECT s.path, min_by(raga, ord) AS raga FROM (SELECT p_partkey AS path, lower(p_name) AS song FROM part) s JOIN (SELECT p_type AS raga, p_partkey AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part WHERE p_partkey < 20) m ON contains(s.song, m.title) OR contains(m.title, s.song) GROUP BY s.path")
+def metadata_first_match(spark, d):
+    part = table(spark, d, "part")
+    entries = part.select(F.col("p_partkey").alias("path"), F.lower("p_name").alias("song"))
+    meta = part.where("p_partkey < 20").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("title"), F.col("p_type").alias("raga"), F.col("p_partkey").alias("ord"))
+    return quality.first_match(entries, meta)
+
+
+@query("SELECT part, max_by(path, (length(path), path)) AS path FROM (SELECT DISTINCT p_brand AS part FROM part) w JOIN (SELECT p_brand || '/' || p_name || '/' || p_type AS path FROM part) e ON contains(path, part) GROUP BY part")
+def metadata_longest_match(spark, d):
+    part = table(spark, d, "part")
+    return quality.longest_match(part.select(F.col("p_brand").alias("part")).distinct(), part.select(F.concat_ws("/", "p_brand", "p_name", "p_type").alias("path")))
+
+
+@query("SELECT c_name || '.mp3' AS path FROM customer WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(c_name) AS b FROM customer WHERE c_nationkey < 12) e WHERE contains(e.b, substr(lower(c_name), 1, 20)))")
+def not_extracted(spark, d):
+    customer = table(spark, d, "customer")
+    return quality.not_extracted(customer.select(F.concat("c_name", F.lit(".mp3")).alias("path")), customer.where("c_nationkey < 12").select(F.col("c_name").alias("base")))
+
+
+@query("SELECT r_name AS raga, CAST(r_regionkey AS BIGINT) AS current, coalesce(vocal, 0) AS vocal, coalesce(mix, 0) AS mix, r_regionkey + coalesce(vocal, 0) + coalesce(mix, 0) AS after, greatest(0, 300 - (r_regionkey + coalesce(vocal, 0) + coalesce(mix, 0))) AS gap FROM region LEFT JOIN (SELECT r_name, count(*) FILTER (c_mktsegment = 'BUILDING' AND c_custkey % 2 = 0) AS vocal, count(*) FILTER (c_custkey % 2 <> 0 AND c_acctbal / 1000 > 1) AS mix FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name) USING (r_name)")
+def source_inventory(spark, d):
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("raga"))
+    files = table(spark, d, "customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).select("raga", (F.col("c_mktsegment") == "BUILDING").alias("is_vocal"), (F.col("c_custkey") % 2 == 0).alias("is_multitrack"), (F.col("c_acctbal") / 1000).alias("size_mb"))
+    return quality.inventory(files, region.select(F.col("r_name").alias("raga"), F.col("r_regionkey").cast("long").alias("current")), 300)
+
+
+@query("SELECT DISTINCT p_type AS raga FROM part WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('econ'), ('Promo Plus')) e(x) WHERE contains(replace(lower(p_type), ' ', ''), lower(x)) OR contains(lower(x), replace(lower(p_type), ' ', '')))")
+def new_classes(spark, d):
+    return quality.new_classes(table(spark, d, "part").select(F.col("p_type").alias("raga")).distinct(), spark.createDataFrame([("econ",), ("Promo Plus",)], "raga string"))
+
+
+_LABELS = [("Sa", 0), ("R1", 6), ("R2", 8), ("G2", 12), ("G3", 14), ("M1", 18), ("M2", 21), ("Pa", 30), ("D1", 35), ("D2", 37), ("N2", 42), ("N3", 44)]
+
+
+@query(q("SELECT bin, min_by(label, (abs(bin * 100.0 - place * 1200.0 / 72), place)) AS label FROM (SELECT DISTINCT bin FROM pcd), lab GROUP BY bin", "pcd", lab=_VALUES(_LABELS, "label, place")))
+def nearest_label(spark, d):
+    labels = spark.createDataFrame(_LABELS, "label string, at int").withColumn("at", F.col("at") / 6.0)
+    return quality.nearest_label(_pcd(spark, d), labels, 12)
+
+
+@query("SELECT base, max_by(name, stamp) AS name, max(stamp) AS stamp FROM (SELECT 'clip' || CAST(user_id AS VARCHAR) AS base, 'clip' || CAST(user_id AS VARCHAR) || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '.npz' AS name, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, event_type FROM events) WHERE event_type = 'click' GROUP BY base")
+def latest_cached(spark, d):
+    base = F.concat(F.lit("clip"), F.col("user_id").cast("string"))
+    events = table(spark, d, "events")
+    stamped = F.concat(base, F.lit("_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit(".npz"))
+    return listing.latest_cached(events.select(stamped.alias("name"), F.col("event_type").alias("feature_version")), events.select(base.alias("base")), "click")
+
+
+@query("SELECT c.c_custkey AS clip_id, round(coalesce(o.v, c.c_acctbal), 6) AS f0, CASE WHEN o.v IS NOT NULL THEN 'cache' ELSE 'live' END AS origin FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")
+def cache_or_compute(spark, d):
+    live = table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), F.col("c_acctbal").alias("f0"))
+    cached = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("clip_id")).agg(F.max("o_totalprice").alias("f0"))
+    return listing.cache_or_compute(live, cached, live).select("clip_id", r("f0"), "origin")
+
+
+@query(q("SELECT CAST(clip_id AS BIGINT) AS file, raga AS true_raga, CASE WHEN outcome = 'u' THEN 'UNKNOWN' ELSE CAST(predicted AS VARCHAR) END AS predicted_raga, CASE outcome WHEN 'c' THEN '+' WHEN 'u' THEN '?' ELSE 'X' END AS correct FROM rs", "ranked", rs=_RESUB))
+def per_file_rows(spark, d):
+    scores = _scores(spark, d)
+    return sinks.per_file(evaluate.outcomes(scores, P), decide.top(scores)).select("file", "true_raga", "predicted_raga", "correct")
+
+
+@query(q("SELECT clip_id, pos, round(avg(near) OVER (PARTITION BY clip_id), 6) AS share FROM (SELECT clip_id, pos, CASE WHEN bin < 6 THEN 1.0 ELSE 0.0 END AS near FROM binned)", "binned"))
+def lower_half_share(spark, d):
+    near = F.when(pitch.semitone(F.col("bin"), 12) < 6, 1.0).otherwise(0.0)
+    return features.binned(_folded(spark, d), P).select("clip_id", "pos", r(F.avg(near).over(W.partitionBy("clip_id"))).alias("share"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
