@@ -98,3 +98,14 @@ def same_frames(a: DataFrame, b: DataFrame, rtol: float = 1e-5, atol: float = 1e
     close = F.when(F.col("x").isNull() | F.col("y").isNull(), F.col("x").isNull() & F.col("y").isNull()).otherwise(F.abs(F.col("x") - F.col("y")) <= atol + rtol * F.abs("y"))
     ok = F.col("ina").isNotNull() & F.col("inb").isNotNull() & close
     return rows.agg(F.count(F.lit(1)).alias("frames"), F.count_if(~ok).alias("mismatches"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"))
+
+
+def reference_band(metrics: DataFrame, references: list, group: str = "raga") -> DataFrame:
+    """One row: the least precision and the greatest residual of the reference classes' means."""
+    means = metrics.where(F.col(group).isin(references)).groupBy(group).agg(F.avg("prec_corrected").alias("p"), F.avg("residual").alias("r"))
+    return means.agg(F.min("p").alias("least_precision"), F.max("r").alias("greatest_residual"))
+
+
+def slowest(timings: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` clips that took longest (``clip, seconds``)."""
+    return timings.orderBy(F.desc("seconds"), "clip").limit(k)

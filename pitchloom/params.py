@@ -34,3 +34,10 @@ class Params:
 
 
 UNKNOWN = "UNKNOWN / LOW CONFIDENCE"
+
+
+def require_registered(**values) -> None:
+    """Refuse to run an experiment whose parameters were not all fixed beforehand."""
+    missing = [k for k, v in values.items() if v is None]
+    if missing:
+        raise ValueError("fix these before running: " + ", ".join(sorted(missing)))

@@ -543,6 +543,15 @@ def loo_scores_with_dyads(spark, d):
     return evaluate.loo_scores(pcd, P, counts, totals).select("clip_id", "raga", "model", r("pcd_sim"), r("dyad_sim", 8), r("score"))
 
 
+_RENORMED = dict(rm="SELECT fold, truth, model, bin, mean / (sum(mean) OVER (PARTITION BY fold, model) + 1e-8) AS mean FROM loo_models")
+
+
+@query(q("SELECT clip_id, raga, predicted, tier, outcome FROM lo", "loo_models", **_RENORMED, **loo("rm", "vectors", 64, 6e-5, 2e-5)))
+def loo_renormalised(spark, d):
+    scores = evaluate.loo_scores(_vectors(spark, d), V, renormalise=True)
+    return evaluate.outcomes(scores, V).select("clip_id", "raga", "predicted", "tier", "outcome")
+
+
 _RESUB = "SELECT clip_id, raga, model AS predicted, coalesce(score - second, 0) AS margin, CASE WHEN coalesce(score - second, 0) < 2e-4 THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS outcome FROM ranked WHERE rank = 1"
 
 
@@ -599,6 +608,34 @@ def scale_precision(spark, d):
     return features.scale_fit(stable, scales, p).select("clip_id", "raga", r("prec_raw"), r("prec_corrected"), r("recall"), r("residual"))
 
 
+_FIT = "SELECT clip_id, raga, (avg(hit) - any_value(k) / 12.0) / (1 - any_value(k) / 12.0) AS prec, avg(res) AS res FROM (SELECT s.clip_id, s.raga, k, CASE WHEN z.semitone IS NULL THEN 0.0 ELSE 1.0 END AS hit, least(s.bin % 2, 2 - s.bin % 2) * 50.0 AS res FROM st s JOIN (SELECT raga, count(*) AS k FROM sc GROUP BY raga) USING (raga) LEFT JOIN sc z ON z.raga = s.raga AND z.semitone = floor(s.bin / 2)) GROUP BY clip_id, raga"
+_STABLE24 = dict(
+    sc=_VALUES(_SCALES, "raga, semitone"),
+    b24="SELECT clip_id, raga, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS pos, CAST(floor(cents * 24 / 1200) AS INTEGER) AS bin FROM folded WHERE cents IS NOT NULL AND floor(cents * 24 / 1200) BETWEEN 0 AND 23",
+    st="SELECT clip_id, raga, bin, count(*) AS len FROM (SELECT *, pos - row_number() OVER (PARTITION BY clip_id, bin ORDER BY pos) AS island FROM b24) GROUP BY clip_id, raga, bin, island HAVING count(*) >= 2",
+    fit=_FIT,
+)
+
+
+def _fits(spark, d):
+    p = P.but(n_bins=24)
+    stable = features.stable(features.runs(features.binned(_folded(spark, d), p)), p)
+    return features.scale_fit(stable, spark.createDataFrame(_SCALES, "raga int, semitone int"), p)
+
+
+@query(q("SELECT round(min(p), 6) AS least_precision, round(max(r), 6) AS greatest_residual FROM (SELECT raga, avg(prec) AS p, avg(res) AS r FROM fit WHERE raga IN (3, 5) GROUP BY raga)", "folded", **_STABLE24))
+def reference_band(spark, d):
+    return stats.reference_band(_fits(spark, d), [3, 5]).select(r("least_precision"), r("greatest_residual"))
+
+
+@query(q("SELECT c.clip_id, round(f.prec, 6) AS prec_corrected, CASE WHEN f.clip_id IS NULL THEN 'SKIPPED' ELSE '' END AS note FROM (SELECT DISTINCT clip_id FROM frames) c LEFT JOIN fit f USING (clip_id)", "folded", **_STABLE24))
+def noted_rows(spark, d):
+    fits = _fits(spark, d).select("clip_id", r("prec_corrected"))
+    clips = _frames(spark, d).select("clip_id").distinct()
+    notes = clips.join(fits, "clip_id", "left_anti").withColumn("note", F.lit("SKIPPED"))
+    return sinks.noted(clips, fits, notes)
+
+
 _COLLAPSED = dict(col="SELECT clip_id, symbol, row_number() OVER (PARTITION BY clip_id ORDER BY pos) - 1 AS pos FROM (SELECT clip_id, pos, symbol, lag(symbol) OVER (PARTITION BY clip_id ORDER BY pos) AS prv FROM sym) WHERE prv IS NULL OR prv <> symbol", ng="SELECT clip_id, CAST(sum(CASE WHEN symbol = 'user' AND n1 = 'assistant' AND n2 = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT *, lead(symbol, 1) OVER w AS n1, lead(symbol, 2) OVER w AS n2 FROM col WINDOW w AS (PARTITION BY clip_id ORDER BY pos)) GROUP BY clip_id")
 _SYM = dict(sym="SELECT conv_id AS clip_id, turn AS pos, role AS symbol FROM conversations")
 
@@ -758,6 +795,18 @@ def per_file_rows(spark, d):
     return sinks.per_file(evaluate.outcomes(scores, P), decide.top(scores)).select("file", "true_raga", "predicted_raga", "correct")
 
 
+@query(q(f"""SELECT clip_id AS file, CASE WHEN coalesce(max(m), 0) < 2e-4 THEN '{UNKNOWN}' ELSE max(CAST(model AS VARCHAR)) FILTER (rank = 1) END AS predicted_raga, """ + ", ".join(f"coalesce(max(CAST(model AS VARCHAR)) FILTER (rank = {k}), '') AS top{k}_raga, round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3)) + " FROM (SELECT *, CASE WHEN rank = 1 THEN coalesce(score - second, 0) END AS m FROM ranked) GROUP BY clip_id", "ranked"))
+def unlabelled_rows(spark, d):
+    scores = _scores(spark, d)
+    rows = sinks.unlabelled(decide.decisions(scores, None, P), decide.top(scores))
+    return rows.select("file", "predicted_raga", *[c for k in (1, 2, 3) for c in (F.col(f"top{k}_raga"), r(f"top{k}_score"))])
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS clip, o_totalprice AS seconds FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def slowest_clips(spark, d):
+    return stats.slowest(table(spark, d, "orders").select(F.col("o_orderkey").alias("clip"), F.col("o_totalprice").alias("seconds")))
+
+
 @query(q("SELECT clip_id, pos, round(avg(near) OVER (PARTITION BY clip_id), 6) AS share FROM (SELECT clip_id, pos, CASE WHEN bin < 6 THEN 1.0 ELSE 0.0 END AS near FROM binned)", "binned"))
 def lower_half_share(spark, d):
     near = F.when(pitch.semitone(F.col("bin"), 12) < 6, 1.0).otherwise(0.0)
