@@ -10,3 +10,25 @@ from pitchloom.llm.common import read
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.join(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), i AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM i
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT DISTINCT x AS doc_id, x AS z FROM e UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.z
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(z) FROM r WHERE r.doc_id = w.doc_id), w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id
+"""
