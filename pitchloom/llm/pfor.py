@@ -16,7 +16,8 @@ in ascending ``doc_id`` order and a ``payload``:
 All integers are little-endian. A block has 128 values. Its width is the least
 that holds ``percentile`` of the values less the minimum; values that need more
 bits keep their low bits in the body and are listed whole as exceptions. The
-last block is filled up with its minimum.
+last block is filled up with its minimum. The packed bits of a block are planes:
+the lowest bit of all its values, then the next, and so on.
 """
 
 from __future__ import annotations
@@ -39,8 +40,13 @@ SEGMENT = 1 << 18
 FILE = "shard int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+_NEED = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(x: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
+    if not len(x) or x.max() < 1 << 16:
+        return _NEED[x]
     return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
 
 
@@ -56,19 +62,23 @@ def pack(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     least = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
     grid = grid - least[:, None]
     need = _bits(grid)
-    place = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
-    width = np.partition(need, place, axis=1)[:, place] if blocks else np.zeros(0, np.uint8)
-    row, col = np.nonzero(need > width[:, None])
+    over = BLOCK - min(BLOCK, max(1, int(np.ceil(percentile * BLOCK))))
+    width, turned = np.zeros(blocks, np.uint8), np.ascontiguousarray(need.T)
+    for k in range(int(need.max(initial=0))):
+        width += (turned > k).sum(axis=0, dtype=np.uint8) > over
+    row, col = np.divmod(np.flatnonzero(need > width[:, None]), BLOCK)
     first = np.searchsorted(row, np.arange(blocks)).astype("<u4")
     size = width.astype(np.uint32) * (BLOCK // 8)
     start = np.zeros(blocks, "<u4")
     start[1:] = np.cumsum(size)[:-1]
     body = np.zeros(int(size.sum()), np.uint8)
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         if w:
             own = np.flatnonzero(width == w)
-            bits = (grid[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            body[start[own][:, None] + np.arange(BLOCK // 8 * int(w))] = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            kind = "<u2" if w <= 16 else "<u4"
+            low = grid[own].astype(kind)
+            planes = np.stack([np.packbits((low & (1 << k)) != 0, axis=1, bitorder="little") for k in range(w)], axis=1)
+            body[start[own][:, None] + np.arange(BLOCK // 8 * w, dtype=np.uint32)] = planes.reshape(len(own), -1)
     head = np.array([MAGIC, n, blocks, len(row)], "<u4")
     return b"".join([head.tobytes(), start.tobytes(), first.tobytes(), least.astype("<u4").tobytes(), width.tobytes(), col.astype(np.uint8).tobytes(), grid[row, col].astype("<u4").tobytes(), body.tobytes()])
 
@@ -90,12 +100,15 @@ def unpack(payload: bytes, block: int | None = None) -> np.ndarray:
     else:
         chosen, lo, hi = np.arange(blocks), 0, patches
     grid = np.zeros((len(chosen), BLOCK), np.uint32)
-    for w in np.unique(width[chosen]):
+    for w in np.unique(width[chosen]).tolist():
         if w:
             own = np.flatnonzero(width[chosen] == w)
-            raw = body[start[chosen[own]][:, None] + np.arange(BLOCK // 8 * int(w))]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-            grid[own] = np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 32 - int(w)))), axis=2, bitorder="little").view("<u4")[:, :, 0] if w > 16 else np.packbits(np.pad(bits, ((0, 0), (0, 0), (0, 16 - int(w)))), axis=2, bitorder="little").view("<u2")[:, :, 0]
+            raw = body[start[chosen[own]][:, None] + np.arange(BLOCK // 8 * w, dtype=np.uint32)]
+            kind = np.dtype("<u2" if w <= 16 else "<u4")
+            planes, low = raw.reshape(len(own), w, -1), np.zeros((len(own), BLOCK), kind)
+            for k in range(w):
+                low |= np.unpackbits(planes[:, k], axis=1, bitorder="little").astype(kind) << kind.type(k)
+            grid[own] = low
     row = np.searchsorted(first, np.arange(lo, hi), side="right") - 1 - (block or 0)
     grid[row, col[lo:hi]] = value[lo:hi]
     out = (grid + least[chosen][:, None]).ravel()

@@ -17,10 +17,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
-CHUNKS, PIECES = 500_000, 250_000
+CHUNKS, PIECES = 650_000, 250_000
 
 # The published split patterns of the two vocabularies, restricted
 # to ASCII and the letters U+00C0 to U+017F without U+0130.
@@ -39,12 +40,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(shown) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+@lru_cache(1)
+def _spelling() -> dict[int, str]:
+    return dict(enumerate(byte_letters()))
+
+
 def spelled(piece: str) -> str:
     """A piece in the alphabet of byte-level vocabularies."""
-    if piece.isascii() and piece.isprintable() and " " not in piece:
-        return piece
-    table = byte_letters()
-    return "".join([table[b] for b in piece.encode("utf-8", "surrogatepass")])
+    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_spelling())
 
 
 class Pieces(dict):
@@ -55,7 +58,8 @@ class Pieces(dict):
         self.ids_of = ids_of
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.ids_of(piece), dtype="<u4").tobytes()
+        ids = self.ids_of(piece)
+        out = pack(f"<{len(ids)}I", *ids)
         if len(self) < PIECES:
             self[piece] = out
         return out
@@ -70,11 +74,12 @@ class Chunks(dict):
 
     def __init__(self, pattern: re.Pattern, lower: bool, lead: str, special: tuple[str, ...], piece_ids, whole_ids):
         super().__init__()
-        self.pattern, self.lower, self.lead, self.special, self.whole_ids = pattern, lower, lead, special, whole_ids
+        self.pattern, self.lower, self.lead, self.whole_ids = pattern, lower, lead, whole_ids
+        self.plain, self.has_special = PLAIN.fullmatch, re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self.pieces = Pieces(piece_ids)
 
     def encode(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
+        if self.plain(chunk) and not self.has_special(chunk):
             return b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk.lower() if self.lower else chunk)))
         return np.array(self.whole_ids(chunk), dtype="<u4").tobytes()
 
