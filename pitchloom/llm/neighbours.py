@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchloom.llm.common import discard, partitions, stored
+from pitchloom.llm.common import discard, partitions, release, stored
 
-LEAF, TREES, DEGREE, ROUNDS = 800, 6, 20, 3
-BEAM, EXPAND, STEPS = 160, 32, 12
+LEAF, TREES, DEGREE, ROUNDS = 3000, 8, 20, 2
+BEAM, EXPAND, STEPS = 240, 80, 16
 GROUP = 96
 
 
@@ -70,14 +70,19 @@ def _matrix(column, kind: str = "<f8") -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
-def _near(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of the ``k`` nearest other rows of each row."""
-    x = x.astype(np.float32)
-    d = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
-    k = min(k, len(x) - 1)
-    at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(x), 0), int)
-    return at, np.take_along_axis(d, at, 1)
+def _near(x: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of the ``k`` nearest other rows of each row; ``rows`` rows of distances at a time."""
+    x, k = x.astype(np.float32), min(k, len(x) - 1)
+    if k < 1:
+        return np.zeros((len(x), 0), int), np.zeros((len(x), 0), np.float32)
+    square, places, distances = (x * x).sum(1), [], []
+    for a in range(0, len(x), rows):
+        d = np.maximum(square[a : a + rows, None] + square[None] - 2 * x[a : a + rows] @ x.T, 0)
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        at = np.argpartition(d, k - 1, axis=1)[:, :k]
+        places.append(at)
+        distances.append(np.take_along_axis(d, at, 1))
+    return np.concatenate(places), np.concatenate(distances)
 
 
 def _edges(a, b, d):
@@ -110,8 +115,8 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
     return edges.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree).drop("r")
 
 
-def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
-    """``a, b, d``: the graph over ``node, v`` rows, with squared distances."""
+def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors in half precision, scaled, that it was built on."""
     spark = found.sparkSession
     count = found.count()
     bits = max(0, min(20, int(np.ceil(np.log2(max(1, count / leaf))))))
@@ -173,8 +178,9 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
         nearer = met.mapInArrow(proposals, "a long, b long, d float")
         after = stored(_best(graph.union(nearer), degree), "graph")
         discard(graph)
+        release(spark)
         graph = after
-    return graph
+    return graph, short
 
 
 def _most(batches):
@@ -184,44 +190,45 @@ def _most(batches):
         yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(_matrix(batch.column(1))).max(initial=0))])], ["m"])
 
 
-def search(queries: DataFrame, found: DataFrame, graph: DataFrame, start: DataFrame, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
-    """``q, node, d``: each query's ``beam`` nearest nodes met, with squared distances.
+def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+    """``q, node, d``: each query's ``beam`` nearest nodes met, with squared distances in half precision.
 
-    ``queries`` has ``q, x`` (float64 bytes), ``start`` has ``q, node``. A step expands
-    each query's ``expand`` nearest nodes of the beam that are not expanded yet; the
-    search ends when there are none.
+    ``start`` has ``q, x, node``: the query's vector, scaled like ``short``, and nodes
+    to begin at. A step expands each query's ``expand`` nearest nodes of the beam that
+    are not expanded yet; the search ends when there are none. The query's vector
+    travels to the nodes, and only distances come back.
     """
     ways = stored(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "ways")
-    points = found.select("node", "v")
+    asked = stored(start.select("q", "x").dropDuplicates(["q"]), "asked")
 
     def measured(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x, v = _matrix(batch.column(2)), _matrix(batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x - v) ** 2).sum(axis=1))], ["q", "node", "d"])
+            x, v = (_matrix(batch.column(k), "<f2").astype(np.float32) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x - v) ** 2).sum(axis=1).astype(np.float64))], ["q", "node", "d"])
 
     def measure(pairs: DataFrame) -> DataFrame:
-        return pairs.join(points, "node").join(queries, "q").select("q", "node", "x", "v").mapInArrow(measured, "q long, node long, d double")
-
-    order = W.partitionBy("q").orderBy("d", "node")
+        return pairs.join(short, "node").select("q", "node", "x", "s").mapInArrow(measured, "q long, node long, d double").withColumn("done", F.lit(False))
 
     def ranked(rows: DataFrame) -> DataFrame:
-        best = rows.groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam)
+        # Dealt by query once; merging, ranking and choosing stay there.
+        best = rows.repartition("q").groupBy("q", "node").agg(F.min("d").alias("d"), F.max("done").alias("done"))
+        best = best.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "node"))).where(F.col("r") <= beam)
         return best.withColumn("turn", F.when(~F.col("done"), F.row_number().over(W.partitionBy("q", "done").orderBy("r")))).drop("r")
 
-    now = stored(ranked(measure(start.select("q", "node").distinct()).withColumn("done", F.lit(False))), "beam")
+    now = stored(ranked(measure(start.select("q", "x", "node"))), "beam")
     for _ in range(steps):
         chosen = now.where(F.col("turn") <= expand)
         if chosen.isEmpty():
             break
-        seen = now.select("q", "node")
-        fresh = chosen.select("q", F.col("node").alias("a")).join(ways, "a").select("q", F.col("b").alias("node")).distinct().join(seen, ["q", "node"], "left_anti")
+        fresh = chosen.join(asked, "q").select("q", "x", F.col("node").alias("a")).join(ways, "a").select("q", "x", F.col("b").alias("node"))
         kept = now.select("q", "node", "d", (F.col("done") | F.coalesce(F.col("turn") <= expand, F.lit(False))).alias("done"))
-        after = stored(ranked(kept.unionByName(measure(fresh).withColumn("done", F.lit(False)))), "beam")
+        after = stored(ranked(kept.unionByName(measure(fresh))), "beam")
         discard(now)
+        release(now.sparkSession)
         now = after
-    discard(ways)
+    discard(ways, asked)
     return now.select("q", "node", "d")
 
 
@@ -235,12 +242,20 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, **settings) -> Data
     """
     rows = stored(vectors(table), "vectors")
     found = stored(nodes(rows, k + 1), "nodes")
-    graph = build(found, **settings)
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = stored(asked.select(F.col("vec_id").alias("q"), F.col("v").alias("x")), "queries")
-    home = queries.join(found.select("node", "v"), queries["x"] == found["v"]).select("q", "node")
-    near = home.join(graph.select(F.col("a").alias("node"), F.col("b")), "node").select("q", F.col("b").alias("node"))
-    met = search(queries, found, graph, home.union(near))
-    members = met.join(found.select("node", "ids"), "node").select("q", "d", F.explode("ids").alias("vec_id")).where("q <> vec_id")
+    graph, short = build(found, **settings)
+    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("q"), "v")
+    queries = stored(asked.join(found.select("node", "v"), "v").join(short, "node").select("q", "node", "v", F.col("s").alias("x")), "queries")
+    near = queries.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", "x", F.col("b").alias("node"))
+    met = search(queries.select("q", "x", "node").union(near), short, graph)
+
+    def exact(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            d = ((_matrix(batch.column(1)) - _matrix(batch.column(2))) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d), batch.column(3)], ["q", "d", "ids"])
+
+    met = met.join(found.select("node", F.col("v").alias("w"), "ids"), "node").join(queries.select("q", "v"), "q")
+    members = met.select("q", "v", "w", "ids").mapInArrow(exact, "q long, d double, ids array<long>").select("q", "d", F.explode("ids").alias("vec_id")).where("q <> vec_id")
     ranked = members.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d").alias("score"))
