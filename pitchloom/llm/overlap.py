@@ -311,7 +311,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
                 own = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(1).take(own), part.column(2).take(own), part.column(3).take(own), pa.array([made[k][1] for k in keep], pa.binary())], ["c", "root", "blocks", "s"])
 
-    whole = rows.join(needed, "doc_id").select("text", "_c", "root", "blocks").mapInArrow(sets, "c long, root long, blocks int, s binary")
+    # Joined alike at every size: the texts are shuffled once, however few are needed.
+    whole = rows.join(needed.hint("merge"), "doc_id").select("text", "_c", "root", "blocks").mapInArrow(sets, "c long, root long, blocks int, s binary")
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     dealt = whole.select("c", "s", "root", F.explode(others).alias("_b")).select(F.xxhash64("root", "_b.i", "_b.j").alias("g"), "c", "s")
@@ -332,7 +333,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = join(docs, words, percent).where("doc_id is not null")
     kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("doc_id", "_id"), "kept")
     named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    out = named.join(kept.select("_id"), "_id", "left_semi")
+    out = named.join(kept.select("_id").hint("merge"), "_id", "left_semi")
     if not kept.where("m > 1").isEmpty():
         out = out.dropDuplicates(["_id", "text"])
     return out.unionByName(named.where("_id is null")).select(docs.columns)
