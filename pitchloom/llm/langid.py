@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from pitchloom.llm import tokens
 from pitchloom.llm.automaton import tokens_slices
 
 #: About so many labelled documents of each language are used for fitting.
@@ -115,6 +116,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filter:
     def run(batches):
         import pyarrow as pa
 
+        tokens.forget()
         for batch in batches:
             for part in tokens_slices(batch, 2 << 20):
                 _, grams = ngrams(part.column(0).to_pylist())
@@ -188,6 +190,7 @@ def predict(docs: DataFrame, filter_: Filter) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        tokens.forget()
         for batch in batches:
             for part in tokens_slices(batch, 2 << 20):
                 names, score = decide(shared.value, part.column(part.schema.get_field_index("text")).to_pylist())

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm import shingles
+from pitchloom.llm import shingles, tokens
 from pitchloom.llm.common import discard, partitions, release, stored
 from pitchloom.llm.graph import Forest, components
 
@@ -71,6 +71,7 @@ def classes(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFram
     def run(batches):
         import pyarrow as pa
 
+        tokens.forget()
         table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in shingles.slices(batch, 1):
@@ -122,6 +123,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, bits: int, is_long: np.n
     def run(batches):
         import pyarrow as pa
 
+        tokens.forget()
         long_ = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in shingles.slices(batch, 0):

@@ -36,6 +36,8 @@ from pitchloom.llm.common import id_text, partitions
 BLOCK = 128
 MAGIC = int.from_bytes(b"PFB1", "little")
 SEGMENT = 1 << 18
+#: Words that a worker remembers here; byte-level chunks are many.
+CHUNKS, PIECES = 650_000, 250_000
 
 FILE = "shard int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -133,7 +135,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, percenti
         from pyspark import TaskContext
 
         shard, done = TaskContext.get().partitionId(), 0
-        encoder = tokens.library_encoder(vocabulary, "space")
+        encoder = tokens.library_encoder(vocabulary, "space", CHUNKS, PIECES)
         names, sizes, parts, held = [], [], [], 0
 
         def segment():

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm import shingles
+from pitchloom.llm import shingles, tokens
 from pitchloom.llm.common import discard, release, stored
 
 WINDOW = 13
@@ -71,6 +71,7 @@ def repeated(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     def halves(batches):
         import pyarrow as pa
 
+        tokens.forget()
         for batch in batches:
             for part in shingles.slices(batch, 1):
                 w = _Windows(part.column(1), length)
@@ -88,6 +89,7 @@ def repeated(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     def targets(batches):
         import pyarrow as pa
 
+        tokens.forget()
         for batch in batches:
             for part in shingles.slices(batch, 2):
                 w = _Windows(part.column(2), length)

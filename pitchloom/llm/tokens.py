@@ -15,13 +15,14 @@ chunks it has met. The memory is bounded: a full cache stops growing.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
 
-CHUNKS, PIECES = 650_000, 250_000
+CHUNKS, PIECES = 350_000, 150_000
 
 # The published split patterns of the two vocabularies, restricted
 # to ASCII and the letters U+00C0 to U+017F without U+0130.
@@ -53,14 +54,14 @@ def spelled(piece: str) -> str:
 class Pieces(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes, computed when first asked for."""
 
-    def __init__(self, ids_of: Callable[[str], list[int]]):
+    def __init__(self, ids_of: Callable[[str], list[int]], most: int):
         super().__init__()
-        self.ids_of = ids_of
+        self.ids_of, self.most = ids_of, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.ids_of(piece)
         out = pack(f"<{len(ids)}I", *ids)
-        if len(self) < PIECES:
+        if len(self) < self.most:
             self[piece] = out
         return out
 
@@ -72,11 +73,12 @@ class Chunks(dict):
     and serves those with unusual characters or with a special token's string.
     """
 
-    def __init__(self, pattern: re.Pattern, lower: bool, lead: str, special: tuple[str, ...], piece_ids, whole_ids):
+    def __init__(self, pattern: re.Pattern, lower: bool, lead: str, special: tuple[str, ...], piece_ids, whole_ids, chunks: int, pieces: int):
         super().__init__()
+        self.most = chunks
         self.pattern, self.lower, self.lead, self.whole_ids = pattern, lower, lead, whole_ids
         self.plain, self.has_special = PLAIN.fullmatch, re.compile("|".join(map(re.escape, special)) or "(?!)").search
-        self.pieces = Pieces(piece_ids)
+        self.pieces = Pieces(piece_ids, pieces)
 
     def encode(self, chunk: str) -> bytes:
         if self.plain(chunk) and not self.has_special(chunk):
@@ -85,7 +87,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.encode(self.lead + chunk.decode("utf-8", "replace"))
-        if len(self) < CHUNKS:
+        if len(self) < self.most:
             self[chunk] = out
         return out
 
@@ -93,9 +95,9 @@ class Chunks(dict):
 class TextEncoder:
     """Texts (UTF-8 bytes) to ids (bytes of unsigned 32-bit integers)."""
 
-    def __init__(self, split_at: str, special: tuple[str, ...], piece_ids, whole_ids):
+    def __init__(self, split_at: str, special: tuple[str, ...], piece_ids, whole_ids, chunks: int = CHUNKS, pieces: int = PIECES):
         self.blank = split_at == "blank"
-        self.chunks = Chunks(WORD_SPLIT if self.blank else BYTE_SPLIT, self.blank, "" if self.blank else " ", special, piece_ids, whole_ids)
+        self.chunks = Chunks(WORD_SPLIT if self.blank else BYTE_SPLIT, self.blank, "" if self.blank else " ", special, piece_ids, whole_ids, chunks, pieces)
 
     def __call__(self, text: bytes) -> bytes:
         get = self.chunks.__getitem__
@@ -120,7 +122,15 @@ def library(path: str):
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
-def library_encoder(path: str, split_at: str) -> TextEncoder:
+def forget() -> None:
+    """Drop what this worker remembers; tasks of other operators call it, as workers outlive theirs."""
+    _ENCODERS.clear()
+    automaton = sys.modules.get("pitchloom.llm.automaton")
+    if automaton is not None:
+        automaton.compiled.cache_clear()
+
+
+def library_encoder(path: str, split_at: str, chunks: int = CHUNKS, pieces: int = PIECES) -> TextEncoder:
     """Ids by the tokenizers library: its model for pieces, all of it for the rest. One per worker."""
     if (path, split_at) not in _ENCODERS:
         tokenizer = library(path)
@@ -128,6 +138,6 @@ def library_encoder(path: str, split_at: str) -> TextEncoder:
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         assert split_at in ("blank", "space") and (suffix is not None) == (split_at == "blank"), "this vocabulary's split is not known"
         _ENCODERS[path, split_at] = TextEncoder(
-            split_at, special, lambda piece: [t.id for t in model.tokenize(spelled(piece))], lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            split_at, special, lambda piece: [t.id for t in model.tokenize(spelled(piece))], lambda text: tokenizer.encode(text, add_special_tokens=False).ids, chunks, pieces
         )
     return _ENCODERS[path, split_at]
