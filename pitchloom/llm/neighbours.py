@@ -4,11 +4,12 @@ Equal vectors are one node, with the least ids of its members (as many as a resu
 can name). The graph starts from leaves: a few random hyperplane codes group the
 nodes, and within a leaf every node meets all others. Then rounds of joins bring
 neighbours of neighbours together: every node's neighbours, forward and reverse,
-meet at that node, and pairs nearer than what either has are proposed. A node with
-very many reverse neighbours is split into groups, so that no task holds them all
-and none is dropped. Queries start at their own node or at entry points and follow
-the graph from the nearest nodes not yet expanded, all queries at once, one join
-per step. Distances are exact when results are ranked.
+meet at that node, and pairs nearer than what either has are proposed, until a round
+changes few edges. A node with very many reverse neighbours is split into groups,
+other ones in every round, so that no task holds them all and none is dropped.
+Queries start at their own node or at entry points and follow the graph from the
+nearest nodes not yet expanded, all queries at once, one join per step, until all of
+the beam is expanded. Distances are exact when results are ranked.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import Window as W
 
 from pitchloom.llm.common import discard, partitions, release, stored
 
-LEAF, TREES, DEGREE, ROUNDS = 3000, 8, 20, 2
-BEAM, EXPAND, STEPS = 240, 80, 16
+LEAF, TREES, DEGREE = 3000, 8, 20
+#: Rounds end when one changes less than this share of the edges.
+FEW = 0.005
+BEAM, EXPAND = 240, 80
 GROUP = 96
 
 
@@ -112,11 +115,15 @@ def _grouped(batches, flush):
 def _best(edges: DataFrame, degree: int) -> DataFrame:
     """Each node's ``degree`` nearest of the proposed neighbours."""
     order = W.partitionBy("a").orderBy("d", "b")
-    return edges.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree).drop("r")
+    return edges.groupBy("a", "b").agg(F.min("d").alias("d"), F.min("round").alias("round")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= degree).drop("r")
 
 
-def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int = ROUNDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors in half precision, scaled, that it was built on."""
+def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors in half precision, scaled, that it was built on.
+
+    Rounds go on until few edges change, or to ``rounds`` if that is given. Up to
+    ``leaf`` nodes are one leaf where all have met, which needs no round.
+    """
     spark = found.sparkSession
     count = found.count()
     bits = max(0, min(20, int(np.ceil(np.log2(max(1, count / leaf))))))
@@ -155,7 +162,7 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
     short = stored(found.select("node", "v").mapInArrow(shortened, "node long, s binary"), "short-vectors")
     many = 2 * partitions(spark)
     met = dealt.join(short, "node").select("g", "node", "s").repartition(many, "g").sortWithinPartitions("g")
-    graph = stored(_best(met.mapInArrow(leaves, "a long, b long, d float"), degree), "graph")
+    graph = stored(_best(met.mapInArrow(leaves, "a long, b long, d float").withColumn("round", F.lit(0)), degree), "graph")
 
     def proposals(batches):
         def flush(run):
@@ -168,19 +175,24 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
 
         yield from _grouped(batches, flush)
 
-    for _ in range(rounds if count > leaf else 0):
+    turn = 0
+    while count > leaf and (rounds is None or turn < rounds):
+        turn += 1
         reach = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("reach"))
         own = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).union(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
         sizes = own.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"))
-        grouped = own.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("g"), "node")
+        grouped = own.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))).alias("g"), "node")
         carried = short.join(reach.withColumnRenamed("a", "node"), "node")
         met = grouped.join(carried, "node").select("g", "node", "reach", "s").repartition(many, "g").sortWithinPartitions("g")
-        nearer = met.mapInArrow(proposals, "a long, b long, d float")
+        nearer = met.mapInArrow(proposals, "a long, b long, d float").withColumn("round", F.lit(turn))
         after = stored(_best(graph.union(nearer), degree), "graph")
         discard(graph)
         release(spark)
         graph = after
-    return graph, short
+        changed = graph.agg(F.coalesce(F.avg((F.col("round") == turn).cast("double")), F.lit(0.0))).first()[0]
+        if changed < FEW:
+            break
+    return graph.select("a", "b", "d"), short
 
 
 def _most(batches):
@@ -190,7 +202,7 @@ def _most(batches):
         yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(_matrix(batch.column(1))).max(initial=0))])], ["m"])
 
 
-def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """``q, node, d``: each query's ``beam`` nearest nodes met, with squared distances in half precision.
 
     ``start`` has ``q, x, node``: the query's vector, scaled like ``short``, and nodes
@@ -218,7 +230,7 @@ def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEA
         return best.withColumn("turn", F.when(~F.col("done"), F.row_number().over(W.partitionBy("q", "done").orderBy("r")))).drop("r")
 
     now = stored(ranked(measure(start.select("q", "x", "node"))), "beam")
-    for _ in range(steps):
+    while True:
         chosen = now.where(F.col("turn") <= expand)
         if chosen.isEmpty():
             break

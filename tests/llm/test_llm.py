@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pitchloom.llm import automaton, chat, langid, neighbours, overlap, packing, pfor, secrets, simhash, substrings, tokens
 from pitchloom.llm.graph import components
@@ -106,6 +107,15 @@ def test_nearest_neighbours(spark):
     assert hits >= 0.9 * 150
 
 
+def test_search_goes_on_until_the_beam_is_expanded(spark):
+    table = spark.createDataFrame([(i, [float(i + 1)]) for i in range(41)], "vec_id long, embedding array<double>")
+    _, short = neighbours.build(neighbours.nodes(neighbours.vectors(table), 11))
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)], "a long, b long, d double")
+    start = short.where("node = 40").select(F.lit(40).cast("long").alias("q"), F.col("s").alias("x"), F.lit(0).cast("long").alias("node"))
+    met = neighbours.search(start, short, chain, beam=60)
+    assert {r["node"] for r in met.collect()} == set(range(41))
+
+
 def test_neighbours_of_copies_and_of_few(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in neighbours.nearest(same, every=10).where("query_id = 10").orderBy("rank").collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
