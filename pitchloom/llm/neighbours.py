@@ -68,30 +68,52 @@ def nodes(found: DataFrame, members: int) -> DataFrame:
     return ranked.where(F.col("r") <= members).groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("node", "v", "ids")
 
 
-def _matrix(column, kind: str = "<f8") -> np.ndarray:
+def _matrix(column) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
-def _near(x: np.ndarray, k: int, rows: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of the ``k`` nearest other rows of each row; ``rows`` rows of distances at a time."""
-    x, k = x.astype(np.float32), min(k, len(x) - 1)
+def _unpacked(column) -> np.ndarray:
+    """The vectors of ``s``, in double precision: the first byte is the number of bytes of a component."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join([r[1:] for r in rows]), f"<f{rows[0][0]}").reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, 1))
+
+
+def _near(x: np.ndarray, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Places and squared distances of the ``k`` nearest other rows of each row, ties to the first; ``rows`` rows at a time.
+
+    Products choose which rows may be among the nearest, with room for their
+    rounding; these are then measured by their differences.
+    """
+    k = min(k, len(x) - 1)
     if k < 1:
-        return np.zeros((len(x), 0), int), np.zeros((len(x), 0), np.float32)
+        return np.zeros((len(x), 0), int), np.zeros((len(x), 0))
     square, places, distances = (x * x).sum(1), [], []
+    unsure = (x.shape[1] + 4) * 2.0**-51
     for a in range(0, len(x), rows):
-        d = np.maximum(square[a : a + rows, None] + square[None] - 2 * x[a : a + rows] @ x.T, 0)
+        part = x[a : a + rows]
+        both = square[a : a + rows, None] + square[None]
+        d = both - 2 * part @ x.T
+        both *= unsure
+        d[np.isnan(d)] = np.inf
         d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        places.append(at)
-        distances.append(np.take_along_axis(d, at, 1))
+        most = np.partition(d + both, k - 1, axis=1)[:, k - 1 : k]
+        may = d - both <= most
+        may[np.arange(len(d)), np.arange(a, a + len(d))] = False
+        i, j = np.nonzero(may)
+        exact = np.concatenate([((part[i[c : c + 65536]] - x[j[c : c + 65536]]) ** 2).sum(1) for c in range(0, len(i), 65536)])
+        order = np.lexsort((j, exact, i))
+        first = np.searchsorted(i[order], np.arange(len(part)))
+        at = order[first[:, None] + np.arange(k)]
+        places.append(j[at])
+        distances.append(exact[at])
     return np.concatenate(places), np.concatenate(distances)
 
 
 def _edges(a, b, d):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.float32))], ["a", "b", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.float64))], ["a", "b", "d"])
 
 
 def _grouped(batches, flush):
@@ -119,7 +141,7 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors in half precision, scaled, that it was built on.
+    """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors it was built on, without loss.
 
     Rounds go on until few edges change, or to ``rounds`` if that is given. Up to
     ``leaf`` nodes are one leaf where all have met, which needs no round.
@@ -144,30 +166,34 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
 
     def leaves(batches):
         def flush(run):
-            at, d = _near(_matrix(run.column(2), "<f2"), degree)
             names = np.asarray(run.column(1))
+            order = np.argsort(names)
+            names = names[order]
+            at, d = _near(_unpacked(run.column(2))[order], degree)
             yield _edges(np.repeat(names, at.shape[1]), names[at.ravel()], d.ravel())
 
         yield from _grouped(batches, flush)
 
-    most = found.select("node", "v").mapInArrow(_most, "m double").agg(F.max("m")).first()[0] or 1.0
+    single = found.select("node", "v").mapInArrow(_single, "ok boolean").agg(F.min("ok")).first()[0]
+    kind = 8 if single is False else 4
 
     def shortened(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = (_matrix(batch.column(1)) / most).astype("<f2")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "s"])
+            x = _matrix(batch.column(1)).astype(f"<f{kind}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bytes([kind]) + v.tobytes() for v in x], pa.binary())], ["node", "s"])
 
     short = stored(found.select("node", "v").mapInArrow(shortened, "node long, s binary"), "short-vectors")
     many = 2 * partitions(spark)
     met = dealt.join(short, "node").select("g", "node", "s").repartition(many, "g").sortWithinPartitions("g")
-    graph = stored(_best(met.mapInArrow(leaves, "a long, b long, d float").withColumn("round", F.lit(0)), degree), "graph")
+    graph = stored(_best(met.mapInArrow(leaves, "a long, b long, d double").withColumn("round", F.lit(0)), degree), "graph")
 
     def proposals(batches):
         def flush(run):
-            names, reach = np.asarray(run.column(1)), np.asarray(run.column(2))
-            at, d = _near(_matrix(run.column(3), "<f2"), min(degree, 12))
+            order = np.argsort(np.asarray(run.column(1)))
+            names, reach = np.asarray(run.column(1))[order], np.asarray(run.column(2))[order]
+            at, d = _near(_unpacked(run.column(3))[order], min(degree, 12))
             a, b, d = np.repeat(np.arange(len(names)), at.shape[1]), at.ravel(), d.ravel()
             better = (d < reach[a]) | (d < reach[b])
             a, b, d = a[better], b[better], d[better]
@@ -178,13 +204,13 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
     turn = 0
     while count > leaf and (rounds is None or turn < rounds):
         turn += 1
-        reach = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("reach"))
+        reach = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("d")).alias("reach"))
         own = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).union(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
         sizes = own.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"))
         grouped = own.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))).alias("g"), "node")
         carried = short.join(reach.withColumnRenamed("a", "node"), "node")
         met = grouped.join(carried, "node").select("g", "node", "reach", "s").repartition(many, "g").sortWithinPartitions("g")
-        nearer = met.mapInArrow(proposals, "a long, b long, d float").withColumn("round", F.lit(turn))
+        nearer = met.mapInArrow(proposals, "a long, b long, d double").withColumn("round", F.lit(turn))
         after = stored(_best(graph.union(nearer), degree), "graph")
         discard(graph)
         release(spark)
@@ -195,17 +221,20 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
     return graph.select("a", "b", "d"), short
 
 
-def _most(batches):
+def _single(batches):
+    """Whether single precision holds every component as it is."""
     import pyarrow as pa
 
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(_matrix(batch.column(1))).max(initial=0))])], ["m"])
+        x = _matrix(batch.column(1))
+        with np.errstate(over="ignore"):
+            yield pa.RecordBatch.from_arrays([pa.array([bool((x.astype("<f4") == x).all())])], ["ok"])
 
 
 def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """``q, node, d``: each query's ``beam`` nearest nodes met, with squared distances in half precision.
+    """``q, node, d``: each query's ``beam`` nearest nodes met, with squared distances.
 
-    ``start`` has ``q, x, node``: the query's vector, scaled like ``short``, and nodes
+    ``start`` has ``q, x, node``: the query's vector, written like ``short``, and nodes
     to begin at. A step expands each query's ``expand`` nearest nodes of the beam that
     are not expanded yet; the search ends when there are none. The query's vector
     travels to the nodes, and only distances come back.
@@ -217,8 +246,8 @@ def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEA
         import pyarrow as pa
 
         for batch in batches:
-            x, v = (_matrix(batch.column(k), "<f2").astype(np.float32) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x - v) ** 2).sum(axis=1).astype(np.float64))], ["q", "node", "d"])
+            x, v = (_unpacked(batch.column(k)) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(((x - v) ** 2).sum(axis=1))], ["q", "node", "d"])
 
     def measure(pairs: DataFrame) -> DataFrame:
         return pairs.join(short, "node").select("q", "node", "x", "s").mapInArrow(measured, "q long, node long, d double").withColumn("done", F.lit(False))

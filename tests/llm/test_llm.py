@@ -116,6 +116,21 @@ def test_search_goes_on_until_the_beam_is_expanded(spark):
     assert {r["node"] for r in met.collect()} == set(range(41))
 
 
+def test_neighbours_beside_an_outlier_and_among_near_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 8))
+    x[500:900] = x[500] * (1 + 1e-6 * rng.normal(size=(400, 8)))
+    x[77] *= 1e8
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(table).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 1000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(1000), d))[:10].tolist(), q
+
+
 def test_neighbours_of_copies_and_of_few(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in neighbours.nearest(same, every=10).where("query_id = 10").orderBy("rank").collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9]
