@@ -33,13 +33,15 @@ def to_remove(files: DataFrame) -> DataFrame:
 def first_match(entries: DataFrame, metadata: DataFrame, both_ways: bool = True) -> DataFrame:
     """``path, raga``: the first metadata row (by ``ord``) whose title is part of the entry's song, or the other way.
 
-    Titles that are equal need no search and are joined by key; the rest is a search
-    of the small metadata table (thousands of songs), which is broadcast.
+    Of rows with equal titles only the first can be the first match, so the metadata
+    are reduced to one row a title. The rest is a search of that small table
+    (thousands of titles), which is broadcast.
     """
     hit = F.contains("song", "title")
     if both_ways:
         hit = hit | F.contains("title", "song")
-    found = entries.select("path", "song").join(F.broadcast(metadata.select("title", "raga", "ord")), hit)
+    titles = metadata.groupBy("title").agg(F.min_by("raga", "ord").alias("raga"), F.min("ord").alias("ord"))
+    found = entries.select("path", "song").join(F.broadcast(titles), hit)
     return found.groupBy("path").agg(F.min_by("raga", "ord").alias("raga"))
 
 

@@ -740,6 +740,14 @@ def metadata_first_match(spark, d):
     return quality.first_match(entries, meta)
 
 
+@query("SELECT s.path, min_by(raga, ord) AS raga FROM (SELECT p_partkey AS path, lower(p_name) AS song FROM part) s JOIN (SELECT min_by(p_type, p_partkey) AS raga, min(p_partkey) AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part GROUP BY title) m ON contains(s.song, m.title) OR contains(m.title, s.song) GROUP BY s.path")
+def metadata_first_match_whole(spark, d):
+    part = table(spark, d, "part")
+    entries = part.select(F.col("p_partkey").alias("path"), F.lower("p_name").alias("song"))
+    meta = part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("title"), F.col("p_type").alias("raga"), F.col("p_partkey").alias("ord"))
+    return quality.first_match(entries, meta)
+
+
 @query("SELECT part, max_by(path, (length(path), path)) AS path FROM (SELECT DISTINCT p_brand AS part FROM part) w JOIN (SELECT p_brand || '/' || p_name || '/' || p_type AS path FROM part) e ON contains(path, part) GROUP BY part")
 def metadata_longest_match(spark, d):
     part = table(spark, d, "part")

@@ -31,6 +31,12 @@ def test_oracle(spark, duck, name):
     assert key(a) == key(b)
 
 
+def test_metadata_of_the_whole_table(spark, duck):
+    rows = {tuple(r) for r in registry.queries()["metadata_first_match_whole"](spark, SF).collect()}
+    assert rows == set(duck.sql(registry.oracle_sql()["metadata_first_match_whole"]).fetchall())
+    assert len(rows) == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
