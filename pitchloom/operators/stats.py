@@ -18,18 +18,20 @@ def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: in
     """One row ``p``: share of shuffles whose difference of means is at least the observed one, two-sided.
 
     Replicates are dealt over tasks; each draws its own stream from the seed and its
-    number. The two samples are experiment results, a value per clip; they travel
-    with each task.
+    number. Only distinct values and their counts reach the driver; the two samples,
+    a value per clip, travel with each task, which holds a few million shuffled
+    values at a time.
     """
     import numpy as np
 
     spark = df.sparkSession
-    rows = df.where(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).orderBy("g", "x").collect()
-    first = np.array([r["x"] for r in rows if r["g"] == a])
-    second = np.array([r["x"] for r in rows if r["g"] == b])
+    rows = df.where(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).groupBy("g", "x").count().orderBy("g", "x").collect()
+    sample = lambda k: np.repeat(np.array([r["x"] for r in rows if r["g"] == k]), np.array([r["count"] for r in rows if r["g"] == k], int))
+    first, second = sample(a), sample(b)
     pool, na = np.concatenate([first, second]), len(first)
     seen = abs(first.mean() - second.mean()) if len(first) and len(second) else float("nan")
     block = 500
+    once = max(1, (1 << 22) // max(1, len(pool)))
 
     def run(batches):
         import pyarrow as pa
@@ -37,9 +39,11 @@ def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: in
         for batch in batches:
             hits = []
             for k in batch.column(0).to_pylist():
-                rng = np.random.default_rng([seed, k])
-                some = rng.permuted(np.tile(pool, (min(block, iterations - k * block), 1)), axis=1)
-                hits.append(int((np.abs(some[:, :na].mean(axis=1) - some[:, na:].mean(axis=1)) >= seen - 1e-15).sum()))
+                rng, n, hit = np.random.default_rng([seed, k]), min(block, iterations - k * block), 0
+                for at in range(0, n, once):
+                    some = rng.permuted(np.tile(pool, (min(once, n - at), 1)), axis=1)
+                    hit += int((np.abs(some[:, :na].mean(axis=1) - some[:, na:].mean(axis=1)) >= seen - 1e-15).sum())
+                hits.append(hit)
             yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64())], ["hits"])
 
     parts = spark.range(-(-iterations // block), numPartitions=8).mapInArrow(run, "hits long")

@@ -669,7 +669,7 @@ def cohens_d(spark, d):
 @query()
 def permutation_p(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0, iterations=2000)
+    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0)
 
 
 @query("SELECT round(rm, 6) AS reference_median, round(tm, 6) AS target_median, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > rm) AS beats FROM (SELECT median(value) FILTER (event_type = 'view') AS rm, median(value) FILTER (event_type = 'click') AS tm FROM events)")

@@ -37,6 +37,11 @@ def test_metadata_of_the_whole_table(spark, duck):
     assert len(rows) == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
 
 
+def test_permutation_p_does_all_shuffles(spark):
+    p = registry.queries()["permutation_p"](spark, SF).first()["p"]
+    assert abs(p * 50_001 - round(p * 50_001)) < 1e-6 and abs(p * 2001 - round(p * 2001)) > 1e-6
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
