@@ -17,9 +17,15 @@ LEAST_SCORE = 0.05
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that have no letters, no text, or no language that stands out."""
+    """Drops documents that have no letters, no text, or no language that stands out.
+
+    Where no language could be learned (no labelled document outside the held-out
+    fold, or none with letters) all documents with letters stay.
+    """
     known_to_workers(spark)
     learned = langid.fit(docs.where(~langid.held_out(docs)))
+    if not learned.slots.any():
+        return langid.with_letters(docs).select(docs.columns)
     found = langid.predict(docs, learned)
     return found.where((found["lang_pred"] != langid.UNDECIDED) & (found["score"] >= LEAST_SCORE)).select(docs.columns)
 

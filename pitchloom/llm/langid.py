@@ -201,6 +201,20 @@ def predict(docs: DataFrame, filter_: Filter) -> DataFrame:
     return plain.mapInArrow(run, schema)
 
 
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter. No shuffle."""
+    plain = docs.withColumn("text", F.col("text").cast("string"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in texts], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema)
+
+
 def held_out(docs: DataFrame):
     """The fold that is never learned from: crc32 of the id as text leaves 1 when divided by 3; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))

@@ -30,3 +30,12 @@ def test_stages_keep_the_columns(spark):
         assert out.columns == docs.columns, name
         assert out.where("doc_id = 1").count() == 1, name
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, "").collect()} <= {1}
+
+
+def test_documents_stay_where_no_language_is_learned(spark):
+    form = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the house", None, "s", 9), (2, None, None, "s", None), (3, "1234", None, "s", 4)]
+    unlearned = [rows, [(i, t, "en" if i == 3 else None, s, n) for i, t, _, s, n in rows], [(i, "the house", "en", "s", 9) for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]]
+    for table, want in zip(unlearned, ({1}, {1}, {r[0] for r in unlearned[2]})):
+        out = corpus_pipeline.language(spark, spark.createDataFrame(table, form), "")
+        assert {r["doc_id"] for r in out.collect()} == want and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
