@@ -313,8 +313,19 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
                 own = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(1).take(own), part.column(2).take(own), part.column(3).take(own), pa.array([made[k][1] for k in keep], pa.binary())], ["c", "root", "blocks", "s"])
 
+    def classed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in shingles.slices(batch, 0):
+                made = [(_class(u), u.tobytes()) for u in shingle_sets(part.column(0), words)]
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], ["c", "s"])
+
     # Joined alike at every size: the texts are shuffled once, however few are needed.
     whole = rows.join(needed.hint("merge"), "doc_id").select("text", "_c", "root", "blocks").mapInArrow(sets, "c long, root long, blocks int, s binary")
+    # Classes of rows without an id have no key into the texts: they are joined by class.
+    alone = rows.where("doc_id is null").select("text").mapInArrow(classed, "c long, s binary").dropDuplicates(["c"])
+    whole = whole.unionByName(alone.join(needed.where("doc_id is null").select(F.col("_c").alias("c"), "root", "blocks"), "c").select("c", "root", "blocks", "s"))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     dealt = whole.select("c", "s", "root", F.explode(others).alias("_b")).select(F.xxhash64("root", "_b.i", "_b.j").alias("g"), "c", "s")

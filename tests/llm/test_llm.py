@@ -261,6 +261,16 @@ def test_jaccard_join_odd_rows(spark, empty, docs):
     assert {r["doc_id"] for r in overlap.keep_one(docs, 5, 80).collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_rows_without_an_id_link_two_documents(spark):
+    rows = [(1 + k, " ".join(f"w{j}" for j in range(2 * k, 2 * k + 20))) for k in range(2)]
+    bridge = (None, " ".join(f"w{j}" for j in range(1, 21)))
+    schema = "doc_id long, text string"
+    apart = overlap.join(spark.createDataFrame(rows, schema), words=1, percent=90)
+    assert {(r["doc_id"], r["component_id"]) for r in apart.collect()} == {(1, 1), (2, 2)}
+    met = overlap.join(spark.createDataFrame([*rows, bridge], schema), words=1, percent=90)
+    assert {(r["doc_id"], r["component_id"]) for r in met.where("doc_id is not null").collect()} == {(1, 1), (2, 1)}
+
+
 # --- op5 ---------------------------------------------------------------------------
 
 
