@@ -1,9 +1,9 @@
-"""Removal of passages that repeat across documents, by level-wise doubling.
+"""Removal of passages that repeat across documents, by one doubling of levels.
 
-Level 1 looks at windows of half the target length. Only windows that occur in
-two documents or more survive, and only target windows around a survivor are
-candidates of level 2, and so on: with ``longest`` over the target length, windows
-repeated at one length are extended to twice that length until none survives.
+Level 1 looks at windows of half the target length, rounded up. Only windows that
+occur in two documents or more survive, and only target windows around a survivor
+are candidates of level 2, the target length, which is the last: longer repeats are
+covered by their windows of that length.
 
 Level 1 need not list every window: a target window is represented by the one of
 its halves with the least hash (its minimizer). Equal target windows have equal
