@@ -73,7 +73,7 @@ def windows(h: np.ndarray, length: int) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch, column: int, most: int = 2 << 20):
+def slices(batch, column: int, most: int = 1 << 20):
     """Slices of a batch with about ``most`` bytes in a column; a longer text is a slice of its own."""
     import pyarrow.compute as pc
 
