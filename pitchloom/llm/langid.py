@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pitchloom.llm import tokens
-from pitchloom.llm.automaton import tokens_slices
+from pitchloom.llm import shingles, tokens
+from pitchloom.llm.common import discard, stored
 
 #: About so many labelled documents of each language are used for fitting.
 SAMPLE_PER_LANGUAGE = 3000
@@ -31,6 +31,8 @@ LEAST_SHARE = 2e-5
 #: Least share relative to that of the language where the n-gram is most common.
 LEAST_RATIO = 0.2
 SLOTS, HASHES = 1 << 20, 3
+#: Bytes of text that a worker takes up at a time, and characters that it looks at together.
+SLICE, PIECE = 1 << 20, 1 << 17
 UNDECIDED = "und"
 
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -60,8 +62,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def ngrams(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Whether each text has a letter, and for each length the n-grams' hashes and text numbers.
+def pieces(texts: list[str | None], most: int = PIECE):
+    """``(parts, owners)``: the texts, cut at blanks into parts of about ``most`` characters, as many at a time.
+
+    No n-gram reaches across a blank, so the parts have the n-grams of the texts, and
+    a very long text is never looked at as a whole.
+    """
+    parts, owners, held = [], [], 0
+    for k, text in enumerate(texts):
+        text = text or ""
+        at = 0
+        while at < len(text):
+            cut = text.find(" ", at + most - held)
+            end = len(text) if cut < 0 else cut
+            parts.append(text[at:end])
+            owners.append(k)
+            held += end - at
+            at = end
+            if held >= most:
+                yield parts, np.array(owners)
+                parts, owners, held = [], [], 0
+    if parts:
+        yield parts, np.array(owners)
+
+
+def ngrams(texts: list[str | None]):
+    """Whether each text has a letter, and a generator of the n-grams' hashes and text numbers, by length.
 
     Words are runs of letters in lower case, framed by blanks; an n-gram lies within
     one framed word.
@@ -71,25 +97,61 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, list[tuple[np.ndarray,
     raw = np.frombuffer("\n".join(["", *lows, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     points = _letters()[np.minimum(raw, 0x10FFFF)]
     letter = points != 0
-    owner = np.append([0], np.repeat(np.arange(len(lows)), sizes + 1))
-    has = np.zeros(len(lows), bool)
+    owner = np.append([0], np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1))
+    has = np.zeros(len(texts), bool)
     has[owner[letter]] = True
     keep = letter.copy()
     keep[0] = True
     keep[1:] |= letter[:-1]
     x, owner = points[keep].astype(np.uint64), owner[keep]
     blank = x == 0
-    out = []
-    for n in LENGTHS:
-        m = max(0, len(x) - n + 1)
-        h = np.full(m, np.uint64(n))
-        ok = np.ones(m, bool)
-        for k in range(n):
-            h = h * _M[0] + x[k : k + m] + np.uint64(1)
-            if 0 < k < n - 1:
-                ok &= ~blank[k : k + m]
-        out.append((_mix(h[ok]), np.where(blank[:m], owner[1 : m + 1], owner[:m])[ok]))
-    return has, out
+
+    def each():
+        for n in LENGTHS:
+            m = max(0, len(x) - n + 1)
+            h = np.full(m, np.uint64(n))
+            ok = np.ones(m, bool)
+            for k in range(n):
+                h = h * _M[0] + x[k : k + m] + np.uint64(1)
+                if 0 < k < n - 1:
+                    ok &= ~blank[k : k + m]
+            yield _mix(h[ok]), np.where(blank[:m], owner[1 : m + 1], owner[:m])[ok]
+
+    return has, each()
+
+
+class _Counts:
+    """Sums by language, length and hash, held until there are many."""
+
+    MOST = 300_000
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, l: int, n: int, h: np.ndarray):
+        value, count = np.unique(h, return_counts=True)
+        self.parts.append((np.full(len(value), l, np.int32), np.full(len(value), n, np.int32), value, count))
+        self.size += len(value)
+        if self.size >= 2 * self.MOST:
+            self._merge()
+            if self.size >= self.MOST:
+                yield self.take()
+
+    def _merge(self):
+        l, n, h, c = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((h, n, l))
+        l, n, h, c = l[order], n[order], h[order], c[order]
+        at = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (l[1:] != l[:-1])))
+        self.parts, self.size = [(l[at], n[at], h[at], np.add.reduceat(c, at))], len(at)
+
+    def take(self):
+        import pyarrow as pa
+
+        if self.parts:
+            self._merge()
+        l, n, h, c = self.parts[0] if self.parts else [np.zeros(0, t) for t in (np.int32, np.int32, np.uint64, np.int64)]
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(l), pa.array(n), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["l", "n", "h", "c"])
 
 
 def _slots(h: np.ndarray, k: int) -> np.ndarray:
@@ -114,20 +176,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filter:
     chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("text", "l")
 
     def run(batches):
-        import pyarrow as pa
-
         tokens.forget()
+        counts = _Counts()
         for batch in batches:
-            for part in tokens_slices(batch, 2 << 20):
-                _, grams = ngrams(part.column(0).to_pylist())
+            for part in shingles.slices(batch, 0, SLICE):
                 langs = part.column(1).to_numpy()
-                for n, (h, owner) in zip(LENGTHS, grams):
-                    for l in np.unique(langs[owner]):
-                        value, count = np.unique(h[langs[owner] == l], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), l, np.int32)), pa.array(np.full(len(value), n, np.int32)), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], ["l", "n", "h", "c"])
+                for parts, owners in pieces(part.column(0).to_pylist()):
+                    for n, (h, owner) in zip(LENGTHS, ngrams(parts)[1]):
+                        by = langs[owners[owner]]
+                        for l in np.unique(by).tolist():
+                            yield from counts.add(l, n, h[by == l])
+        yield counts.take()
 
     counts = chosen.mapInArrow(run, "l int, n int, h long, c long").groupBy("l", "n", "h").agg(F.sum("c").alias("c"))
-    counts = counts.persist()
+    counts = stored(counts, "ngrams")
     try:
         totals = {(r["l"], r["n"]): r["t"] for r in counts.groupBy("l", "n").agg(F.sum("c").alias("t")).collect()}
         whole = spark.createDataFrame([(l, n, float(t)) for (l, n), t in totals.items()], "l int, n int, t double") if totals else None
@@ -136,7 +198,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filter:
         shares = counts.join(F.broadcast(whole), ["l", "n"]).select("l", "h", (F.col("c") / F.col("t")).alias("f")).where(F.col("f") >= LEAST_SHARE)
         kept = shares.toArrow()
     finally:
-        counts.unpersist()
+        discard(counts)
     l, h, f = kept["l"].to_numpy(), kept["h"].to_numpy().view(np.uint64), kept["f"].to_numpy()
     values, place = np.unique(h, return_inverse=True)
     most = np.zeros(len(values))
@@ -156,17 +218,20 @@ def decide(filter_: Filter, texts: list[str | None]) -> tuple[list[str], np.ndar
     The score is the predicted language's share of all corrected counts, taken
     beyond even shares: 0 if all languages fit alike, 1 if no other fits at all.
     """
-    has, grams = ngrams(texts)
     n, names = len(texts), filter_.languages
-    seen, counts = np.zeros(n), np.zeros((max(1, len(names)), n))
-    for h, owner in grams:
-        seen += np.bincount(owner, minlength=n)
-        for s, slots in enumerate(filter_.slots):
-            mask = slots[_slots(h, 0)]
-            for k in range(1, HASHES):
-                mask &= slots[_slots(h, k)]
-            for l in range(64 * s, min(64 * s + 64, len(names))):
-                counts[l] += np.bincount(owner, weights=(mask >> np.uint64(l % 64)) & np.uint64(1), minlength=n)
+    has, seen, counts = np.zeros(n, bool), np.zeros(n), np.zeros((max(1, len(names)), n))
+    for parts, owners in pieces(texts):
+        found, grams = ngrams(parts)
+        np.logical_or.at(has, owners, found)
+        for h, owner in grams:
+            owner = owners[owner]
+            seen += np.bincount(owner, minlength=n)
+            for s, slots in enumerate(filter_.slots):
+                mask = slots[_slots(h, 0)]
+                for k in range(1, HASHES):
+                    mask &= slots[_slots(h, k)]
+                for l in range(64 * s, min(64 * s + 64, len(names))):
+                    counts[l] += np.bincount(owner, weights=(mask >> np.uint64(l % 64)) & np.uint64(1), minlength=n)
     if not names:
         return [UNDECIDED] * n, np.zeros(n)
     counts = np.maximum(0, counts - seen * filter_.wrong[:, None]) / (1 - np.minimum(filter_.wrong, 0.999))[:, None]
@@ -178,39 +243,44 @@ def decide(filter_: Filter, texts: list[str | None]) -> tuple[list[str], np.ndar
     return [names[b] if ok else UNDECIDED for b, ok in zip(best, has)], np.where(has & (total > 0), np.clip(score, 0, 1), 0.0)
 
 
-def predict(docs: DataFrame, filter_: Filter) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; only ``text`` is looked at. No shuffle.
+def predict(docs: DataFrame, filter_: Filter, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns, named by ``into``: the predicted language and its score. No shuffle.
 
-    A text that is null or has no letter is ``und`` with score 0. A text none of
-    whose n-grams is known gets the most frequent learned language with score 0.
+    Only ``text`` is looked at, whole, however long. A text that is null or has no
+    letter is ``und`` with score 0. A text none of whose n-grams is known gets the most
+    frequent learned language with score 0; a filter without languages says ``und``.
+    Columns of ``docs`` that have the names of ``into`` give way to the new ones; all
+    others and all rows, repeated ones too, are kept. An empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
-    plain = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    taken = {c.lower() for c in into}
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).withColumn("text", F.col("text").cast("string"))
+    at = plain.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         tokens.forget()
         for batch in batches:
-            for part in tokens_slices(batch, 2 << 20):
-                names, score = decide(shared.value, part.column(part.schema.get_field_index("text")).to_pylist())
-                part = part.append_column("lang_pred", pa.array(names, pa.string()))
-                yield part.append_column("score", pa.array(score, pa.float64()))
+            for part in shingles.slices(batch, at, SLICE):
+                names, score = decide(shared.value, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *into])
 
-    schema = StructType([*plain.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*plain.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
     return plain.mapInArrow(run, schema)
 
 
 def with_letters(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text has a letter. No shuffle."""
     plain = docs.withColumn("text", F.col("text").cast("string"))
+    at = plain.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in texts], pa.bool_()))
+            for part in shingles.slices(batch, at, SLICE):
+                yield part.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in part.column(at).to_pylist()], pa.bool_()))
 
     return plain.mapInArrow(run, plain.schema)
 

@@ -29,15 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchloom.llm import tokens
-from pitchloom.llm.automaton import tokens_slices
+from pitchloom.llm import shingles, tokens
 from pitchloom.llm.common import id_text, partitions
 
 BLOCK = 128
 MAGIC = int.from_bytes(b"PFB1", "little")
 SEGMENT = 1 << 18
-#: Words that a worker remembers here; byte-level chunks are many.
-CHUNKS, PIECES = 650_000, 250_000
+#: Bytes that a worker spends on words here; byte-level chunks are many.
+CHUNKS, PIECES = 160 << 20, 60 << 20
 
 FILE = "shard int, shard_start long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
@@ -146,7 +145,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, percenti
             )
 
         for batch in batches:
-            for part in tokens_slices(batch):
+            for part in shingles.slices(batch, 1):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                     parts.append(encoder(text or b"") + end)
                     names.append(doc_id)

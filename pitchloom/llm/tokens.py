@@ -3,7 +3,7 @@
 Both tokenizers used here split a text before any merge is applied, and no
 piece of that split crosses certain blanks. A text therefore equals the
 concatenation of independently encoded chunks, and each worker remembers the
-chunks it has met. The memory is bounded: a full cache stops growing.
+chunks it has met. The memory is bounded in bytes: a full cache stops growing.
 
 ``split_at`` says where a text may be cut:
 
@@ -14,6 +14,8 @@ chunks it has met. The memory is bounded: a full cache stops growing.
 
 from __future__ import annotations
 
+import ctypes
+import json
 import re
 import sys
 from collections.abc import Callable
@@ -22,7 +24,8 @@ from struct import pack
 
 import numpy as np
 
-CHUNKS, PIECES = 350_000, 150_000
+#: Bytes that a worker spends on chunks and on pieces; an entry counts with its own size and ``ENTRY`` for the table and the objects.
+CHUNKS, PIECES, ENTRY = 56 << 20, 20 << 20, 190
 
 # The published split patterns of the two vocabularies, restricted
 # to ASCII and the letters U+00C0 to U+017F without U+0130.
@@ -54,14 +57,16 @@ def spelled(piece: str) -> str:
 class Pieces(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes, computed when first asked for."""
 
-    def __init__(self, ids_of: Callable[[str], list[int]], most: int):
+    def __init__(self, ids_of: Callable[[str], list[int]], room: int):
         super().__init__()
-        self.ids_of, self.most = ids_of, most
+        self.ids_of, self.room = ids_of, room
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.ids_of(piece)
         out = pack(f"<{len(ids)}I", *ids)
-        if len(self) < self.most:
+        size = len(piece) + len(out) + ENTRY
+        if size <= self.room:
+            self.room -= size
             self[piece] = out
         return out
 
@@ -75,7 +80,7 @@ class Chunks(dict):
 
     def __init__(self, pattern: re.Pattern, lower: bool, lead: str, special: tuple[str, ...], piece_ids, whole_ids, chunks: int, pieces: int):
         super().__init__()
-        self.most = chunks
+        self.room = chunks
         self.pattern, self.lower, self.lead, self.whole_ids = pattern, lower, lead, whole_ids
         self.plain, self.has_special = PLAIN.fullmatch, re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self.pieces = Pieces(piece_ids, pieces)
@@ -87,7 +92,9 @@ class Chunks(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = self.encode(self.lead + chunk.decode("utf-8", "replace"))
-        if len(self) < self.most:
+        size = len(chunk) + len(out) + ENTRY
+        if size <= self.room:
+            self.room -= size
             self[chunk] = out
         return out
 
@@ -109,6 +116,28 @@ class TextEncoder:
         return self.chunks.encode(first.decode("utf-8", "replace")) + b"".join(map(get, rest))
 
 
+# How the files of the two vocabularies normalise and split, in the library's terms.
+_SPLITS = {
+    "blank": (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"),
+    "space": ([], ["ByteLevel"], None),
+}
+
+
+@lru_cache(4)
+def check_split(path: str, split_at: str) -> None:
+    """Refuse a vocabulary file that normalises or splits texts in another way than ``split_at`` stands for."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    parts = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    normal, split = parts(file["normalizer"], "normalizers"), parts(file["pre_tokenizer"], "pretokenizers")
+    regex = next((x["pattern"].get("Regex") for x in split if x["type"] == "Split"), None)
+    plain = [x for x in split if x["type"] == "ByteLevel" and not x["add_prefix_space"] and x["use_regex"] == (split_at == "space")]
+    suffix = file["model"]["end_of_word_suffix"]
+    found = ([x["type"] for x in normal], [x["type"] for x in split], regex)
+    if found != _SPLITS[split_at] or not plain or (suffix is not None) != (split_at == "blank") or file["model"].get("ignore_merges"):
+        raise ValueError(f"{path} does not split texts as {split_at!r} stands for")
+
+
 def library(path: str):
     """The tokenizers library's own tokenizer, without truncation and padding."""
     from tokenizers import Tokenizer
@@ -123,20 +152,25 @@ _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
 def forget() -> None:
-    """Drop what this worker remembers; tasks of other operators call it, as workers outlive theirs."""
-    _ENCODERS.clear()
+    """Drop what this worker remembers, and give its pages back to the system; tasks of other operators call it, as workers outlive theirs."""
     automaton = sys.modules.get("pitchloom.llm.automaton")
+    if not _ENCODERS and (automaton is None or not automaton.compiled.cache_info().currsize):
+        return
+    _ENCODERS.clear()
     if automaton is not None:
         automaton.compiled.cache_clear()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 def library_encoder(path: str, split_at: str, chunks: int = CHUNKS, pieces: int = PIECES) -> TextEncoder:
     """Ids by the tokenizers library: its model for pieces, all of it for the rest. One per worker."""
     if (path, split_at) not in _ENCODERS:
+        check_split(path, split_at)
         tokenizer = library(path)
-        model, suffix = tokenizer.model, tokenizer.model.end_of_word_suffix
+        model = tokenizer.model
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        assert split_at in ("blank", "space") and (suffix is not None) == (split_at == "blank"), "this vocabulary's split is not known"
         _ENCODERS[path, split_at] = TextEncoder(
             split_at, special, lambda piece: [t.id for t in model.tokenize(spelled(piece))], lambda text: tokenizer.encode(text, add_special_tokens=False).ids, chunks, pieces
         )
