@@ -59,14 +59,17 @@ def parse(text: str) -> list[tuple[str, str]]:
 class _Conversation:
     """Forms windows turn by turn; holds one window's turns at most."""
 
-    def __init__(self, conv_id, budget: int, history: int):
-        self.conv_id, self.budget, self.history = conv_id, budget, history
+    def __init__(self, conv_id, budget: int, history: int, count):
+        self.conv_id, self.budget, self.history, self.count = conv_id, budget, history, count
         self.number, self.system = 0, None
         self.turns: deque = deque()  # (role, written, where the text begins, tokens)
         self.repeated, self.used = 0, 0
 
-    def add(self, role: str, text: str, n: int):
-        """Yields a finished window, if the turn does not fit into it."""
+    def add(self, role: str, text: str):
+        """Yields a finished window, if the turn does not fit into it. Tokens are those of the turn as it is written."""
+        head = f"{BEGIN}{escape_role(role)}\n"
+        written = head + escape(text) + END
+        n = self.count(written)
         if self.used + n > self.budget and len(self.turns) > self.repeated:
             yield self.window()
             kept, size = deque(), self.system[3] if self.system else 0
@@ -79,8 +82,7 @@ class _Conversation:
             if self.system:
                 kept.appendleft(self.system)
             self.turns, self.repeated, self.used = kept, len(kept), size + sum_
-        head = f"{BEGIN}{escape_role(role)}\n"
-        turn = (role, head + escape(text) + END, len(head), n)
+        turn = (role, written, len(head), n)
         if role == "system" and self.system is None and not self.turns and self.number == 0:
             self.system = turn
         self.turns.append(turn)
@@ -100,10 +102,14 @@ def format_windows(conversations: DataFrame, vocabulary: str, budget: int = 1024
     """``conv_id, window, repeated, n_tokens, text, loss``: the windows of every conversation.
 
     ``repeated`` leading turns stood in earlier windows. ``loss`` has spans of code
-    points. Turns are ordered by ``turn``, then role and text. A null text or role is
-    empty; rows with a null ``conv_id`` are one conversation. A turn is never cut: one
-    over the budget has a window without history. Rows of a conversation pass
-    through one task in order; no more than a window of them is held.
+    points. ``n_tokens`` counts the tokens of ``text`` as it is written, and is at most
+    ``budget``; only where the system turn and a single new turn have more between them
+    does a window exceed it, as a turn is never cut (no further history is in it then).
+    Turns are ordered by ``turn``, then role and text. A null text or role is empty;
+    rows with a null ``conv_id`` are one conversation, a null ``turn`` comes first, and
+    repeated rows are turns of their own. An empty table has no windows. Further columns
+    are left out, whatever their names. Rows of a conversation pass through one task in
+    order; no more than a window of them is held.
     """
 
     def run(batches):
@@ -119,8 +125,8 @@ def format_windows(conversations: DataFrame, vocabulary: str, budget: int = 1024
                 if now is None or now.conv_id != conv:
                     if now is not None:
                         rows.append(now.window())
-                    now = _Conversation(conv, budget, history)
-                rows += now.add(role, text, len(encoder(f"{BEGIN}{role}\n{text}{END}".encode())) // 4)
+                    now = _Conversation(conv, budget, history, lambda written: len(encoder(written.encode())) // 4)
+                rows += now.add(role, text)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, kind)], names)
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(now.window(), kind)], names)
