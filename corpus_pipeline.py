@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitchloom.llm import langid, overlap, packing, secrets, substrings
-from pitchloom.llm.common import known_to_workers, read, stored
+from pitchloom.llm.common import known_to_workers, read, stored, unused
 
 #: A document is rejected if no language stands out by this score.
 LEAST_SCORE = 0.05
@@ -26,8 +26,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = langid.fit(docs.where(~langid.held_out(docs)))
     if not learned.slots.any():
         return langid.with_letters(docs).select(docs.columns)
-    found = langid.predict(docs, learned)
-    return found.where((found["lang_pred"] != langid.UNDECIDED) & (found["score"] >= LEAST_SCORE)).select(docs.columns)
+    said, score = unused(docs, "said"), unused(docs, "sure")
+    found = langid.predict(docs, learned, (said, score))
+    return found.where((found[said] != langid.UNDECIDED) & (found[score] >= LEAST_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
