@@ -57,14 +57,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds, after each task has contracted its own edges.
     A round costs a few shuffles of the edges, whose number does not grow; the
     rounds are logarithmic in the longest path. Rounds end when the edges, told by
-    their number and the sum of their hashes, no longer change.
+    their number and the sum of their hashes, no longer change. The result reads a table
+    that :func:`~pitchloom.llm.common.discard` deletes.
     """
     now = stored(_within(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")).distinct(), "edges")
     mark = None
     while True:
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
         if not found["n"] or tuple(found) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._stored_at = now._stored_at
+            return out
         mark = tuple(found)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

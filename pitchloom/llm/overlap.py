@@ -25,20 +25,26 @@ threshold T. An inverted list holds the classes that have a shingle.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchloom.llm import shingles, tokens
-from pitchloom.llm.common import discard, partitions, release, stored
+from pitchloom.llm.common import discard, partitions, stored, tidy, unused
 from pitchloom.llm.graph import Forest, components
 
 CHUNK = 1 << 16
 #: Set elements that a block of a large candidate group has, about.
-BLOCK = 4_000_000
-#: Lists over this length are probed rather than merged, within T - 1 of them.
-LONG = 16
+BLOCK = 2_000_000
+#: Weight of the longest list's length when a query's lists are divided.
+MU = 0.01
+#: Lists of more members are never merged, whatever the table of counts says of them.
+LIST = 256
+#: Pairs that are counted at a time, and the hits of a pair that is a candidate without counting.
+PAIRS, TIED = 1 << 19, 1 << 40
 
 
 def required(n: int, percent: int) -> int:
@@ -149,104 +155,170 @@ def least_hits(n, slack: float):
 
 
 def merged(posted: DataFrame, percent: int) -> DataFrame:
-    """``a, b, na, nb, hits``: counts of the pairs in the lists of a task; long lists give ``hits`` -1 and only ties to their least class."""
+    """``a, b, n, hits``: counts of the pairs in the lists of short shingles, in parts to be summed; others only tie their members to the least.
 
-    def run(batches):
+    The lists pass sorted; what is held is a list of at most ``LIST`` members and the
+    counts of about ``PAIRS`` pairs. A list that turns out longer is treated as long.
+    """
+
+    def pairs(h, c, n):
+        """Counts of the pairs of whole lists of at most LIST members."""
         import pyarrow as pa
 
-        got = [[np.asarray(c) for c in batch.columns] for batch in batches]
-        none = np.zeros(0, np.int64)
-        h, c, n, far = (np.concatenate(x) for x in zip(*got)) if got else (none, none, none, none.astype(bool))
-        order = np.lexsort((c, h))
-        h, c, n, far = h[order], c[order], n[order].astype(np.int64), far[order].astype(bool)
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        h, c, n, far = h[first], c[first], n[first], far[first]
-        begin = np.ones(len(h), bool)
-        begin[1:] = h[1:] != h[:-1]
-        at = np.flatnonzero(begin)
-        head = at[np.cumsum(begin) - 1] if len(h) else none
-        place = np.arange(len(h)) - head
+        begin = np.append(True, h[1:] != h[:-1])
+        place = np.arange(len(h)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
         left, right = [], []
-        for k in range(1, int(place[~far].max(initial=0)) + 1):
-            later = np.flatnonzero((place >= k) & ~far)
+        for k in range(1, int(place.max(initial=0)) + 1):
+            later = np.flatnonzero(place >= k)
             ok = np.minimum(n[later], n[later - k]) * 100 >= percent * np.maximum(n[later], n[later - k])
             left.append(later[ok] - k)
             right.append(later[ok])
-        tied = np.flatnonzero((place > 0) & far)
-        if left:
-            i, j = np.concatenate(left), np.concatenate(right)
-            order = np.lexsort((c[j], c[i]))
-            i, j = i[order], j[order]
-            new = np.ones(len(i), bool)
-            new[1:] = (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1])
-            start = np.flatnonzero(new)
-            hits = np.diff(np.append(start, len(i)))
-            yield pa.RecordBatch.from_arrays([pa.array(c[i[start]]), pa.array(c[j[start]]), pa.array(np.minimum(n[i[start]], n[j[start]])), pa.array(hits.astype(np.int64))], ["a", "b", "n", "hits"])
-        if len(tied):
-            a, b = c[head[tied]], c[tied]
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), np.int64)), pa.array(np.full(len(pairs), 1 << 40, np.int64))], ["a", "b", "n", "hits"])
-
-    return posted.repartition(2 * partitions(posted.sparkSession), "h").mapInArrow(run, "a long, b long, n long, hits long")
+        i, j = (np.concatenate(x) if left else np.zeros(0, int) for x in (left, right))
+        order = np.lexsort((c[j], c[i]))
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.append(True, (c[i][1:] != c[i][:-1]) | (c[j][1:] != c[j][:-1]))) if len(i) else np.zeros(0, int)
+        hits = np.diff(np.append(start, len(i)))
+        return pa.RecordBatch.from_arrays([pa.array(c[i[start]]), pa.array(c[j[start]]), pa.array(np.minimum(n[i[start]], n[j[start]])), pa.array(hits.astype(np.int64))], ["a", "b", "n", "hits"])
+
+    def ties(a, b):
+        import pyarrow as pa
+
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) & (a != b) if len(a) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.zeros(int(new.sum()), np.int64)), pa.array(np.full(int(new.sum()), TIED))], ["a", "b", "n", "hits"])
+
+    def whole_lists(h, c, n, far):
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(begin, len(h)))
+        long_ = np.maximum.reduceat(far, begin) | (size > LIST)
+        each = np.repeat(long_, size)
+        yield ties(np.repeat(c[begin], size)[each], c[each])
+        some = (~long_ & (size > 1)).nonzero()[0]
+        upto = np.cumsum(size[some] * (size[some] - 1) // 2) // PAIRS
+        for part in np.split(some, np.flatnonzero(upto[1:] != upto[:-1]) + 1) if len(some) else []:
+            chosen = np.repeat(np.isin(np.arange(len(size)), part, assume_unique=True), size)
+            yield pairs(h[chosen], c[chosen], n[chosen])
+
+    def run(batches):
+        rest, head = None, None  # the last list so far; its least class if it is known to be long
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, c, n, far = (np.asarray(x) for x in batch.columns)
+            n, far = n.astype(np.int64), far.astype(bool)
+            if head is not None:
+                stop = int(np.argmax(h != head[0])) if (h != head[0]).any() else len(h)
+                yield ties(np.full(stop, head[1]), c[:stop])
+                h, c, n, far = h[stop:], c[stop:], n[stop:], far[stop:]
+                if not len(h):
+                    continue
+                head = None
+            if rest is not None:
+                h, c, n, far = (np.concatenate(x) for x in zip(rest, (h, c, n, far)))
+            new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+            h, c, n, far = h[new], c[new], n[new], far[new]
+            cut = int(np.argmax(h == h[-1]))
+            if cut:
+                yield from whole_lists(h[:cut], c[:cut], n[:cut], far[:cut])
+            rest = (h[cut:], c[cut:], n[cut:], far[cut:])
+            if len(rest[0]) > LIST:
+                head = (int(rest[0][0]), int(rest[1][0]))
+                yield ties(np.full(len(rest[1]), head[1]), rest[1])
+                rest = None
+        if rest is not None:
+            yield from whole_lists(*rest)
+
+    return posted.repartition(2 * partitions(posted.sparkSession), "h").sortWithinPartitions("h", "c").mapInArrow(run, "a long, b long, n long, hits long")
+
+
+def occurrences(lists: list[np.ndarray], least: int) -> dict[int, int]:
+    """Members of at least ``least`` of the ascending lists, with their counts: a heap merge that skips.
+
+    The heap has the next member of every list. If the lists that share the least one are
+    too few, as many more are popped as could still not reach ``least``, and all of them
+    move by binary search to the least member that is left.
+    """
+    rows = [x.tolist() for x in lists if len(x)]
+    at = [0] * len(rows)
+    heap = [(x[0], k) for k, x in enumerate(rows)]
+    heapify(heap)
+    out = {}
+    while len(heap) >= least:
+        member = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == member:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= least:
+            out[member] = len(popped)
+            to = member + 1
+        else:
+            while len(popped) < least - 1 and heap:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                break
+            to = heap[0][0]
+        for k in popped:
+            at[k] = bisect_left(rows[k], to, at[k])
+            if at[k] < len(rows[k]):
+                heappush(heap, (rows[k][at[k]], k))
+    return out
 
 
 def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (pairs of positions) that span the components of ``sets``.
 
-    First, sets are compared with the least set of a component until that stops
-    joining many. Then every set outside the largest component is a query.
+    Every query is a set outside the largest component so far: of two sets that link
+    and hang not together yet, one is. Of its ``n`` lists the ``L`` longest are set
+    aside; what occurs in ``T - L`` of the others is found by a heap merge and probed in
+    the long ones by binary search. ``L`` follows from ``T`` and the longest list:
+    ``T / (MU ln M + 1)``, less than ``T``.
     """
-    m, size = len(sets), np.array([len(s) for s in sets])
-    out, label = [], np.arange(m)
-
-    def join(i: int, j: int) -> None:
-        if label[i] != label[j]:
-            out.append((i, j))
-            label[label == max(label[i], label[j])] = min(label[i], label[j])
-
+    size = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
-    enough = lambda hits, i, j: 100 * hits >= percent * (size[i] + size[j] - hits)
-    tried = 0
-    for leader in range(m if m > 2 else 0):
-        if label[leader] != leader:
-            continue
-        place = np.minimum(np.searchsorted(sets[leader], values), size[leader] - 1)
-        hits = np.bincount(owner[sets[leader][place] == values], minlength=m)
-        near = np.flatnonzero(enough(hits, leader, np.arange(m)) & (label != leader))
-        for j in near:
-            join(leader, int(j))
-        tried = 0 if len(near) > 4 else tried + 1
-        if tried > 3:
-            break
-    if not (label != label[0]).any():
-        return out
-    order = np.lexsort((owner, values))
-    posted, owner = values[order], owner[order]
-    begin = np.flatnonzero(np.append(True, posted[1:] != posted[:-1]))
-    keys, bounds = posted[begin], np.append(begin, len(posted))
-    names, members = np.unique(label, return_counts=True)
-    largest = names[members.argmax()]
-    for x in np.flatnonzero(label != largest):
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    del order
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    keys, bounds = values[begin], np.append(begin, len(values))
+    forest, members, asked, out = Forest(), {}, set(), []
+    largest = None  # a member of the largest component so far
+
+    def outside(x: int) -> bool:
+        return largest is None or forest.root(x) != forest.root(largest)
+
+    def query(x: int) -> None:
+        nonlocal largest
         at = np.searchsorted(keys, sets[x])
         low, high = bounds[at], bounds[at + 1]
-        length = high - low
+        by = np.argsort(low - high, kind="stable")
         t = required(int(size[x]), percent)
-        by = np.argsort(-length, kind="stable")
-        skipped = min(t - 1, int((length > LONG).sum()))
-        merged_ = by[skipped:]
-        hits = np.bincount(np.concatenate([owner[low[k] : high[k]] for k in merged_]), minlength=m)
-        found = np.flatnonzero((hits >= t - skipped) & (label != label[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
-        if len(found) and skipped:
-            total = hits[found]
-            for k in by[:skipped]:
-                list_ = owner[low[k] : high[k]]
-                place = np.minimum(np.searchsorted(list_, found), len(list_) - 1)
-                total = total + (list_[place] == found)
-            hits[found] = total
-        for j in found[enough(hits[found], x, found)]:
-            join(int(x), int(j))
+        longest = int(high[by[0]] - low[by[0]])
+        far = min(t - 1, int(t / (MU * math.log(longest) + 1)))
+        found = occurrences([owner[low[k] : high[k]] for k in by[far:].tolist()], t - far)
+        found.pop(x, None)
+        met = np.fromiter(found, np.int64, len(found))
+        hits = np.fromiter(found.values(), np.int64, len(found))
+        fit = 100 * np.minimum(size[met], size[x]) >= percent * np.maximum(size[met], size[x])
+        met, hits = met[fit], hits[fit]
+        for k in by[:far].tolist() if len(met) else []:
+            list_ = owner[low[k] : high[k]]
+            hits = hits + (list_[np.minimum(np.searchsorted(list_, met), len(list_) - 1)] == met)
+        for j in met[100 * hits >= percent * (size[met] + size[x] - hits)].tolist():
+            a, b = forest.root(x), forest.root(j)
+            if forest.join(a, b):
+                out.append((x, j))
+                members[min(a, b)] = members.get(a, 1) + members.get(b, 1)
+                if largest is None or members[min(a, b)] >= members[forest.root(largest)]:
+                    largest = x
+
+    # Once more from the start if the largest component has changed: those left out before may be outside now.
+    while rest := [x for x in range(len(sets)) if x not in asked and outside(x)]:
+        for x in rest:
+            if outside(x):
+                asked.add(x)
+                query(x)
     return out
 
 
@@ -294,12 +366,12 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
     is_long = long_lists(table, total, bits)
     counted = merged(prefixes(rows, words, percent, bits, is_long, slack), percent)
     pairs = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).where(F.col("hits") >= 1 + F.floor(F.col("n") * slack)).select("a", "b")
-    groups = stored(components(pairs), "groups")
-    release(spark)
+    groups = components(pairs)
     least = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select(F.col("root").alias("node"), "root")
     member = groups.select("node", "root").union(least)
     chosen = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).join(member.withColumnRenamed("node", "c"), "c")
     chosen = stored(chosen.select("doc_id", "c", "n", "root"), "members")
+    discard(groups)
     blocks = chosen.groupBy("root").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("blocks"))
     needed = chosen.join(blocks, "root").select("doc_id", F.col("c").alias("_c"), "root", "blocks")
 
@@ -334,6 +406,8 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     component = named.select("c", "root").join(smallest, "root").select("c", "component")
     out = found.join(component, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = stored(out, "joined")
+    discard(table, chosen, linked)
     return out
 
 
@@ -343,10 +417,12 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Documents without words are no copies of each other and stay, as do rows with a
     null ``doc_id``. Of rows that agree in id and text one stays.
     """
-    found = join(docs, words, percent).where("doc_id is not null")
-    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("doc_id", "_id"), "kept")
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    out = named.join(kept.select("_id").hint("merge"), "_id", "left_semi")
+    key = unused(docs, "id")
+    found = join(docs, words, percent)
+    kept = stored(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("doc_id", key), "kept")
+    discard(found)
+    named = docs.withColumn(key, F.col("doc_id").cast("long"))
+    out = named.join(kept.select(key).hint("merge"), key, "left_semi")
     if not kept.where("m > 1").isEmpty():
-        out = out.dropDuplicates(["_id", "text"])
-    return out.unionByName(named.where("_id is null")).select(docs.columns)
+        out = out.dropDuplicates([key, "text"])
+    return out.unionByName(named.where(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
