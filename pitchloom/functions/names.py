@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AUDIO = ("wav", "mp3", "flac")
@@ -104,6 +104,24 @@ def first_keyword(text: Column, keywords) -> Column:
     return out
 
 
+def has(text: Column, word: str) -> Column:
+    """Whether a text contains a word, in any case."""
+    return F.lower(text).contains(word.lower())
+
+
+def host(url: Column) -> Column:
+    """The host of a web address, in lower case; empty if there is none."""
+    return F.lower(F.regexp_extract(url, "^https?://([^/]+)", 1))
+
+
+def without_words(df: DataFrame, column: str, words) -> DataFrame:
+    """Rows whose text has none of the words, in any case; rows without a text stay."""
+    out = df
+    for w in words:
+        out = out.where(~F.coalesce(has(F.col(column), w), F.lit(False)))
+    return out
+
+
 def denied(path: Column, words=NOT_VOICE) -> Column:
     return F.lower(path).rlike("|".join(words))
 

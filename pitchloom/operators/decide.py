@@ -73,3 +73,25 @@ def distance_decisions(distances: DataFrame, close: float = 0.03, near: float =
     m23 = F.when(F.col("d3") == float("inf"), float("inf")).otherwise(F.col("d3") - F.col("d2"))
     unknown = (m12 < close) | ((m12 < near) & (m23 < close))
     return by.select(key, F.when(unknown, UNKNOWN).otherwise(F.col("best")).alias("final"), m12.alias("margin_12"), m23.alias("margin_23"))
+
+
+def sibling_escalated(first: DataFrame, second: DataFrame, siblings: DataFrame, tie: float = 0.08, close: float = 0.03, near: float = 0.06) -> DataFrame:
+    """Decisions by distance, where a tight call between siblings is made by the second distances.
+
+    ``first`` and ``second`` have ``clip_id, model, distance``; ``siblings`` ``best,
+    sibling`` rows. A clip goes over to ``second`` if the two nearest classes are less than
+    ``tie`` apart and siblings.
+    """
+    ranked = rank(first.withColumnRenamed("distance", "score"), ascending=True).where("rank <= 2")
+    at = lambda i, c: F.max(F.when(F.col("rank") == i, F.col(c)))
+    heads = ranked.groupBy("clip_id").agg(at(1, "model").alias("best"), at(2, "model").alias("sibling"), (at(2, "score") - at(1, "score")).alias("m12"))
+    over = heads.where(F.col("m12") < tie).join(F.broadcast(siblings), ["best", "sibling"], "left_semi").select("clip_id")
+    rows = first.join(over, "clip_id", "left_anti").unionByName(second.join(over, "clip_id", "left_semi"))
+    out = distance_decisions(rows, close, near)
+    return out.join(over.withColumn("escalated", F.lit(True)), "clip_id", "left").withColumn("escalated", F.coalesce("escalated", F.lit(False)))
+
+
+def top_bins(model: DataFrame, k: int = 10, digits: int = 9) -> DataFrame:
+    """``raga, bin, rank``: each class's ``k`` fullest bins, ties (at so many digits) by bin."""
+    order = W.partitionBy("raga").orderBy(F.desc(F.round("mean", digits)), "bin")
+    return model.select("raga", "bin", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -4,47 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from pitchloom.operators import decide
+from pitchloom.operators import decide, scoring
 from pitchloom.operators import models as M
 from pitchloom.params import Params
 
 
-def loo_scores(pcd: DataFrame, p: Params = Params(), counts: DataFrame | None = None, totals: DataFrame | None = None, renormalise: bool = False, kind: str = "idf_variance") -> DataFrame:
-    """``clip_id, raga, model, pcd_sim, dyad_sim, score``: each clip against models made without it.
+def loo_pcd(pcd: DataFrame, p: Params = Params(), renormalise: bool = False, kind: str = "idf_variance", windows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``clip_id, raga, model, pcd_sim`` of each clip against models and weights made without it.
+
+    Only the clip's own class differs from the models of all clips, so its mean is the
+    whole mean less the clip: ``(n mean - p) / (n - 1)``; no fold is built from its
+    training clips. The sums of all classes (classes times bins numbers) are broadcast as
+    one row of arrays, and a clip's similarities are computed within its own row: nothing
+    is exploded or shuffled but the clip's histogram, once. The classes' number of clips
+    is checked before clips are held out; a class whose only clip is held out is absent.
 
-    Only the clip's own class differs from the models of all clips, so its mean is
-    the whole mean less the clip: ``(n mean - p) / (n - 1)``; no fold is built from
-    its training clips. Weights are made anew for every fold. Rows are folds times
-    classes times bins, dealt by clip once. The classes' number of clips is checked
-    before clips are held out; a class whose only clip is held out is absent.
+    ``windows`` adds ``t_<name>`` and ``m_<name>``: what the clip and the fold's model have
+    in those bins, both ends included.
     """
-    counts_ = M.clip_counts(pcd)
-    ok = M.eligible(counts_, p)
+    ok = M.eligible(M.clip_counts(pcd), p)
     held = pcd.join(F.broadcast(ok.select("raga")), "raga", "left_semi")
     sums = held.groupBy("raga", "bin").agg(F.sum("p").alias("s"))
-    grid = M.grid(ok, p).join(sums, ["raga", "bin"], "left").select(F.col("raga").alias("model"), "bin", "clip_count", F.coalesce("s", F.lit(0.0)).alias("s"))
-    # A fold's own vector, dense over the bins: one row per clip and bin.
+    grid = M.grid(ok, p).join(sums, ["raga", "bin"], "left").select(F.col("raga").alias("model"), "clip_count", F.struct("bin", F.coalesce("s", F.lit(0.0)).alias("s")).alias("b"))
+    each = grid.groupBy("model", "clip_count").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["s"]).alias("s"))
+    whole = each.agg(F.array_sort(F.collect_list(F.struct("model", "clip_count", "s"))).alias("all"))
     clips = held.groupBy("clip_id", "raga").agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("v"))
-    folds = clips.join(F.broadcast(grid.groupBy("model", "clip_count").agg(F.array_sort(F.collect_list(F.struct("bin", "s"))).alias("bins"))), F.lit(True))
-    own = F.col("model") == F.col("raga")
-    n = F.col("clip_count") - F.when(own, 1).otherwise(0)
-    rows = folds.where(n > 0).select("clip_id", "raga", "model", "v", own.alias("own"), n.alias("n"), F.explode("bins").alias("b"))
-    x = F.coalesce(F.element_at("v", F.col("b.bin")), F.lit(0.0))
-    mean = F.greatest(F.lit(0.0), F.col("b.s") - F.when(F.col("own"), x).otherwise(0.0)) / F.col("n")
-    rows = rows.select("clip_id", "raga", "model", F.col("b.bin").alias("bin"), x.alias("p"), mean.alias("mean")).repartition("clip_id")
+    bins = F.sequence(F.lit(0), F.lit(p.n_bins - 1))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, y: t + y)
+    dot = lambda xs, ys: total(F.zip_with(xs, ys, lambda y, z: y * z))
+    rows = clips.crossJoin(F.broadcast(whole)).select("clip_id", "raga", "all", F.transform(bins, lambda b: F.coalesce(F.element_at("v", b), F.lit(0.0))).alias("x"))
+    own = lambda m: F.when(m["model"] == F.col("raga"), 1).otherwise(0)
+    less = lambda m: F.zip_with(m["s"], F.col("x"), lambda s, y: F.greatest(F.lit(0.0), s - own(m) * y) / (m["clip_count"] - own(m)))
+    rows = rows.select("clip_id", "raga", "x", F.transform(F.filter("all", lambda m: m["clip_count"] > own(m)), lambda m: F.struct(m["model"].alias("model"), less(m).alias("mean"))).alias("ms"))
     if renormalise:
-        rows = rows.withColumn("mean", F.col("mean") / (F.sum("mean").over(W.partitionBy("clip_id", "model")) + p.eps))
+        rows = rows.withColumn("ms", F.transform("ms", lambda m: F.struct(m["model"].alias("model"), F.transform(m["mean"], lambda y: y / (total(m["mean"]) + p.eps)).alias("mean"))))
     level = 0.001 if kind == "idf_old" else 1.0 / p.n_bins
-    at = W.partitionBy("clip_id", "bin")
-    rows = rows.select("*", F.count(F.lit(1)).over(at).alias("k"), F.sum((F.col("mean") > level).cast("int")).over(at).alias("df"), F.stddev_pop("mean").over(at).alias("sd"))
-    idf = F.ln(F.col("k") / (F.col("df") + 1)) + (0 if kind == "idf_old" else 1)
-    raw = rows.withColumn("w", idf / (F.col("sd") + p.eps))
+    # Sums over the models, bin by bin: arrays are added, and no bin is looked up by its number.
+    over = lambda f: F.aggregate("ms", F.array_repeat(F.lit(0.0), p.n_bins), lambda t, m: F.zip_with(t, f(m), lambda y, z: y + z))
+    k = F.size("ms")
+    rows = rows.withColumn("avg", F.transform(over(lambda m: m["mean"]), lambda y: y / k))
+    rows = rows.withColumn("ss", over(lambda m: F.zip_with(m["mean"], F.col("avg"), lambda y, z: (y - z) * (y - z)))).withColumn("df", over(lambda m: F.transform(m["mean"], lambda y: (y > level).cast("double"))))
+    rows = rows.withColumn("w", F.zip_with("ss", "df", lambda y, z: (F.ln(k / (z + 1)) + (0 if kind == "idf_old" else 1)) / (F.sqrt(y / k) + p.eps)))
     # The scale of the weights cancels in the similarity but for eps, so it is applied to the sums.
-    agg = raw.groupBy("clip_id", "raga", "model").agg(F.sum(F.col("p") * F.col("mean") * F.col("w") ** 2).alias("x"), F.sum(F.col("p") * F.col("w")).alias("sp"), F.sum(F.col("mean") * F.col("w")).alias("sm"), F.sum("w").alias("sw"))
-    c = p.n_bins / (F.col("sw") + p.eps)
-    pcd_sim = agg.select("clip_id", "raga", "model", (F.col("x") * c * c / ((F.col("sp") * c + p.eps) * (F.col("sm") * c + p.eps))).alias("pcd_sim"))
+    rows = rows.select("clip_id", "raga", "x", "ms", "w", F.zip_with("x", "w", lambda y, w: y * w).alias("xw"), (p.n_bins / (total("w") + p.eps)).alias("c"))
+    rows = rows.select("clip_id", "raga", "x", "w", "c", F.zip_with("xw", "w", lambda y, w: y * w).alias("xww"), total("xw").alias("sp"), F.explode("ms").alias("m"))
+    c = F.col("c")
+    sim = dot(F.col("m.mean"), F.col("xww")) * c * c / ((F.col("sp") * c + p.eps) * (dot(F.col("m.mean"), F.col("w")) * c + p.eps))
+    part = lambda xs, lo, hi: total(F.slice(xs, lo + 1, hi - lo + 1))
+    more = [f(*w).alias(f"{side}_{name}") for name, w in (windows or {}).items() for side, f in (("t", lambda lo, hi: part("x", lo, hi)), ("m", lambda lo, hi: part(F.col("m.mean"), lo, hi)))]
+    return rows.select("clip_id", "raga", F.col("m.model").alias("model"), sim.alias("pcd_sim"), *more)
+
+
+def loo_scores(pcd: DataFrame, p: Params = Params(), counts: DataFrame | None = None, totals: DataFrame | None = None, renormalise: bool = False, kind: str = "idf_variance", windows: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``clip_id, raga, model, pcd_sim, dyad_sim, score``: each clip against models made without it.
+
+    The first part is :func:`loo_pcd`; with transition ``counts`` and ``totals`` the
+    second is :func:`loo_dyads`, else 0.
+    """
+    counts_ = M.clip_counts(pcd)
+    pcd_sim = loo_pcd(pcd, p, renormalise, kind, windows)
     if counts is None:
         return pcd_sim.select("*", F.lit(0.0).alias("dyad_sim"), (p.pcd_weight * F.col("pcd_sim")).alias("score"))
     dyad = loo_dyads(counts, totals, counts_, p)
@@ -141,7 +160,7 @@ def sweep(params: DataFrame, scores: DataFrame) -> DataFrame:
     ``scores`` has ``clip_id, raga, model, pcd_sim, dyad_sim``. The few parameter rows
     are broadcast.
     """
-    rows = scores.join(F.broadcast(params)).withColumn("score", F.col("pcd_w") * F.col("pcd_sim") + F.col("dyad_w") * F.col("dyad_sim"))
+    rows = scores.crossJoin(F.broadcast(params)).withColumn("score", F.col("pcd_w") * F.col("pcd_sim") + F.col("dyad_w") * F.col("dyad_sim"))
     pair = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model")))
     best = rows.groupBy("param", "strict", "least", "clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
     margin = F.coalesce(F.try_element_at("t", F.lit(2))["s"] - F.col("t")[0]["s"], F.lit(0.0))
@@ -151,8 +170,81 @@ def sweep(params: DataFrame, scores: DataFrame) -> DataFrame:
     return by.withColumn("acc_decided", _decided())
 
 
-def best_configuration(swept: DataFrame) -> DataFrame:
-    return swept.agg(F.max_by("param", F.struct("correct", -F.col("wrong"), "param")).alias("param"), F.max("correct").alias("correct"))
+def scenarios(pcd: DataFrame, counts: DataFrame, totals: DataFrame, overrides: DataFrame, excluded: list, p: Params = Params()) -> DataFrame:
+    """``scenario, clip_id, raga, predicted, margin, tier, outcome`` of three leave-one-out runs.
+
+    ``all``: every class with the common weights; ``override``: with ``model, pcd_w,
+    dyad_w`` rows for single classes; ``excluded``: without some classes, whose clips are
+    neither models nor tested.
+    """
+    scores = loo_scores(pcd, p, counts, totals)
+    sims = scores.select("clip_id", "raga", "model", "pcd_sim"), scores.select("clip_id", "model", "dyad_sim")
+    without = lambda df: df.where(~F.col("raga").isin(excluded))
+    runs = {"all": scores, "override": scoring.blend(*sims, p, overrides), "excluded": loo_scores(without(pcd), p, without(counts), without(totals))}
+    out = None
+    for name, rows in runs.items():
+        one = outcomes(rows, p).select(F.lit(name).alias("scenario"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _tally(rows: DataFrame, p: Params, keys: list[str]) -> DataFrame:
+    """Correct, wrong and unknown by ``keys`` from ``*keys, clip_id, raga, model, score`` rows."""
+    pair = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model")))
+    best = rows.groupBy(*keys, "clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
+    margin = F.coalesce(F.try_element_at("t", F.lit(2))["s"] - F.col("t")[0]["s"], F.lit(0.0))
+    out = F.when(margin < p.margin_min, "u").when(F.col("t")[0]["model"] == F.col("raga"), "c").otherwise("w")
+    is_ = lambda o: F.count_if(F.col("outcome") == o)
+    by = best.withColumn("outcome", out).groupBy(*keys).agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"))
+    return by.withColumn("acc_decided", _decided())
+
+
+def sweep_absent(scores: DataFrame, pcd: DataFrame, ranges: DataFrame, required: DataFrame, params: DataFrame, p: Params = Params()) -> DataFrame:
+    """``penalty, least, correct, wrong, unknown, acc_decided`` for each row of ``params`` (``penalty, least``), in one job.
+
+    A class's score is cut by ``penalty`` times the share of its required notes whose
+    energy in the clip is under ``least``. The few parameter rows and the classes' notes
+    are broadcast; energies are summed once.
+    """
+    energy = scoring.note_energy(pcd, ranges)
+    met = energy.join(F.broadcast(required), "note").crossJoin(F.broadcast(params.select("least").distinct())).where(F.col("energy") >= F.col("least"))
+    has = met.groupBy("least", "clip_id", "model").agg(F.count(F.lit(1)).alias("has"))
+    n = required.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    rows = scores.select("clip_id", "raga", "model", "score").join(F.broadcast(n), "model", "left").crossJoin(F.broadcast(params)).join(has, ["least", "clip_id", "model"], "left")
+    share = F.coalesce((F.col("n") - F.coalesce("has", F.lit(0))) / F.col("n"), F.lit(0.0))
+    return _tally(rows.withColumn("score", F.col("score") * (1 - F.col("penalty") * share)), p, ["penalty", "least"])
+
+
+def sweep_ratio(scores: DataFrame, names: list[str], params: DataFrame, p: Params = Params()) -> DataFrame:
+    """``ratio_w, correct, wrong, unknown, acc_decided`` for each ``ratio_w`` of ``params``, in one job.
+
+    ``scores`` has ``t_<name>`` and ``m_<name>`` (see :func:`loo_pcd`); 0 is the base line.
+    """
+    match = F.lit(0.0)
+    for k in names:
+        match = match + F.greatest(F.lit(0.0), 1 - F.abs(F.col(f"t_{k}") - F.col(f"m_{k}")) / (F.col(f"m_{k}") + p.eps))
+    rows = scores.crossJoin(F.broadcast(params)).withColumn("score", F.col("score") * (1 + F.col("ratio_w") * match / len(names)))
+    return _tally(rows, p, ["ratio_w"])
+
+
+def sweep_bins(evaluated, bins, p: Params = Params(), sink=None) -> DataFrame:
+    """``n_bins, correct, wrong, unknown, sink, acc_decided`` by resubstitution for every number of bins.
+
+    ``evaluated`` makes ``clip_id, raga, model, score`` from parameters; ``sink`` counts
+    wrong answers that name this class.
+    """
+    out = None
+    for n in bins:
+        found = outcomes(evaluated(p.but(n_bins=n)), p)
+        one = overall(found).crossJoin(found.agg(F.count_if((F.col("outcome") == "w") & (F.col("predicted") == F.lit(sink))).alias("sink")))  # one row each
+        one = one.select(F.lit(n).alias("n_bins"), "correct", "wrong", "unknown", "sink", "acc_decided")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def best_configuration(swept: DataFrame, param: str = "param") -> DataFrame:
+    """One row: the configuration with most correct answers, then fewest wrong ones, then the greatest name."""
+    return swept.agg(F.max_by(param, F.struct("correct", -F.col("wrong"), param)).alias(param), F.max("correct").alias("correct"))
 
 
 def verdict(base: DataFrame, new: DataFrame) -> DataFrame:

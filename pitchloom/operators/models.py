@@ -111,6 +111,17 @@ def dyad_models(counts: DataFrame, totals: DataFrame, clip_counts_: DataFrame, p
     return cells, sums.select("raga", "dir", (F.col("u") / F.col("clip_count")).alias("u"), (F.col("v") / F.col("clip_count")).alias("v"))
 
 
+def mean_shares(counts: DataFrame, eligible_: DataFrame, keys: list[str]) -> DataFrame:
+    """``model, *keys, m``: by class, the mean over its clips of their counts scaled to sum 1, without smoothing.
+
+    ``counts`` has ``clip_id, raga, *keys, cnt``; clips without a count do not count.
+    """
+    shares = counts.withColumn("x", F.col("cnt") / F.sum("cnt").over(W.partitionBy("clip_id")))
+    clips = counts.groupBy("raga").agg(F.count_distinct("clip_id").alias("k"))
+    sums = shares.groupBy("raga", *keys).agg(F.sum("x").alias("x")).join(F.broadcast(clips), "raga").join(F.broadcast(eligible_.select("raga")), "raga", "left_semi")
+    return sums.select(F.col("raga").alias("model"), *keys, (F.col("x") / F.col("k")).alias("m"))
+
+
 def run_metadata(pcd: DataFrame, guards: DataFrame, run_id: str, source: str, p: Params = Params()) -> DataFrame:
     """One row on an aggregation run."""
     counts = clip_counts(pcd)

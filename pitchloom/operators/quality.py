@@ -9,6 +9,26 @@ from pyspark.sql import Window as W
 from pitchloom.functions import names
 
 
+#: Letters by which texts and what they may contain are brought together.
+GRAM = 4
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of ``texts`` with the rows of ``parts`` whose ``part`` their ``text`` contains.
+
+    Both sides meet by key: the first ``GRAM`` letters of a part (all of a shorter one)
+    and the runs of up to as many letters of a text. So no row meets all others, and
+    neither side is broadcast. Null texts and parts match nothing; an empty part is
+    contained in every text. The column names of the two sides must differ.
+    """
+    n = F.length(text)
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[runs(k) for k in range(1, GRAM + 1)]))
+    keyed = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(grams))
+    found = keyed.join(parts.where(F.col(part).isNotNull()).withColumn("_gram", F.left(part, F.lit(GRAM))), "_gram")
+    return found.where(F.contains(text, part)).drop("_gram")
+
+
 def duplicate_groups(files: DataFrame, keys: list[str]) -> DataFrame:
     """Groups of files that agree in ``keys``, with more than one member."""
     return files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -34,28 +54,35 @@ def first_match(entries: DataFrame, metadata: DataFrame, both_ways: bool = True)
     """``path, raga``: the first metadata row (by ``ord``) whose title is part of the entry's song, or the other way.
 
     Of rows with equal titles only the first can be the first match, so the metadata
-    are reduced to one row a title. The rest is a search of that small table
-    (thousands of titles), which is broadcast.
+    are reduced to one row a title, and the entries to one row a song.
     """
-    hit = F.contains("song", "title")
-    if both_ways:
-        hit = hit | F.contains("title", "song")
     titles = metadata.groupBy("title").agg(F.min_by("raga", "ord").alias("raga"), F.min("ord").alias("ord"))
-    found = entries.select("path", "song").join(F.broadcast(titles), hit)
-    return found.groupBy("path").agg(F.min_by("raga", "ord").alias("raga"))
+    songs = entries.select("song").distinct()
+    found = containing(songs, "song", titles, "title")
+    if both_ways:
+        found = found.unionByName(containing(titles, "title", songs, "song"))
+    best = found.groupBy("song").agg(F.min_by("raga", "ord").alias("raga"))
+    return entries.select("path", "song").join(best, "song").select("path", "raga")
 
 
 def longest_match(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     """``part, path``: for each wanted part of a path, the longest entry that contains it; ties to the last in order."""
-    found = entries.select("path").join(F.broadcast(wanted.select("part")), F.contains("path", "part"))
+    found = containing(entries.select("path").distinct(), "path", wanted.select("part").distinct(), "part")
     return found.groupBy("part").agg(F.max_by("path", F.struct(F.length("path"), "path")).alias("path"))
 
 
 def not_extracted(staged: DataFrame, existing: DataFrame, prefix: int = 20) -> DataFrame:
-    """Staged files the first ``prefix`` letters of whose name are in no existing name."""
+    """Staged files the first ``prefix`` letters of whose name are in no existing name.
+
+    Names as long as the prefix are sought as keys among all runs of that length of the
+    existing names; only shorter ones go through :func:`containing`.
+    """
     base = staged.withColumn("_b", F.substring(F.regexp_replace(F.lower(names.stem(F.col("path"))), r"\.mp3$", ""), 1, prefix))
     seen = existing.select(F.lower("base").alias("_e")).distinct()
-    return base.join(F.broadcast(seen), F.contains("_e", "_b"), "left_anti").drop("_b")
+    n = F.length("_e")
+    runs = seen.where(n >= prefix).select(F.explode(F.transform(F.sequence(F.lit(1), n - prefix + 1), lambda i: F.substring(F.col("_e"), i, F.lit(prefix)))).alias("_b"))
+    short = containing(seen, "_e", base.where(F.length("_b") < prefix).select("_b").distinct(), "_b")
+    return base.join(runs.unionByName(short.select("_b")).distinct(), "_b", "left_anti").drop("_b")
 
 
 def inventory(files: DataFrame, current: DataFrame, goal: int = 10) -> DataFrame:
@@ -69,8 +96,9 @@ def inventory(files: DataFrame, current: DataFrame, goal: int = 10) -> DataFrame
 def new_classes(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Class names that neither contain an existing one nor are contained in one."""
     simple = found.withColumn("_s", F.replace(F.lower("raga"), F.lit(" "), F.lit("")))
-    old = existing.select(F.lower("raga").alias("_o"))
-    return simple.join(F.broadcast(old), F.contains("_s", "_o") | F.contains("_o", "_s"), "left_anti").drop("_s")
+    new, old = simple.select("_s").distinct(), existing.select(F.lower("raga").alias("_o")).distinct()
+    met = containing(new, "_s", old, "_o").select("_s").unionByName(containing(old, "_o", new, "_s").select("_s"))
+    return simple.join(met.distinct(), "_s", "left_anti").drop("_s")
 
 
 def nearest_label(bins: DataFrame, labels: DataFrame, n_bins: int) -> DataFrame:

@@ -60,17 +60,18 @@ def dyad_similarity(counts: DataFrame, totals: DataFrame, cells: DataFrame, scal
     return rows.groupBy("clip_id", "model").agg((0.5 * F.sum(dot)).alias("dyad_sim"))
 
 
-def sparse_dot(left: DataFrame, right: DataFrame, p: Params = Params()) -> DataFrame:
-    """``a, b, dir, dot``: product of two clips' smoothed matrices.
+def sparse_dot(clips: DataFrame, classes: DataFrame, p: Params = Params()) -> DataFrame:
+    """``clip_id, model, dir, dot``: product of each clip's smoothed matrix with each class's smoothed mean.
 
-    Both take ``clip_id, dir, s, z, cells`` with ``cells`` a map of cell to count.
+    ``clips`` has ``clip_id, dir, s, z, cells`` and ``classes`` ``model, dir, u, v, cells``
+    (see :func:`~pitchloom.operators.models.dyad_models`), with ``cells`` a map of cell to
+    count or mean. Classes are few and are broadcast; no two clips ever meet.
     """
     n2, al = p.n_bins**2, p.alpha
-    common = F.aggregate(F.map_entries("a_cells"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.element_at(F.col("b_cells"), e["key"]), F.lit(0)))
-    a = left.select(F.col("clip_id").alias("a"), "dir", F.col("s").alias("sa"), F.col("z").alias("za"), F.col("cells").alias("a_cells"))
-    b = right.select(F.col("clip_id").alias("b"), "dir", F.col("s").alias("sb"), F.col("z").alias("zb"), F.col("cells").alias("b_cells"))
-    rows = a.join(b, "dir").where("a < b")
-    return rows.select("a", "b", "dir", ((common + al * (F.col("sa") + F.col("sb")) + al * al * n2) / (F.col("za") * F.col("zb"))).alias("dot"))
+    common = F.aggregate(F.map_entries("a_cells"), F.lit(0.0), lambda t, e: t + e["value"] * F.coalesce(F.element_at(F.col("b_cells"), e["key"]), F.lit(0.0)))
+    a = clips.select("clip_id", "dir", "s", "z", F.col("cells").alias("a_cells"))
+    rows = a.join(F.broadcast(classes.select("model", "dir", "u", "v", F.col("cells").alias("b_cells"))), "dir")
+    return rows.select("clip_id", "model", "dir", ((common + al * F.col("u") * F.col("s") + al * F.col("v") + al * al * n2 * F.col("u")) / F.col("z")).alias("dot"))
 
 
 def blend(pcd_sim: DataFrame, dyad_sim: DataFrame | None, p: Params = Params(), overrides: DataFrame | None = None) -> DataFrame:
@@ -192,6 +193,46 @@ def jensen_shannon(pcd: DataFrame, model: DataFrame) -> DataFrame:
     return met.select("clip_id", "raga", "model", F.sqrt(F.greatest(F.lit(0.0), (F.col("s") + (1 - F.col("seen")) * F.ln(F.lit(2.0))) / 2)).alias("distance"))
 
 
+def sparse_jensen_shannon(clips: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """``clip_id, model, distance`` of two sparse distributions over ``keys``, each scaled to sum 1.
+
+    ``clips`` has ``clip_id, *keys, q`` and ``classes`` ``model, *keys, m``. Cells that only
+    one side has add half of their mass times ln 2, so that only common cells are joined.
+    A pair without a common cell has the greatest distance. Classes' cells are bounded by
+    classes times cells of a matrix.
+    """
+    ps = clips.withColumn("q", F.col("q") / F.sum("q").over(_by("clip_id")))
+    ms = classes.withColumn("m", F.col("m") / F.sum("m").over(_by("model"))).select("model", *keys, "m")
+    mid = (F.col("q") + F.col("m")) / 2
+    gain = lambda x: F.when(x > 0, x * F.ln(x / mid)).otherwise(0.0)
+    met = ps.join(ms, keys).groupBy("clip_id", "model").agg(F.sum(gain(F.col("q")) + gain(F.col("m"))).alias("s"), F.sum("m").alias("sm"), F.sum("q").alias("sq"))
+    pairs = clips.select("clip_id").distinct().crossJoin(F.broadcast(classes.select("model").distinct()))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rows = pairs.join(met, ["clip_id", "model"], "left")
+    return rows.select("clip_id", "model", F.sqrt(F.greatest(F.lit(0.0), (zero("s") + (2 - zero("sm") - zero("sq")) * F.ln(F.lit(2.0))) / 2)).alias("distance"))
+
+
+def absent_energy(model: DataFrame, ranges: DataFrame, required: DataFrame) -> DataFrame:
+    """``model, note, energy``: what each class's mean histogram has in the notes outside its scale.
+
+    ``required`` has ``model, note``; classes without a scale are left out.
+    """
+    outside = required.select("model").distinct().crossJoin(ranges.select("note")).join(required, ["model", "note"], "left_anti")  # classes times notes
+    have = note_energy(model.select(F.col("raga").alias("clip_id"), "bin", F.col("mean").alias("p")), ranges).withColumnRenamed("clip_id", "model")
+    return outside.join(model.select(F.col("raga").alias("model")).distinct(), "model", "left_semi").join(have, ["model", "note"], "left").select("model", "note", F.coalesce("energy", F.lit(0.0)).alias("energy"))
+
+
+def first_seen(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """For each combination of ``keys`` its first row in the given order."""
+    return events.withColumn("_n", F.row_number().over(_by_many(keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def _by_many(keys: list[str]):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*keys)
+
+
 def _by(key: str):
     from pyspark.sql import Window
 

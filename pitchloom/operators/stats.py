@@ -14,40 +14,60 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return one.select(F.when((F.col("na") >= 2) & (F.col("nb") >= 2) & (pooled > 0), (F.col("ma") - F.col("mb")) / pooled).alias("d"))
 
 
-def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: int = 50_000, seed: int = 0) -> DataFrame:
-    """One row ``p``: share of shuffles whose difference of means is at least the observed one, two-sided.
-
-    Replicates are dealt over tasks; each draws its own stream from the seed and its
-    number. Only distinct values and their counts reach the driver; the two samples,
-    a value per clip, travel with each task, which holds a few million shuffled
-    values at a time.
+def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: int = 50_000, seed: int = 0, blocks: int | None = None) -> DataFrame:
+    """One row ``p, observed, n_a, n_b``: share of shuffles whose difference of means is at least the observed one, two-sided.
+
+    Values are pre-aggregated to counts and dealt into blocks by a hash. A shuffle draws
+    ``n_a`` of all values: how many of each block follows from the blocks' sizes alone, by
+    a stream that every task repeats from the seed; which ones a block then draws for
+    itself. Sums of all blocks make the shuffle's mean. So no values are collected: what
+    reaches the driver is one row per block. Without a value in either group ``p`` is null.
     """
     import numpy as np
 
     spark = df.sparkSession
-    rows = df.where(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).groupBy("g", "x").count().orderBy("g", "x").collect()
-    sample = lambda k: np.repeat(np.array([r["x"] for r in rows if r["g"] == k]), np.array([r["count"] for r in rows if r["g"] == k], int))
-    first, second = sample(a), sample(b)
-    pool, na = np.concatenate([first, second]), len(first)
-    seen = abs(first.mean() - second.mean()) if len(first) and len(second) else float("nan")
-    block = 500
-    once = max(1, (1 << 22) // max(1, len(pool)))
+    many = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(value).cast("double")
+    rows = df.where(F.col(group).isin(a, b) & x.isNotNull()).groupBy(x.alias("x")).agg(F.count_if(F.col(group) == a).alias("a"), F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(many)).cast("int"))
+    told = {r["block"]: r for r in rows.groupBy("block").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum(F.col("x") * F.col("a")).alias("sa"), F.sum(F.col("x") * F.col("n")).alias("s")).collect()}
+    names = sorted(told)
+    sizes = np.array([told[k]["n"] for k in names], np.int64)
+    na, nb = sum(told[k]["a"] for k in names), sum(told[k]["n"] - told[k]["a"] for k in names)
+    if not na or not nb:
+        return spark.createDataFrame([(None, None, na, nb)], "p double, observed double, n_a long, n_b long")
+    total = sum(told[k]["s"] for k in names)
+    first = sum(told[k]["sa"] for k in names)
+    seen = first / na - (total - first) / nb
+    shares, cells = 1000, 1 << 21
 
     def run(batches):
         import pyarrow as pa
 
+        values: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
-            hits = []
-            for k in batch.column(0).to_pylist():
-                rng, n, hit = np.random.default_rng([seed, k]), min(block, iterations - k * block), 0
-                for at in range(0, n, once):
-                    some = rng.permuted(np.tile(pool, (min(once, n - at), 1)), axis=1)
-                    hit += int((np.abs(some[:, :na].mean(axis=1) - some[:, na:].mean(axis=1)) >= seen - 1e-15).sum())
-                hits.append(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64())], ["hits"])
-
-    parts = spark.range(-(-iterations // block), numPartitions=8).mapInArrow(run, "hits long")
-    return parts.agg(((F.sum("hits") + 1) / F.lit(float(iterations + 1))).alias("p"))
+            for block, x, n in zip(*(c.to_pylist() for c in batch.columns)):
+                values.setdefault(block, []).append((x, n))
+        for block, held in values.items():
+            held.sort()
+            pool = np.repeat(np.array([x for x, _ in held]), np.array([n for _, n in held]))
+            own, own_rng = names.index(block), np.random.default_rng([seed, 1, block])
+            for at in range(0, iterations, shares):
+                k = min(shares, iterations - at)
+                drawn = np.random.default_rng([seed, 0, at]).multivariate_hypergeometric(sizes, na, size=k, method="marginals")[:, own]
+                sums = np.empty(k)
+                step = max(1, cells // max(1, len(pool)))
+                for c in range(0, k, step):
+                    some = own_rng.permuted(np.tile(pool, (min(step, k - c), 1)), axis=1)
+                    upto = np.cumsum(some, axis=1)
+                    m = drawn[c : c + step]
+                    sums[c : c + step] = np.where(m > 0, upto[np.arange(len(m)), np.maximum(m - 1, 0)], 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + k, dtype=np.int64)), pa.array(sums)], ["k", "s"])
+
+    parts = rows.select("block", "x", "n").repartition(many, "block").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
+    apart = F.abs(F.col("s") / na - (F.lit(total) - F.col("s")) / nb)
+    hits = F.count_if(apart >= abs(seen) - 1e-9 * (1 + abs(seen)))
+    return parts.agg(((hits + 1) / F.lit(float(iterations + 1))).alias("p")).select("p", F.lit(seen).alias("observed"), F.lit(na).cast("long").alias("n_a"), F.lit(nb).cast("long").alias("n_b"))
 
 
 def above_median(df: DataFrame, value: str, group: str, target, reference) -> DataFrame:

@@ -16,7 +16,7 @@ from pitchloom.functions import names as G
 from pitchloom.functions import pitch
 from pitchloom.operators import decide, evaluate, features, gate, models, quality, scoring, stats, tonic
 from pitchloom.params import UNKNOWN, Params
-from pitchloom.plans.oracle import loo, q
+from pitchloom.plans.oracle import decided, loo, q, with_dyads
 from pitchloom.sources import adapters, listing, sinks
 from pitchloom.sources.adapters import table
 
@@ -68,16 +68,16 @@ def _dyads(spark, d):
     return features.dyads(features.transitions(_runs(spark, d), P))
 
 
-def _parts(spark, d):
+def _parts(spark, d, p=P):
     """Histograms, transition counts and totals of the clips."""
     folded = _folded(spark, d)
-    bins = features.binned(folded, P)
-    counts = features.dyads(features.transitions(features.runs(bins), P))
-    return features.histogram(folded, P), counts, features.dyad_totals(bins, counts, P)
+    bins = features.binned(folded, p)
+    counts = features.dyads(features.transitions(features.runs(bins), p))
+    return features.histogram(folded, p), counts, features.dyad_totals(bins, counts, p)
 
 
 def _scores(spark, d, p=P):
-    pcd, counts, totals = _parts(spark, d)
+    pcd, counts, totals = _parts(spark, d, p)
     model = models.models(pcd, p)
     cells, scalars = models.dyad_models(counts, totals, models.clip_counts(pcd), p)
     sims = scoring.pcd_similarity(pcd, model, p, "weighted", models.weights(model, p))
@@ -310,11 +310,11 @@ for _name, _method, _kind, _sql in (
     QUERIES[_name], ORACLES[_name] = _simple(_method, _kind), _sql
 
 
-@query(_simple_sql("sum(p * weight * mean * weight)", _WEIGHT.format("1 / (sd + 1e-8)"), "spread").replace(", 6) AS pcd_sim", ", 2) AS pcd_sim"))
+@query(_simple_sql("sum(p * weight * mean * weight)", _WEIGHT.format("1 / (sd + 1e-8)"), "spread"))
 def score_whiten_raw(spark, d):
     pcd = _pcd(spark, d)
     model = models.models(pcd, P)
-    return scoring.pcd_similarity(pcd, model, P, "weighted_raw", models.weights(model, P, "whiten")).select("clip_id", "raga", "model", r("pcd_sim", 2))
+    return scoring.pcd_similarity(pcd, model, P, "weighted_raw", models.weights(model, P, "whiten")).select("clip_id", "raga", "model", r("pcd_sim"))
 
 
 _PAIRS = dict(pairs="SELECT a.model, b.model AS other, sum(a.y * b.y) AS sim FROM model_w a JOIN model_w b USING (bin) WHERE a.model <> b.model GROUP BY a.model, b.model")
@@ -381,6 +381,20 @@ def score_genericness(spark, d):
     return scoring.genericness_penalty(_plain_scores(pcd, models.models(pcd, P)), scoring.entropy(pcd)).select("clip_id", "model", r("score"))
 
 
+@query(q("SELECT s.clip_id, s.model, round(score - 0.05 * e.nats, 6) AS score FROM s JOIN (SELECT raga AS model, -sum(mean * ln(mean + 1e-10)) AS nats FROM models WHERE mean > 0 GROUP BY raga) e USING (model)", "dense", "models", s=_DOT))
+def score_genericness_model(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    return scoring.genericness_penalty(_plain_scores(pcd, model), scoring.entropy(model, "raga", "mean"), "model").select("clip_id", "model", r("score"))
+
+
+@query(_simple_sql("sum(p * weight * mean * weight)", "SELECT bin, w / (sum(w) OVER () + 1e-8) * 12 AS weight FROM (SELECT bin, ln(n / (df_old + 1)) / (sd + 1e-8) AS w FROM spread)", "spread"))
+def score_idf_old_raw(spark, d):
+    pcd = _pcd(spark, d)
+    model = models.models(pcd, P)
+    return scoring.pcd_similarity(pcd, model, P, "weighted_raw", models.weights(model, P, "idf_old")).select("clip_id", "raga", "model", r("pcd_sim"))
+
+
 @query(q("SELECT clip_id, s.model, round(coalesce(pw, 0.8) * pcd_sim + coalesce(dw, 0.2) * dyad_sim, 6) AS score FROM scores s LEFT JOIN (VALUES (3, 0.5, 0.5)) o(model, pw, dw) ON o.model = s.model", "scores"))
 def score_override(spark, d):
     base = _scores(spark, d)
@@ -404,12 +418,57 @@ def decisions_by_distance(spark, d):
     return decide.distance_decisions(scoring.jensen_shannon(pcd, models.models(pcd, P)), 0.01, 0.02).select("clip_id", "final", r("margin_12"), r("margin_23"))
 
 
-@query(q("SELECT a.clip_id AS a, b.clip_id AS b, a.dir, round(sum(a.v * b.v), 8) AS dot FROM matrices a JOIN matrices b ON a.dir = b.dir AND a.frm = b.frm AND a.\"to\" = b.\"to\" AND a.clip_id < b.clip_id GROUP BY ALL", "matrices"))
+_STEPS = """SELECT clip_id, raga, bin AS frm, nxt AS "to", count(*) / sum(count(*)) OVER (PARTITION BY clip_id) AS v FROM (SELECT *, lead(bin) OVER (PARTITION BY clip_id ORDER BY pos) AS nxt FROM binned) WHERE nxt IS NOT NULL GROUP BY clip_id, raga, frm, "to" """
+_BLEND = _JS_TABLES | dict(
+    st=_STEPS,
+    sn="SELECT raga, count(DISTINCT clip_id) AS n FROM st GROUP BY raga",
+    smm="""SELECT raga AS model, frm, "to", v / sum(v) OVER (PARTITION BY raga) AS m FROM (SELECT raga, frm, "to", sum(v) / any_value(n) AS v FROM st JOIN sn USING (raga) WHERE raga IN (SELECT raga FROM eligible) GROUP BY raga, frm, "to")""",
+    sc="""SELECT clip_id, model, a.range AS frm, b.range AS "to" FROM (SELECT DISTINCT clip_id FROM st), (SELECT DISTINCT model FROM smm), range(12) a, range(12) b""",
+    sj="""SELECT clip_id, model, coalesce(st.v, 0) AS p, coalesce(smm.m, 0) AS m FROM sc LEFT JOIN st USING (clip_id, frm, "to") LEFT JOIN smm USING (model, frm, "to")""",
+    sd=f"SELECT clip_id, model, {_JS} AS distance FROM sj GROUP BY clip_id, model",
+    bl="SELECT js.clip_id, js.model, 0.6 * js.distance + 0.4 * sd.distance AS d1, 0.2 * js.distance + 0.8 * sd.distance AS d2 FROM js JOIN sd USING (clip_id, model)",
+)
+_SIBLINGS = [(0, 1), (1, 0), (2, 4), (4, 2), (3, 5), (5, 3)]
+
+
+def _blended(spark, d):
+    """Distances with the first and with the escalated weights."""
+    folded = _folded(spark, d)
+    pcd = features.histogram(folded, P)
+    model = models.models(pcd, P)
+    steps = features.frame_transitions(features.binned(folded, P))
+    mean = models.mean_shares(steps, models.eligible(models.clip_counts(pcd), P), ["frm", "to"])
+    dyad = scoring.sparse_jensen_shannon(steps.select("clip_id", "frm", "to", F.col("cnt").cast("double").alias("q")), mean, ["frm", "to"]).withColumnRenamed("distance", "dyad")
+    both = scoring.jensen_shannon(pcd, model).join(dyad, ["clip_id", "model"])
+    mix = lambda a, b: both.select("clip_id", "model", (a * F.col("distance") + b * F.col("dyad")).alias("distance"))
+    return mix(0.6, 0.4), mix(0.2, 0.8)
+
+
+@query(q("SELECT clip_id, model, round(d1, 6) AS distance FROM bl", "dense", "models", "binned", **_BLEND))
+def score_distance_blend(spark, d):
+    return _blended(spark, d)[0].select("clip_id", "model", r("distance"))
+
+
+@query(q(f"""SELECT clip_id, CASE WHEN d2 - d1 < 0.002 OR (d2 - d1 < 0.006 AND d3 - d2 < 0.002) THEN '{UNKNOWN}' ELSE best END AS final, round(d2 - d1, 6) AS margin_12, round(d3 - d2, 6) AS margin_23, escalated
+       FROM (SELECT clip_id, max(distance) FILTER (rn = 1) AS d1, max(distance) FILTER (rn = 2) AS d2, max(distance) FILTER (rn = 3) AS d3, max(CAST(model AS VARCHAR)) FILTER (rn = 1) AS best, any_value(escalated) AS escalated
+       FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY distance, model) AS rn FROM (SELECT bl.clip_id, bl.model, CASE WHEN o.clip_id IS NULL THEN d1 ELSE d2 END AS distance, o.clip_id IS NOT NULL AS escalated FROM bl LEFT JOIN o ON o.clip_id = bl.clip_id)) GROUP BY clip_id)""", "dense", "models", "binned", **_BLEND,
+         rk="SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY d1, model) AS rn FROM bl",
+         o="SELECT a.clip_id FROM rk a JOIN rk b ON a.clip_id = b.clip_id AND a.rn = 1 AND b.rn = 2 JOIN (VALUES (0, 1), (1, 0), (2, 4), (4, 2), (3, 5), (5, 3)) s(best, sibling) ON s.best = a.model AND s.sibling = b.model WHERE b.d1 - a.d1 < 0.01"))
+def decisions_by_siblings(spark, d):
+    first, second = _blended(spark, d)
+    siblings = spark.createDataFrame(_SIBLINGS, "best int, sibling int")
+    return decide.sibling_escalated(first, second, siblings, 0.01, 0.002, 0.006).select("clip_id", "final", r("margin_12"), r("margin_23"), "escalated")
+
+
+@query(q('SELECT a.clip_id, b.raga AS model, a.dir, round(sum(a.v * b.v), 8) AS dot FROM matrices a JOIN mean_matrices b ON a.dir = b.dir AND a.frm = b.frm AND a."to" = b."to" GROUP BY ALL', "matrices", "mean_matrices"))
 def dyad_similarity_sparse(spark, d):
-    _, counts, totals = _parts(spark, d)
-    maps = counts.groupBy("clip_id", "dir").agg(F.map_from_entries(F.collect_list(F.struct((F.col("frm") * 12 + F.col("to")).alias("k"), "cnt"))).alias("cells"))
-    side = totals.join(maps, ["clip_id", "dir"], "left").withColumn("cells", F.coalesce("cells", F.create_map().cast("map<int,bigint>")))
-    return scoring.sparse_dot(side, side, P).select("a", "b", "dir", r("dot", 8))
+    pcd, counts, totals = _parts(spark, d)
+    cells, scalars = models.dyad_models(counts, totals, models.clip_counts(pcd), P)
+    as_map = lambda df, keys, v: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct((F.col("frm") * 12 + F.col("to")).alias("k"), F.col(v)))).alias("cells"))
+    none = lambda kind: F.coalesce("cells", F.create_map().cast(f"map<int,{kind}>"))
+    clips = totals.join(as_map(counts, ["clip_id", "dir"], "cnt"), ["clip_id", "dir"], "left").withColumn("cells", none("bigint"))
+    classes = scalars.join(as_map(cells, ["raga", "dir"], "m"), ["raga", "dir"], "left").withColumn("cells", none("double")).withColumnRenamed("raga", "model")
+    return scoring.sparse_dot(clips, classes, P).select("clip_id", "model", "dir", r("dot", 8))
 
 
 @query(q("SELECT clip_id, round(-sum(p * ln(p + 1e-10)), 6) AS nats, round(-sum(p * log2(p)), 6) AS bits, count(*) FILTER (p > 0.005) AS active FROM pcd WHERE p > 0 GROUP BY clip_id", "pcd"))
@@ -447,6 +506,19 @@ def decisions(spark, d):
     return decide.decisions(_scores(spark, d), None, P).select("clip_id", "final", r("margin"), "confidence_tier")
 
 
+@query(q(f"SELECT c.clip_id, coalesce(final, '{UNKNOWN}') AS final, coalesce(margin, 0.0) AS margin, coalesce(confidence_tier, 'UNKNOWN') AS confidence_tier FROM (SELECT DISTINCT user_id + k AS clip_id FROM events, (VALUES (0), (100000)) v(k)) c LEFT JOIN (SELECT clip_id, CASE WHEN m < 2e-4 THEN '{UNKNOWN}' ELSE CAST(model AS VARCHAR) END AS final, round(m, 6) AS margin, CASE WHEN m >= 8e-4 THEN 'HIGH' WHEN m >= 2e-4 THEN 'MODERATE' ELSE 'UNKNOWN' END AS confidence_tier FROM (SELECT *, coalesce(score - second, 0) AS m FROM ranked WHERE rank = 1)) USING (clip_id)", "ranked"))
+def decisions_of_all_clips(spark, d):
+    """Every second clip has no frames at all: no histogram, no scores, so unknown with margin 0."""
+    found = _frames(spark, d).select("clip_id").distinct()
+    clips = found.unionByName(found.select((F.col("clip_id") + 100000).alias("clip_id")))
+    return decide.decisions(_scores(spark, d), clips, P).select("clip_id", "final", r("margin"), "confidence_tier")
+
+
+@query(q(f"SELECT clip_id, '{UNKNOWN}' AS final, 0.0 AS margin, 'UNKNOWN' AS confidence_tier FROM pcd_sims WHERE model = 3", "pcd_sims"))
+def decisions_of_one_model(spark, d):
+    return decide.decisions(_scores(spark, d).where("model = 3"), None, P).select("clip_id", "final", r("margin"), "confidence_tier")
+
+
 @query(q("SELECT clip_id, " + ", ".join(f"coalesce(max(CAST(model AS VARCHAR)) FILTER (rank = {k}), '') AS top{k}, round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3)) + " FROM ranked GROUP BY clip_id", "ranked"))
 def top3_wide(spark, d):
     return decide.top(_scores(spark, d)).select("clip_id", *[c for k in (1, 2, 3) for c in (F.col(f"top{k}"), r(f"top{k}_score"))])
@@ -459,8 +531,7 @@ def full_ranking(spark, d):
 
 @query(q("SELECT raga, bin, CAST(rn AS INTEGER) AS rank FROM (SELECT raga, bin, row_number() OVER (PARTITION BY raga ORDER BY round(mean, 9) DESC, bin) AS rn FROM models) WHERE rn <= 10", "models"))
 def top_bins(spark, d):
-    order = W.partitionBy("raga").orderBy(F.desc(F.round("mean", 9)), "bin")
-    return models.models(_pcd(spark, d), P).select("raga", "bin", F.row_number().over(order).alias("rank")).where("rank <= 10")
+    return decide.top_bins(models.models(_pcd(spark, d), P))
 
 
 @query(q(f"""SELECT a.clip_id, CASE WHEN a.m >= 8e-4 THEN CAST(a.model AS VARCHAR) WHEN b.m >= 2e-4 THEN CAST(b.model AS VARCHAR) ELSE '{UNKNOWN}' END AS final,
@@ -530,14 +601,10 @@ def loo_tiers(spark, d):
 
 
 _FRAME_LOO = loo("loo_naive", "dense", 12, 8e-4, 2e-4)
-_LOO_DYADS = dict(
-    lm="""SELECT h.clip_id AS fold, m.raga AS model, m.dir, m.frm, m."to", sum(m.v) / any_value(e.n - CASE WHEN m.raga = h.raga THEN 1 ELSE 0 END) AS v FROM (SELECT DISTINCT clip_id, raga FROM dense WHERE raga IN (SELECT raga FROM eligible)) h JOIN matrices m ON m.clip_id <> h.clip_id JOIN eligible e ON e.raga = m.raga GROUP BY ALL""",
-    ld="""SELECT a.clip_id, b.model, 0.5 * sum(a.v * b.v) AS dyad_sim FROM matrices a JOIN lm b ON a.clip_id = b.fold AND a.dir = b.dir AND a.frm = b.frm AND a."to" = b."to" GROUP BY ALL""",
-    lf="SELECT s.clip_id, s.raga, s.model, s.score / 0.8 AS pcd_sim, coalesce(d.dyad_sim, 0) AS dyad_sim FROM ls s LEFT JOIN ld d ON d.clip_id = s.clip_id AND d.model = s.model",
-)
+_LOO_DYADS = {k: v for k, v in _FRAME_LOO.items() if k not in ("lr", "lo")} | with_dyads("ls", "eligible", "dense")
 
 
-@query(q("SELECT clip_id, raga, model, round(pcd_sim, 6) AS pcd_sim, round(dyad_sim, 8) AS dyad_sim, round(0.8 * pcd_sim + 0.2 * dyad_sim, 6) AS score FROM lf", "loo_naive", "matrices", **{k: v for k, v in _FRAME_LOO.items() if k not in ("lr", "lo")}, **_LOO_DYADS))
+@query(q("SELECT clip_id, raga, model, round(pcd_sim, 6) AS pcd_sim, round(dyad_sim, 8) AS dyad_sim, round(0.8 * pcd_sim + 0.2 * dyad_sim, 6) AS score FROM lf", "loo_naive", "matrices", **_LOO_DYADS))
 def loo_scores_with_dyads(spark, d):
     pcd, counts, totals = _parts(spark, d)
     return evaluate.loo_scores(pcd, P, counts, totals).select("clip_id", "raga", "model", r("pcd_sim"), r("dyad_sim", 8), r("score"))
@@ -572,6 +639,94 @@ def sweep_weights_margins(spark, d):
     return evaluate.sweep(params, _scores(spark, d)).select("param", "correct", "wrong", "unknown", r("acc_decided"))
 
 
+_OUT3 = dict(
+    el3="SELECT * FROM eligible WHERE raga NOT IN (1, 4)", dense3="SELECT * FROM dense WHERE raga NOT IN (1, 4)",
+    naive3="SELECT h.clip_id AS fold, h.raga AS truth, t.raga AS model, t.bin, avg(t.p) AS mean FROM (SELECT DISTINCT clip_id, raga FROM dense3 WHERE raga IN (SELECT raga FROM el3)) h JOIN dense3 t ON t.clip_id <> h.clip_id AND t.raga IN (SELECT raga FROM el3) GROUP BY ALL",
+)
+_SCENARIOS = (
+    _LOO_DYADS | decided("lf", 8e-4, 2e-4, "s1")
+    | {"ov": "SELECT clip_id, raga, model, CASE WHEN model = 3 THEN 0.5 ELSE 0.8 END * pcd_sim + CASE WHEN model = 3 THEN 0.5 ELSE 0.2 END * dyad_sim AS score FROM lf"} | decided("ov", 8e-4, 2e-4, "s2")
+    | _OUT3 | {k: v for k, v in loo("naive3", "dense3", 12, 8e-4, 2e-4, "x").items() if k not in ("xlr", "xlo")} | with_dyads("xls", "el3", "dense3", "x") | decided("xlf", 8e-4, 2e-4, "s3")
+)
+
+
+@query(q("""SELECT scenario, raga, CASE WHEN outcome = 'u' THEN 'UNKNOWN' ELSE CAST(predicted AS VARCHAR) END AS said, count(*) AS n FROM (SELECT 'all' AS scenario, * FROM s1lo UNION ALL SELECT 'override', * FROM s2lo UNION ALL SELECT 'excluded', * FROM s3lo) GROUP BY ALL""", "loo_naive", "matrices", **_SCENARIOS))
+def loo_scenarios(spark, d):
+    """Confusion of three runs: all classes, one class with weights of its own, two classes left out."""
+    pcd, counts, totals = _parts(spark, d)
+    over = spark.createDataFrame([(3, 0.5, 0.5)], "model int, pcd_w double, dyad_w double")
+    found = evaluate.scenarios(pcd, counts, totals, over, [1, 4], P)
+    said = F.when(F.col("outcome") == "u", "UNKNOWN").otherwise(F.col("predicted").cast("string"))
+    return found.groupBy("scenario", "raga", said.alias("said")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _tally_sql(rows: str, keys: str) -> str:
+    """Tallies by ``keys`` of ``rows`` (``keys, clip_id, raga, model, score``)."""
+    return f"""SELECT {keys}, count(*) FILTER (o = 'c') AS correct, count(*) FILTER (o = 'w') AS wrong, count(*) FILTER (o = 'u') AS unknown, round(CASE WHEN count(*) FILTER (o <> 'u') > 0 THEN count(*) FILTER (o = 'c') / count(*) FILTER (o <> 'u') ELSE 0 END, 6) AS acc_decided
+       FROM (SELECT *, CASE WHEN coalesce(score - nx, 0) < 2e-4 THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS o FROM (SELECT *, lead(score) OVER (PARTITION BY {keys}, clip_id ORDER BY score DESC, model) AS nx, row_number() OVER (PARTITION BY {keys}, clip_id ORDER BY score DESC, model) AS rn FROM ({rows})) WHERE rn = 1) GROUP BY {keys}"""
+
+
+# The penalties and thresholds that the sweep of absent notes tries, one after the other.
+_PENALTIES = [(x, 0.01) for x in (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50)] + [(0.15, x) for x in (0.005, 0.008, 0.015, 0.020, 0.030)]
+# The weights that the sweep of energy ratios tries; 0 is the base line.
+_RATIO_WEIGHTS = [(x,) for x in (0.0, 0.05, 0.10, 0.15, 0.20, 0.30, 0.40)]
+_DOUBLES = lambda rows: [tuple(f"CAST({x} AS DOUBLE)" for x in row) for row in rows]
+_VALUES_D = lambda rows, cols: f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(x) + ')' for x in _DOUBLES(rows))}) v({cols})"
+
+
+@query(q(_tally_sql("SELECT pp.penalty, pp.least, lf.clip_id, lf.raga, lf.model, lf.score * (1 - pp.penalty * coalesce(ab.share, 0)) AS score FROM lf CROSS JOIN pp LEFT JOIN ab ON ab.least = pp.least AND ab.clip_id = lf.clip_id AND ab.model = lf.model", "penalty, least"), "loo_naive", "matrices", **_LOO_DYADS,
+         pp=_VALUES_D(_PENALTIES, "penalty, least"), notes=_VALUES(_NOTES, "note, lo, hi"), needed=_VALUES(_NEEDED, "model, note"),
+         en="SELECT clip_id, note, sum(p) AS energy FROM dense JOIN notes ON bin BETWEEN lo AND hi GROUP BY clip_id, note",
+         ab="SELECT least, clip_id, model, avg(CASE WHEN energy < least THEN 1.0 ELSE 0.0 END) AS share FROM needed JOIN en USING (note) CROSS JOIN (SELECT DISTINCT least FROM pp) GROUP BY least, clip_id, model"))
+def sweep_absent_notes(spark, d):
+    pcd, counts, totals = _parts(spark, d)
+    notes, needed = spark.createDataFrame(_NOTES, "note string, lo int, hi int"), spark.createDataFrame(_NEEDED, "model int, note string")
+    swept = evaluate.sweep_absent(evaluate.loo_scores(pcd, P, counts, totals), pcd, notes, needed, spark.createDataFrame(_PENALTIES, "penalty double, least double"), P)
+    return swept.select("penalty", "least", "correct", "wrong", "unknown", r("acc_decided"))
+
+
+_RATIO_SQL = q(_tally_sql(f"SELECT rw.ratio_w, lf.clip_id, lf.raga, lf.model, lf.score * (1 + rw.ratio_w * 0.5 * ({_RATIO.format('pa')} + {_RATIO.format('ni')})) AS score FROM lf CROSS JOIN rw JOIN t ON t.clip_id = lf.clip_id JOIN m ON m.fold = lf.clip_id AND m.model = lf.model", "ratio_w"), "loo_naive", "matrices", **_LOO_DYADS, rw=_VALUES_D(_RATIO_WEIGHTS, "ratio_w"),
+               t="SELECT clip_id, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN p ELSE 0 END) AS pa, sum(CASE WHEN bin BETWEEN 10 AND 11 THEN p ELSE 0 END) AS ni FROM dense GROUP BY clip_id",
+               m="SELECT fold, model, sum(CASE WHEN bin BETWEEN 6 AND 8 THEN mean ELSE 0 END) AS pa, sum(CASE WHEN bin BETWEEN 10 AND 11 THEN mean ELSE 0 END) AS ni FROM loo_naive GROUP BY fold, model")
+
+
+def _ratio_sweep(spark, d):
+    pcd, counts, totals = _parts(spark, d)
+    scores = evaluate.loo_scores(pcd, P, counts, totals, windows={"pa": (6, 8), "ni": (10, 11)})
+    return evaluate.sweep_ratio(scores, ["pa", "ni"], spark.createDataFrame(_RATIO_WEIGHTS, "ratio_w double"), P)
+
+
+@query(_RATIO_SQL)
+def sweep_energy_ratios(spark, d):
+    return _ratio_sweep(spark, d).select("ratio_w", "correct", "wrong", "unknown", r("acc_decided"))
+
+
+@query(f"SELECT max_by(ratio_w, (correct, -wrong, ratio_w)) AS ratio_w, max(correct) AS correct FROM ({_RATIO_SQL})")
+def best_ratio_weight(spark, d):
+    return evaluate.best_configuration(_ratio_sweep(spark, d), "ratio_w")
+
+
+@query(f"SELECT n.ratio_w, round(n.acc_decided - b.acc_decided, 6) AS delta, CASE WHEN n.acc_decided > b.acc_decided THEN 'BETTER' WHEN n.acc_decided = b.acc_decided THEN 'SAME' ELSE 'WORSE' END AS verdict FROM ({_RATIO_SQL}) n, ({_RATIO_SQL}) b WHERE b.ratio_w = 0 AND n.ratio_w = 0.4")
+def sweep_verdict(spark, d):
+    swept = _ratio_sweep(spark, d)
+    one = evaluate.verdict(swept.where("ratio_w = 0"), swept.where("ratio_w = 0.4"))
+    return one.select(F.lit(0.4).alias("ratio_w"), r("delta"), "verdict")
+
+
+_BIN_SWEEP = (36, 48, 60, 72, 96, 120)
+
+
+def _bins_sql(n: int) -> str:
+    outcome = "CASE WHEN coalesce(score - second, 0) < 2e-4 THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END"
+    return q(f"SELECT {n} AS n_bins, count(*) FILTER (o = 'c') AS correct, count(*) FILTER (o = 'w') AS wrong, count(*) FILTER (o = 'u') AS unknown, count(*) FILTER (o = 'w' AND model = 3) AS sink, round(CASE WHEN count(*) FILTER (o <> 'u') > 0 THEN count(*) FILTER (o = 'c') / count(*) FILTER (o <> 'u') ELSE 0 END, 6) AS acc_decided FROM (SELECT *, {outcome} AS o FROM ranked WHERE rank = 1)", "ranked", n=n)
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_bins_sql(n)})" for n in _BIN_SWEEP))
+def sweep_bins_scored(spark, d):
+    swept = evaluate.sweep_bins(lambda p: _scores(spark, d, p), _BIN_SWEEP, P, 3)
+    return swept.select("n_bins", "correct", "wrong", "unknown", "sink", r("acc_decided"))
+
+
 _BINS = (6, 12, 24)
 
 
@@ -669,7 +824,34 @@ def cohens_d(spark, d):
 @query()
 def permutation_p(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0)
+    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0).select("p")
+
+
+@query("SELECT round(avg(n_chars) FILTER (toxic = 1) - avg(n_chars) FILTER (toxic = 0), 6) AS observed, count(n_chars) FILTER (toxic = 1) AS n_a, count(n_chars) FILTER (toxic = 0) AS n_b FROM labels JOIN documents USING (doc_id)")
+def permutation_observed(spark, d):
+    """What of the permutation test SQL can tell; the shuffles' stream is the generator's own."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0, iterations=1000).select(r("observed"), "n_a", "n_b")
+
+
+@query("SELECT event_type, CASE WHEN 0.04 < 0.05 AND m < rm THEN 'WORSE' WHEN md >= rmd THEN 'NO DEGRADATION' ELSE 'INCONCLUSIVE' END AS verdict FROM (SELECT event_type, avg(value) AS m, median(value) AS md FROM events GROUP BY event_type), (SELECT avg(value) AS rm, median(value) AS rmd FROM events WHERE event_type = 'view')")
+def separation_verdicts(spark, d):
+    events = table(spark, d, "events")
+    own = events.groupBy("event_type").agg(F.avg("value").alias("m"), F.median("value").alias("md"))
+    ref = events.where("event_type = 'view'").agg(F.avg("value").alias("rm"), F.median("value").alias("rmd"))  # one row
+    return own.crossJoin(ref).select("event_type", stats.separation_verdict(0.04, F.col("m"), F.col("rm"), F.col("md"), F.col("rmd")).alias("verdict"))
+
+
+@query(q("SELECT model, note, round(coalesce(sum(mean), 0), 6) AS energy FROM (SELECT DISTINCT n.model, notes.note, lo, hi FROM needed n, notes WHERE NOT EXISTS (SELECT 1 FROM needed x WHERE x.model = n.model AND x.note = notes.note)) z JOIN models ON raga = model AND bin BETWEEN lo AND hi GROUP BY model, note", "models", notes=_VALUES(_NOTES, "note, lo, hi"), needed=_VALUES(_NEEDED, "model, note")))
+def notes_outside_the_scale(spark, d):
+    notes, needed = spark.createDataFrame(_NOTES, "note string, lo int, hi int"), spark.createDataFrame(_NEEDED, "model int, note string")
+    return scoring.absent_energy(models.models(_pcd(spark, d), P), notes, needed).select("model", "note", r("energy"))
+
+
+@query("SELECT raga, model, clip_id FROM (SELECT o_custkey % 5 AS raga, o_orderkey % 7 AS model, o_orderkey AS clip_id, row_number() OVER (PARTITION BY o_custkey % 5, o_orderkey % 7 ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def first_seen_pairs(spark, d):
+    rows = table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("raga"), (F.col("o_orderkey") % 7).alias("model"), F.col("o_orderkey").alias("clip_id"))
+    return scoring.first_seen(rows, ["raga", "model"], ["clip_id"])
 
 
 @query("SELECT round(rm, 6) AS reference_median, round(tm, 6) AS target_median, (SELECT count(*) FROM events WHERE event_type = 'click' AND value > rm) AS beats FROM (SELECT median(value) FILTER (event_type = 'view') AS rm, median(value) FILTER (event_type = 'click') AS tm FROM events)")
@@ -729,23 +911,115 @@ def duplicate_texts(spark, d):
 @query("SELECT url, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, CASE WHEN contains(lower(url), 'ref') THEN 'ref' WHEN contains(lower(url), 'page') THEN 'page' END AS keyword, contains(lower(url), '/fr/') AS is_fr FROM pages")
 def url_parts(spark, d):
     url = F.col("url")
-    return table(spark, d, "pages").select("url", F.lower(F.regexp_extract(url, "^https?://([^/]+)", 1)).alias("host"), G.first_keyword(url, ["ref", "page"]).alias("keyword"), F.contains(F.lower(url), F.lit("/fr/")).alias("is_fr"))
+    return table(spark, d, "pages").select("url", G.host(url).alias("host"), G.first_keyword(url, ["ref", "page"]).alias("keyword"), G.has(url, "/FR/").alias("is_fr"))
 
 
-@query("SELECT s.path, min_by(raga, ord) AS raga FROM (SELECT p_partkey AS path, lower(p_name) AS song FROM part) s JOIN (SELECT p_type AS raga, p_partkey AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part WHERE p_partkey < 20) m ON contains(s.song, m.title) OR contains(m.title, s.song) GROUP BY s.path")
-def metadata_first_match(spark, d):
-    part = table(spark, d, "part")
-    entries = part.select(F.col("p_partkey").alias("path"), F.lower("p_name").alias("song"))
-    meta = part.where("p_partkey < 20").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("title"), F.col("p_type").alias("raga"), F.col("p_partkey").alias("ord"))
-    return quality.first_match(entries, meta)
+@query(q("SELECT raga, fname, lower(CASE WHEN ends_with(x, '.demucs-vocal') THEN left(x, len(x) - 13) WHEN ends_with(x, '.vocal-s') THEN left(x, len(x) - 8) WHEN ends_with(x, '.vocal') THEN left(x, len(x) - 6) ELSE x END) AS song FROM (SELECT *, regexp_replace(fname, '_[^_]*_[^_]*$', '') AS x FROM f)", f=_FILES))
+def songs_by_trailing_suffix(spark, d):
+    return _files(spark, d).select("raga", "fname", G.song_trailing(F.col("fname")).alias("song"))
+
+
+# Made-up spellings for the normalisation of class names, by the remainder of a key.
+_SPELT = ("Tōḍi", " KALYANI", "Bhairavi (slow)", "śaṅkarābharaṇaṁ", "Mohanaṁ", "unknown name", "Harikāmbhōji", "Abhōgi 2")
+_KEYS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(G.SPELLINGS.items()))
+
+
+@query(f"""SELECT path, name, coalesce((SELECT min_by(v, o) FROM (VALUES {_KEYS}) t(o, k, v) WHERE contains(lower(trim(name)), k)), (SELECT min_by(v, o) FROM (VALUES {_KEYS}) t(o, k, v) WHERE contains(strip_accents(lower(trim(name))), k)), name) AS raga
+       FROM (SELECT p_partkey AS path, CASE p_partkey % 8 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_SPELT))} END AS name FROM part)""")
+def normalised_class_names(spark, d):
+    name = F.element_at(F.array(*map(F.lit, _SPELT)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("path"), name.alias("name")).withColumn("raga", G.class_name(F.col("name")))
+
+
+_PATHS = "SELECT p_brand || '/' || p_name || chr(92) || p_type || '.MP3' AS path, p_size FROM part"
+
+
+@query(f"SELECT path, split_part(replace(path, chr(92), '/'), '/', -1) AS file, split_part(replace(path, chr(92), '/'), '/', -2) AS song, split_part(replace(path, chr(92), '/'), '/', -3) AS concert, contains(lower(path), 'steel') AS is_vocal, regexp_matches(lower(path), 'multitrack|violin|mridangam|ghatam|secondary') AS denied FROM ({_PATHS}) WHERE NOT contains(lower(path), 'copper')")
+def path_parts(spark, d):
+    path = F.concat("p_brand", F.lit("/"), "p_name", F.lit("\\"), "p_type", F.lit(".MP3"))
+    rows = G.without_words(table(spark, d, "part").select(path.alias("path")), "path", ["Copper"])
+    part = lambda k: G.path_part(F.col("path"), k)
+    return rows.select("path", part(1).alias("file"), part(2).alias("song"), part(3).alias("concert"), G.has(F.col("path"), "Steel").alias("is_vocal"), G.denied(F.col("path")).alias("denied"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/Multitrack/x.mp3' WHEN 1 THEN 'a/b.violin.mp3' ELSE 'a/vocal.mp3' END AS path FROM part WHERE p_partkey % 3 = 2")
+def allowed_paths(spark, d):
+    paths = F.when(F.col("p_partkey") % 3 == 0, "a/Multitrack/x.mp3").when(F.col("p_partkey") % 3 == 1, "a/b.violin.mp3").otherwise("a/vocal.mp3")
+    return table(spark, d, "part").select("p_partkey", paths.alias("path")).where(~G.denied(F.col("path")))
 
 
-@query("SELECT s.path, min_by(raga, ord) AS raga FROM (SELECT p_partkey AS path, lower(p_name) AS song FROM part) s JOIN (SELECT min_by(p_type, p_partkey) AS raga, min(p_partkey) AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part GROUP BY title) m ON contains(s.song, m.title) OR contains(m.title, s.song) GROUP BY s.path")
-def metadata_first_match_whole(spark, d):
+@query("SELECT o_orderkey, printf('%.1f%%', o_totalprice / 1000000 * 100) AS share FROM orders")
+def percent_texts(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", G.percent(F.col("o_totalprice") / 1000000).alias("share"))
+
+
+@query(q("SELECT clip_id, bin, count(*) AS n FROM (SELECT clip_id, CAST(greatest(0, least(11, floor((r - 600) / 100))) AS INTEGER) AS bin FROM folded WHERE r > -1200 AND r < 2400) GROUP BY ALL", "folded"))
+def clipped_bins_of_the_wide_window(spark, d):
+    wide = pitch.cents(F.col("f0"), SA)
+    rows = _frames(spark, d).where(pitch.wide_window(wide)).select("clip_id", pitch.clipped_bin(wide - 600, 12).alias("bin"))
+    return rows.groupBy("clip_id", "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- round trips through sinks and sources -------------------------------------------------------------
+
+
+@query("SELECT user_id AS clip_id, CAST(user_id % 5 AS INTEGER) AS raga, round(avg(value) / 100 % 0.3, 6) AS gating_ratio, count(*) AS frames FROM events WHERE event_type <> 'error' GROUP BY user_id HAVING avg(value) / 100 % 0.3 >= 0.05 AND count(*) >= 55")
+def feature_store_round_trip(spark, d):
+    rows = table(spark, d, "events").where("event_type <> 'error'").groupBy("user_id").agg((F.avg("value") / 100 % 0.3).alias("gating_ratio"), F.collect_list("value").alias("cents_gated"))
+    path = sinks.scratch(spark, "features")
+    sinks.write_features(rows.select(F.col("user_id").alias("clip_id"), (F.col("user_id") % 5).cast("int").alias("raga"), "gating_ratio", "cents_gated"), path, P)
+    return listing.feature_store(spark, path, P, min_frames=55).select("clip_id", "raga", r("gating_ratio"), F.size("cents_gated").cast("long").alias("frames"))
+
+
+@query(q("SELECT raga, bin, round(mean, 6) AS mean, clip_count FROM models WHERE raga IN (SELECT raga FROM mean_matrices) AND raga <> 2", "models", "mean_matrices"))
+def model_store_round_trip(spark, d):
+    """Of a class whose transitions are missing the histogram is left out as well."""
+    pcd, counts, totals = _parts(spark, d)
+    cells, scalars = models.dyad_models(counts, totals, models.clip_counts(pcd), P)
+    path = sinks.scratch(spark, "models")
+    sinks.write_models(models.models(pcd, P), cells, scalars.where("raga <> 2"), path, "20250101_000000")
+    return listing.model_store(spark, path, "20250101_000000")[0].select("raga", "bin", r("mean"), "clip_count")
+
+
+@query(_vq(f"SELECT raga, total, correct, wrong, unknown FROM (SELECT raga, count(*) AS total, {_TALLY} FROM lo GROUP BY raga)"))
+def csv_round_trip(spark, d):
+    path = sinks.scratch(spark, "per-raga")
+    sinks.write_csv(evaluate.per_class(_loo(spark, d)), path, ["raga"])
+    return spark.read.option("header", True).schema("raga int, total long, correct long, wrong long, unknown long, acc_all double, acc_decided double").csv(path).select("raga", "total", "correct", "wrong", "unknown")
+
+
+@query(_vq("SELECT unnest(['files: ' || total, 'correct: ' || correct, 'wrong: ' || wrong]) AS value FROM (SELECT count(*) AS total, count(*) FILTER (outcome = 'c') AS correct, count(*) FILTER (outcome = 'w') AS wrong FROM lo)"))
+def summary_round_trip(spark, d):
+    path = sinks.scratch(spark, "summary")
+    sinks.write_summary(evaluate.overall(_loo(spark, d)), path)
+    return spark.read.text(path).where("value like 'files:%' or value like 'correct:%' or value like 'wrong:%'")
+
+
+@query(q("SELECT 'v1.2' AS feature_version, 12 AS bins, total AS total_files_seen, included AS included_clips FROM (SELECT count(*) AS total FROM c), (SELECT CAST(sum(n) AS BIGINT) AS included FROM eligible)", "eligible", c=_CLIPS))
+def run_metadata_round_trip(spark, d):
+    path = sinks.scratch(spark, "run")
+    sinks.write_run(models.run_metadata(_pcd(spark, d), models.guard_counts(_clips(spark, d), P), "20250101_000000", "events", P), path)
+    return spark.read.schema("feature_version string, bins int, total_files_seen long, included_clips long").json(path)
+
+
+_ENTRIES = "(SELECT p_partkey AS path, lower(p_name) AS song FROM part) s"
+_TITLES = "(SELECT min_by(p_type, p_partkey) AS raga, min(p_partkey) AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part GROUP BY title) m"
+
+
+def _titles(spark, d):
     part = table(spark, d, "part")
-    entries = part.select(F.col("p_partkey").alias("path"), F.lower("p_name").alias("song"))
     meta = part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("title"), F.col("p_type").alias("raga"), F.col("p_partkey").alias("ord"))
-    return quality.first_match(entries, meta)
+    return part.select(F.col("p_partkey").alias("path"), F.lower("p_name").alias("song")), meta
+
+
+@query(f"SELECT s.path, min_by(raga, ord) AS raga FROM {_ENTRIES} JOIN {_TITLES} ON contains(s.song, m.title) OR contains(m.title, s.song) GROUP BY s.path")
+def metadata_first_match(spark, d):
+    return quality.first_match(*_titles(spark, d))
+
+
+@query(f"SELECT s.path, min_by(raga, ord) AS raga FROM {_ENTRIES} JOIN {_TITLES} ON contains(s.song, m.title) GROUP BY s.path")
+def metadata_contained_title(spark, d):
+    return quality.first_match(*_titles(spark, d), both_ways=False)
 
 
 @query("SELECT part, max_by(path, (length(path), path)) AS path FROM (SELECT DISTINCT p_brand AS part FROM part) w JOIN (SELECT p_brand || '/' || p_name || '/' || p_type AS path FROM part) e ON contains(path, part) GROUP BY part")
@@ -797,17 +1071,21 @@ def cache_or_compute(spark, d):
     return listing.cache_or_compute(live, cached, live).select("clip_id", r("f0"), "origin")
 
 
-@query(q("SELECT CAST(clip_id AS BIGINT) AS file, raga AS true_raga, CASE WHEN outcome = 'u' THEN 'UNKNOWN' ELSE CAST(predicted AS VARCHAR) END AS predicted_raga, CASE outcome WHEN 'c' THEN '+' WHEN 'u' THEN '?' ELSE 'X' END AS correct FROM rs", "ranked", rs=_RESUB))
+_TOPS = ", ".join(f"round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3))
+
+
+@query(q(f"SELECT clip_id AS file, raga AS true_raga, CASE WHEN outcome = 'u' THEN 'UNKNOWN' ELSE CAST(predicted AS VARCHAR) END AS predicted_raga, CASE WHEN margin >= 8e-4 THEN 'HIGH' WHEN margin >= 2e-4 THEN 'MODERATE' ELSE 'UNKNOWN' END AS confidence_tier, round(margin, 6) AS margin, top1_score, top2_score, top3_score, CASE outcome WHEN 'c' THEN '+' WHEN 'u' THEN '?' ELSE 'X' END AS correct FROM rs JOIN (SELECT clip_id, {_TOPS} FROM ranked GROUP BY clip_id) USING (clip_id)", "ranked", rs=_RESUB))
 def per_file_rows(spark, d):
     scores = _scores(spark, d)
-    return sinks.per_file(evaluate.outcomes(scores, P), decide.top(scores)).select("file", "true_raga", "predicted_raga", "correct")
+    rows = sinks.per_file(evaluate.outcomes(scores, P), decide.top(scores))
+    return rows.select("file", "true_raga", "predicted_raga", "confidence_tier", r("margin"), *[r(f"top{k}_score") for k in (1, 2, 3)], "correct")
 
 
-@query(q(f"""SELECT clip_id AS file, CASE WHEN coalesce(max(m), 0) < 2e-4 THEN '{UNKNOWN}' ELSE max(CAST(model AS VARCHAR)) FILTER (rank = 1) END AS predicted_raga, """ + ", ".join(f"coalesce(max(CAST(model AS VARCHAR)) FILTER (rank = {k}), '') AS top{k}_raga, round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3)) + " FROM (SELECT *, CASE WHEN rank = 1 THEN coalesce(score - second, 0) END AS m FROM ranked) GROUP BY clip_id", "ranked"))
+@query(q(f"""SELECT clip_id AS file, CASE WHEN max(m) < 2e-4 THEN '{UNKNOWN}' ELSE max(CAST(model AS VARCHAR)) FILTER (rank = 1) END AS predicted_raga, CASE WHEN max(m) >= 8e-4 THEN 'HIGH' WHEN max(m) >= 2e-4 THEN 'MODERATE' ELSE 'UNKNOWN' END AS confidence_tier, round(max(m), 6) AS margin, """ + ", ".join(f"coalesce(max(CAST(model AS VARCHAR)) FILTER (rank = {k}), '') AS top{k}_raga" for k in (1, 2, 3)) + f", {_TOPS} FROM (SELECT *, CASE WHEN rank = 1 THEN coalesce(score - second, 0) END AS m FROM ranked) GROUP BY clip_id", "ranked"))
 def unlabelled_rows(spark, d):
     scores = _scores(spark, d)
     rows = sinks.unlabelled(decide.decisions(scores, None, P), decide.top(scores))
-    return rows.select("file", "predicted_raga", *[c for k in (1, 2, 3) for c in (F.col(f"top{k}_raga"), r(f"top{k}_score"))])
+    return rows.select("file", "predicted_raga", "confidence_tier", r("margin"), *[c for k in (1, 2, 3) for c in (F.col(f"top{k}_raga"), r(f"top{k}_score"))])
 
 
 @query("SELECT CAST(o_orderkey AS BIGINT) AS clip, o_totalprice AS seconds FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")

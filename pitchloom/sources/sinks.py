@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchloom.params import Params
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``; where none is set, the warehouse)."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_features(clips: DataFrame, path: str, p: Params = Params()) -> None:
     """Append clip records below ``feature_version`` and ``raga``."""
     clips.withColumn("feature_version", F.lit(p.feature_version)).write.mode("append").partitionBy("feature_version", "raga").parquet(path)

@@ -32,8 +32,8 @@ def test_oracle(spark, duck, name):
 
 
 def test_metadata_of_the_whole_table(spark, duck):
-    rows = {tuple(r) for r in registry.queries()["metadata_first_match_whole"](spark, SF).collect()}
-    assert rows == set(duck.sql(registry.oracle_sql()["metadata_first_match_whole"]).fetchall())
+    rows = {tuple(r) for r in registry.queries()["metadata_first_match"](spark, SF).collect()}
+    assert rows == set(duck.sql(registry.oracle_sql()["metadata_first_match"]).fetchall())
     assert len(rows) == duck.sql("SELECT count(*) FROM part").fetchall()[0][0]
 
 
