@@ -5,47 +5,56 @@ The automaton starts with one state and a loop for every base symbol. Each merge
 of their target that lacks the arc ``v``, and wherever ``u v`` could be read an
 arc ``w`` is added to where ``v`` led (before the redirection, if ``u`` is
 ``v``). All arcs with one label lead to one state, so the automaton is
-deterministic and is kept in tables by token: its target, the arcs that its
-gadgets removed, and when. A copy shares its origin's arcs; an arc added later
-exists exactly if the arc of its left part does. Thus a gadget costs constant
-time and space, and a transition looks up a few parts, and is remembered.
-
-The paths that spell a word are its segmentations; exactly one consists of arcs
-of the automaton, and that is the BPE result.
+deterministic and is kept in arrays by token: its target, its left part, the merge
+that made it; and by state: whose gadget made it, and when. A copy shares its
+origin's arcs; an arc added later exists exactly if the arc of its left part does.
+Thus a gadget costs constant time and space. Arcs that were asked for are kept in a
+table of transitions, an array of fixed size with one place per arc.
+
+The paths of the automaton spell exactly the correct segmentations, and each part
+from the start of one is one itself. So every prefix of a word has a single path:
+the encoder goes through the word once and notes for each prefix the last arc of its
+path, which is the one whose transition exists from the path of the prefix before it.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from pitchloom.llm import tokens
+from pitchloom.llm import shingles, tokens
 from pitchloom.llm.common import id_text
 
-ARCS = 2_000_000
+#: Places of the table of transitions, of 8 bytes each. An arc overwrites one with the same place.
+ARCS = 1 << 20
+#: Bytes that a worker spends on words here, as a miss costs more than in the library.
+CHUNKS, PIECES = 112 << 20, 40 << 20
+_ID = 24  # bits of an id in the table's entries
 
 
 class Automaton:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
         size = max(vocab.values()) + 1
+        if size >= 1 << _ID:
+            raise ValueError("too many tokens")
         self.label = [""] * size
         for text, i in vocab.items():
             self.label[i] = text
         made = [vocab[a + b] for a, b in merges]
         if len(set(made)) < len(made):
             raise ValueError("two merges make one token")
-        self.born = [-1] * size
-        self.left = [-1] * size
-        self.target = [0] * size  # where arcs with this label lead
-        self.first = [0] * size  # where they led before any gadget of this label
-        self.owner, self.since = [-1], [-1]  # of each state: the label whose gadget made it, and when
-        self.removed: list[dict[int, int]] = [{} for _ in range(size)]  # by label: arcs its gadgets took away, and when
-        self.spines: dict[int, list[tuple[int, int]]] = {}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.born = array("i", [-1]) * size
+        self.left = array("i", [-1]) * size
+        self.target = array("i", [0]) * size  # where arcs with this label lead
+        self.first = array("i", [0]) * size  # where they led before any gadget of this label
+        self.owner, self.since = array("i", [-1]), array("i", [-1])  # of each state: the label whose gadget made it, and when
+        self.removed: dict[int, int] = {}  # label and arc that its gadget took away: when
+        self.table = array("q", [0]) * ARCS
         unreachable = set()
         for k, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
@@ -56,77 +65,65 @@ class Automaton:
             self.first[w] = self.target[w] = self.target[v]
             self.owner.append(u)
             self.since.append(k)
-            self.removed[u][v] = k
+            self.removed[u << _ID | v] = k
             self.target[u] = len(self.owner) - 1
         self.spellings = {t: i for t, i in vocab.items() if i not in unreachable and (self.born[i] >= 0 or len(t.removesuffix(suffix)) == 1)}
-        self.longest = max(map(len, self.spellings), default=1)
-
-    def _spine(self, token: int) -> list[tuple[int, int]]:
-        """The token, its left part, that one's left part, ...: each with the time from which the next larger stood for it."""
-        found = self.spines.get(token)
-        if found is None:
-            found, part, until = [], token, len(self.owner) + (1 << 40)
-            while part >= 0:
-                found.append((part, until))
-                part, until = self.left[part], self.born[part]
-            self.spines[token] = found
-        return found
+        # By the last three letters, the length of the longest label that ends in them: inside a word, and at its end.
+        self.inside, self.at_end = {}, {}
+        for text in self.spellings:
+            last = bool(suffix) and text.endswith(suffix)
+            body, known = (text.removesuffix(suffix), self.at_end) if last else (text, self.inside)
+            if len(body) > 2:
+                known[body[-3:]] = max(known.get(body[-3:], 0), len(body))
+        if not suffix:
+            self.at_end = self.inside
 
     def _has(self, state: int, token: int) -> bool:
         """Whether a state has an arc: no gadget along its origins removed it or, before it was added, its left part."""
-        spine = self._spine(token)
+        removed, left, born = self.removed, self.left, self.born
         while state:
             label, made = self.owner[state], self.since[state]
-            removed = self.removed[label]
-            for part, until in spine:
-                at = removed.get(part)
+            part, until = token, 1 << 40
+            while part >= 0:
+                at = removed.get(label << _ID | part)
                 if at is not None and at <= made and at <= until:
                     return False
+                part, until = left[part], born[part]
             state = self.first[label]
         return True
 
-    def step(self, state: int, token: int) -> int:
-        """The next state, or -1 if there is no such arc."""
-        arc = (state, token)
-        found = self.known.get(arc)
-        if found is None:
-            found = self.target[token] if self._has(state, token) else -1
-            if len(self.known) < ARCS:
-                self.known[arc] = found
+    def follows(self, before: int, token: int) -> bool:
+        """Whether the state behind ``before`` has an arc ``token``, by the table of transitions."""
+        arc = before << _ID | token
+        place = (before * 0x9E3779B1 + token * 0x85EBCA77 >> 8) & ARCS - 1
+        entry = self.table[place]
+        if entry >> 1 == arc + 1:
+            return entry & 1 == 1
+        found = self._has(self.target[before], token)
+        self.table[place] = arc + 1 << 1 | found
         return found
 
     def encode(self, word: str) -> list[int]:
-        """Ids of one word in the vocabulary's alphabet; longest arcs are tried first."""
-        if not word:
-            return []
-        spellings, step, suffix, n = self.spellings, self.step, self.suffix, len(word)
+        """Ids of one word in the vocabulary's alphabet, in time linear in its length."""
+        spellings, follows, suffix, n = self.spellings, self.follows, self.suffix, len(word)
         whole = spellings.get(word + suffix)
-        if whole is not None and step(0, whole) >= 0 and n == 1:
+        if whole is not None:
             return [whole]
-        path, dead = [(0, 0, -1)], set()
-        at, state, width = 0, 0, min(n, self.longest)
-        while True:
-            while width:
-                end = at + width
-                token = spellings.get(word[at:] + suffix if end == n else word[at:end])
-                if token is not None and (end, token) not in dead:
-                    after = step(state, token)
-                    if after >= 0:
-                        break
-                width -= 1
-            if width:
-                path.append((end, after, token))
-                if end == n:
-                    return [t for _, _, t in path[1:]]
-                at, state = end, after
-                width = min(n - at, self.longest)
-            else:
-                if len(path) == 1:
-                    raise ValueError(f"no path spells {word!r}")
-                end, _, token = path.pop()
-                dead.add((end, token))
-                at, state, _ = path[-1]
-                width = min(end - at, self.longest)
+        last, start = [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            behind, known = (suffix, self.at_end) if end == n else ("", self.inside)
+            for at in range(max(0, end - known.get(word[max(0, end - 3) : end], 2)), end):
+                token = spellings.get(word[at:end] + behind)
+                if token is not None and (not at or last[at] >= 0 and follows(last[at], token)):
+                    last[end], start[end] = token, at
+                    break
+        if n and last[n] < 0:
+            raise ValueError(f"no path spells {word!r}")
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at = start[at]
+        return out[::-1]
 
     def decode(self, ids) -> str:
         """The labels of the arcs, joined as the vocabulary's missing decoder asks: by a space."""
@@ -170,7 +167,9 @@ def compiled(path: str) -> tuple[Automaton, tokens.TextEncoder]:
                 out += machine.encode(piece)
         return out
 
-    encoder = tokens.TextEncoder("blank" if machine.suffix else "space", tuple(added), lambda piece: machine.encode(tokens.spelled(piece)), whole)
+    split_at = "blank" if machine.suffix else "space"
+    tokens.check_split(path, split_at)
+    encoder = tokens.TextEncoder(split_at, tuple(added), lambda piece: machine.encode(tokens.spelled(piece)), whole, CHUNKS, PIECES)
     return machine, encoder
 
 
@@ -188,20 +187,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
         _, encoder = compiled(path)
         for batch in batches:
-            for part in tokens_slices(batch):
+            for part in shingles.slices(batch, 1):
                 ids = [encoder(x or b"") for x in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return id_text(docs).mapInArrow(run, ENCODED)
 
 
-def tokens_slices(batch, most: int = 8 << 20):
-    """Slices of an Arrow batch of about ``most`` bytes of text, so that memory is bounded."""
-    rows = max(1, min(batch.num_rows, batch.num_rows * most // max(batch.nbytes, 1)))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, text`` from rows of :func:`encode`."""
 
@@ -231,7 +223,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         machine, encoder = compiled(path)
         number = [str(i) for i in range(len(machine.label))]
         for batch in batches:
-            for part in tokens_slices(batch):
+            for part in shingles.slices(batch, 1):
                 rows = []
                 for x in part.column(1).cast(pa.binary()).to_pylist():
                     ids = np.frombuffer(encoder(x or b""), "<u4").tolist()
