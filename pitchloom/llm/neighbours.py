@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitchloom.llm.common import discard, partitions, release, stored
+from pitchloom.llm.common import discard, partitions, stored
 
-LEAF, TREES, DEGREE = 3000, 8, 20
+LEAF, TREES, DEGREE = 400, 4, 28
 #: Rounds end when one changes less than this share of the edges.
-FEW = 0.005
-BEAM, EXPAND = 240, 80
+FEW = 0.02
+BEAM, EXPAND = 256, 128
 GROUP = 96
+#: Numbers that one step of a task compares at a time.
+CELLS = 1 << 19
 
 
 def usable(embedding: Column) -> Column:
@@ -51,7 +53,11 @@ def vectors(table: DataFrame) -> DataFrame:
 
 
 def nodes(found: DataFrame, members: int) -> DataFrame:
-    """``node, v, ids``: distinct vectors, named by their least id, with their ``members`` least ids."""
+    """``node, v, ids``: distinct vectors, named by their least id, with their ``members`` least ids.
+
+    Where different vectors have the same least id, the first of them has the name; the
+    others are named by a hash.
+    """
 
     def least(batches):
         import pyarrow as pa
@@ -65,7 +71,9 @@ def nodes(found: DataFrame, members: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(v, pa.binary())], ["vec_id", "v"])
 
     ranked = found.mapInArrow(least, "vec_id long, v binary").distinct().withColumn("r", F.row_number().over(W.partitionBy("v").orderBy("vec_id")))
-    return ranked.where(F.col("r") <= members).groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids")).select("node", "v", "ids")
+    named = ranked.where(F.col("r") <= members).groupBy("v").agg(F.min("vec_id").alias("node"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    turn = F.row_number().over(W.partitionBy("node").orderBy("v"))
+    return named.withColumn("r", turn).select(F.when(F.col("r") == 1, F.col("node")).otherwise(F.xxhash64("v")).alias("node"), "v", "ids")
 
 
 def _matrix(column) -> np.ndarray:
@@ -79,35 +87,51 @@ def _unpacked(column) -> np.ndarray:
     return np.frombuffer(b"".join([r[1:] for r in rows]), f"<f{rows[0][0]}").reshape(len(rows), -1).astype(np.float64) if rows else np.zeros((0, 1))
 
 
-def _near(x: np.ndarray, k: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Places and squared distances of the ``k`` nearest other rows of each row, ties to the first; ``rows`` rows at a time.
+def _met(x: np.ndarray, sizes: np.ndarray, k: int, reach: np.ndarray | None = None, fresh: np.ndarray | None = None):
+    """Yields rows ``a``, ``b`` and squared distances: the ``k`` nearest others of every row in its group, ties included.
 
-    Products choose which rows may be among the nearest, with room for their
-    rounding; these are then measured by their differences.
+    Groups are runs of ``sizes`` rows. Only pairs with a ``fresh`` row count, and only those
+    nearer than what ``a`` has (``reach``). Products, taken around the group's medians so
+    that they keep their digits, choose; what is chosen is measured by differences. Groups
+    of like size are taken together, within a bound on memory.
     """
-    k = min(k, len(x) - 1)
-    if k < 1:
-        return np.zeros((len(x), 0), int), np.zeros((len(x), 0))
-    square, places, distances = (x * x).sum(1), [], []
-    unsure = (x.shape[1] + 4) * 2.0**-51
-    for a in range(0, len(x), rows):
-        part = x[a : a + rows]
-        both = square[a : a + rows, None] + square[None]
-        d = both - 2 * part @ x.T
-        both *= unsure
-        d[np.isnan(d)] = np.inf
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        most = np.partition(d + both, k - 1, axis=1)[:, k - 1 : k]
-        may = d - both <= most
-        may[np.arange(len(d)), np.arange(a, a + len(d))] = False
-        i, j = np.nonzero(may)
-        exact = np.concatenate([((part[i[c : c + 65536]] - x[j[c : c + 65536]]) ** 2).sum(1) for c in range(0, len(i), 65536)])
-        order = np.lexsort((j, exact, i))
-        first = np.searchsorted(i[order], np.arange(len(part)))
-        at = order[first[:, None] + np.arange(k)]
-        places.append(j[at])
-        distances.append(exact[at])
-    return np.concatenate(places), np.concatenate(distances)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 1]
+    at = 0
+    while at < len(order):
+        to, most = at + 1, int(sizes[order[at]])
+        while to < len(order) and (to + 1 - at) * (m := int(sizes[order[to]])) * max(m, x.shape[1]) <= CELLS:
+            to += 1
+        own, most = order[at:to], int(sizes[order[to - 1]])
+        at = to
+        place = np.arange(most)
+        row = starts[own][:, None] + np.minimum(place, sizes[own][:, None] - 1)
+        there = place < sizes[own][:, None]
+        y = x[row]
+        with np.errstate(over="ignore", invalid="ignore"):
+            y -= np.median(y, axis=1, keepdims=True)
+            square = (y * y).sum(2)
+            d = square[:, :, None] + square[:, None, :] - 2 * y @ y.transpose(0, 2, 1)
+            unsure = (x.shape[1] + 4) * 2.0**-51 * (square[:, :, None] + square[:, None, :])
+        apart = ~(there[:, :, None] & there[:, None, :])
+        apart[:, place, place] = True
+        if fresh is not None:
+            apart |= ~(fresh[row][:, :, None] | fresh[row][:, None, :])
+        d[np.isnan(d)] = 0.0
+        np.minimum(d, np.finfo(float).max, out=d)
+        d[apart] = np.inf
+        if reach is not None:
+            d[~(d - unsure < reach[row][:, :, None])] = np.inf
+        chosen = d < np.inf
+        if most > k + 1:
+            chosen &= d - unsure <= np.partition(d + unsure, k - 1, axis=2)[:, :, k - 1 : k]
+        g, i, j = np.nonzero(chosen)
+        for c in range(0, len(g), 1 << 16):
+            a, b = row[g[c : c + (1 << 16)], i[c : c + (1 << 16)]], row[g[c : c + (1 << 16)], j[c : c + (1 << 16)]]
+            exact = ((x[a] - x[b]) ** 2).sum(1)
+            ok = np.ones(len(a), bool) if reach is None else exact < reach[a]
+            yield a[ok], b[ok], exact[ok]
 
 
 def _edges(a, b, d):
@@ -116,22 +140,31 @@ def _edges(a, b, d):
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(d.astype(np.float64))], ["a", "b", "d"])
 
 
-def _grouped(batches, flush):
-    """Calls ``flush`` with the columns of each run of equal first columns; holds one run."""
+def _grouped(batches, rows: int = 20_000):
+    """Record batches of whole runs of equal first columns, of about ``rows`` rows, and the runs' sizes."""
     import pyarrow as pa
 
-    held, key = [], None
+    def cut(held, last: bool):
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = np.asarray(whole.column(0))
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        upto = len(keys) if last else int(begin[-1])
+        sizes = np.diff(np.append(begin if last else begin[:-1], upto))
+        return whole.slice(0, upto), sizes, whole.slice(upto)
+
+    held, count = [], 0
     for batch in batches:
-        keys = np.asarray(batch.column(0))
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if held and keys[a] != key:
-                yield from flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                held = []
-            key = keys[a]
-            held.append(batch.slice(a, b - a))
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            run, sizes, rest = cut(held, False)
+            held, count = [rest], 0
+            if len(sizes):
+                yield run, sizes
     if held:
-        yield from flush(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        run, sizes, _ = cut(held, True)
+        yield run, sizes
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
@@ -143,8 +176,8 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int = LEAF, rounds: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``a, b, d``: the graph over ``node, v`` rows; and ``node, s``: the vectors it was built on, without loss.
 
-    Rounds go on until few edges change, or to ``rounds`` if that is given. Up to
-    ``leaf`` nodes are one leaf where all have met, which needs no round.
+    Rounds go on until few edges change, or to ``rounds`` if that is given. There is at
+    least one at every size.
     """
     spark = found.sparkSession
     count = found.count()
@@ -162,17 +195,13 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
 
     coded = found.select("node", "v").mapInArrow(codes, "g long, node long")
     share = coded.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(2.0 * leaf)).cast("int").alias("parts"))
-    dealt = coded.join(share, "g").select((F.col("g") * 4096 + F.pmod(F.xxhash64("node", "g"), F.col("parts"))).alias("g"), "node")
+    dealt = coded.join(share, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("node", "g"), F.col("parts"))).alias("g"), "node")
 
     def leaves(batches):
-        def flush(run):
-            names = np.asarray(run.column(1))
-            order = np.argsort(names)
-            names = names[order]
-            at, d = _near(_unpacked(run.column(2))[order], degree)
-            yield _edges(np.repeat(names, at.shape[1]), names[at.ravel()], d.ravel())
-
-        yield from _grouped(batches, flush)
+        for run, sizes in _grouped(batches):
+            names, x = np.asarray(run.column(1)), _unpacked(run.column(2))
+            for a, b, d in _met(x, sizes, degree):
+                yield _edges(names[a], names[b], d)
 
     single = found.select("node", "v").mapInArrow(_single, "ok boolean").agg(F.min("ok")).first()[0]
     kind = 8 if single is False else 4
@@ -190,30 +219,27 @@ def build(found: DataFrame, degree: int = DEGREE, trees: int = TREES, leaf: int
     graph = stored(_best(met.mapInArrow(leaves, "a long, b long, d double").withColumn("round", F.lit(0)), degree), "graph")
 
     def proposals(batches):
-        def flush(run):
-            order = np.argsort(np.asarray(run.column(1)))
-            names, reach = np.asarray(run.column(1))[order], np.asarray(run.column(2))[order]
-            at, d = _near(_unpacked(run.column(3))[order], min(degree, 12))
-            a, b, d = np.repeat(np.arange(len(names)), at.shape[1]), at.ravel(), d.ravel()
-            better = (d < reach[a]) | (d < reach[b])
-            a, b, d = a[better], b[better], d[better]
-            yield _edges(np.append(names[a], names[b]), np.append(names[b], names[a]), np.append(d, d))
-
-        yield from _grouped(batches, flush)
+        # A node's nearest ``degree`` of a group are all that can be among its nearest of all groups.
+        for run, sizes in _grouped(batches):
+            names, reach, fresh = np.asarray(run.column(1)), np.asarray(run.column(2)), np.asarray(run.column(3)).astype(bool)
+            for a, b, d in _met(_unpacked(run.column(4)), sizes, degree, reach, fresh):
+                yield _edges(names[a], names[b], d)
 
     turn = 0
-    while count > leaf and (rounds is None or turn < rounds):
+    while rounds is None or turn < rounds:
         turn += 1
         reach = graph.groupBy("a").agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("d")).alias("reach"))
-        own = graph.select(F.col("a").alias("at"), F.col("b").alias("node")).union(graph.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
-        sizes = own.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"))
-        grouped = own.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))).alias("g"), "node")
+        ways = graph.select(F.col("a").alias("at"), F.col("b").alias("node"), "round").union(graph.select(F.col("b").alias("at"), F.col("a").alias("node"), "round"))
+        own = ways.groupBy("at", "node").agg((F.max("round") == turn - 1).alias("fresh"))
+        # Only where an edge is new since the last round can a pair meet that has not met.
+        sizes = own.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("parts"), F.max("fresh").alias("any")).where("any")
+        grouped = own.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts"))).alias("g"), "node", "fresh", (F.col("parts") > 1).alias("split"))
         carried = short.join(reach.withColumnRenamed("a", "node"), "node")
-        met = grouped.join(carried, "node").select("g", "node", "reach", "s").repartition(many, "g").sortWithinPartitions("g")
+        # Of a split group old pairs may not have met either, as they were in other parts.
+        met = grouped.join(carried, "node").select("g", "node", "reach", (F.col("fresh") | F.col("split")).alias("fresh"), "s").repartition(many, "g").sortWithinPartitions("g")
         nearer = met.mapInArrow(proposals, "a long, b long, d double").withColumn("round", F.lit(turn))
         after = stored(_best(graph.union(nearer), degree), "graph")
         discard(graph)
-        release(spark)
         graph = after
         changed = graph.agg(F.coalesce(F.avg((F.col("round") == turn).cast("double")), F.lit(0.0))).first()[0]
         if changed < FEW:
@@ -267,7 +293,6 @@ def search(start: DataFrame, short: DataFrame, graph: DataFrame, beam: int = BEA
         kept = now.select("q", "node", "d", (F.col("done") | F.coalesce(F.col("turn") <= expand, F.lit(False))).alias("done"))
         after = stored(ranked(kept.unionByName(measure(fresh))), "beam")
         discard(now)
-        release(now.sparkSession)
         now = after
     discard(ways, asked)
     return now.select("q", "node", "d")
@@ -278,13 +303,15 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, **settings) -> Data
 
     Scores are Euclidean distances in double precision; nearest first, ties to the
     smaller id; a row is no neighbour of itself. With fewer than ``k`` other rows all
-    are given. Rows of equal id and vector are one; vectors that are null, zero, not
-    finite or of an uncommon length take no part.
+    are given; an empty table gives none. Rows of equal id and vector are one. Of rows
+    with one id and different vectors the least vector (by its bytes) asks, and all are
+    candidates of others. Rows with a null id, and vectors that are null, zero, not
+    finite or of an uncommon length, take no part. Further columns are not looked at.
     """
     rows = stored(vectors(table), "vectors")
     found = stored(nodes(rows, k + 1), "nodes")
     graph, short = build(found, **settings)
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("q"), "v")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("q")).agg(F.min("v").alias("v"))
     queries = stored(asked.join(found.select("node", "v"), "v").join(short, "node").select("q", "node", "v", F.col("s").alias("x")), "queries")
     near = queries.join(graph.select(F.col("a").alias("node"), "b"), "node").select("q", "x", F.col("b").alias("node"))
     met = search(queries.select("q", "x", "node").union(near), short, graph)
