@@ -91,19 +91,25 @@ def digests(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     In the edited form the last ``floor(n_chars / 2)`` code points give way to the
     first as many (or all) of the next document by ``doc_id``, the first following
-    the last; rows with equal ids are ordered by text. Null texts are empty; null ids
-    come first. One shuffle deals the texts by ranges of ids; all else happens where
-    they lie.
+    the last; rows with equal ids are ordered by text, and each has its row. Null texts
+    are empty; null ids come first; a text without words has fingerprint 0. An empty
+    table gives an empty one, and a single row is its own next. Further columns are left
+    out, whatever their names. One shuffle deals the texts by ranges of ids; all else
+    happens where they lie.
     """
     rows = id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
     bucketed = rows.withColumn("_b", _bucket(rows, buckets or 4 * partitions(docs.sparkSession)))
     order = W.partitionBy("_b").orderBy("doc_id", "text")
     placed = bucketed.select("_b", "doc_id", "text", F.row_number().over(order).alias("_r"), F.lead(F.struct("text")).over(order).alias("_lead"))
-    firsts = bucketed.groupBy("_b").agg(F.min(F.struct("doc_id", "text")).alias("_m")).select("_b", F.col("_m.text").alias("text"))
-    ranks = W.orderBy("_b")
-    following = firsts.select("_b", F.coalesce(F.lead(F.struct("text")).over(ranks), F.first(F.struct("text")).over(ranks)).alias("_first"))
-    both = placed.join(following, "_b").withColumn("_next", F.coalesce("_lead", "_first")["text"])
     half = F.floor(F.length("text") / 2).cast("int")
+    # Two steps, so that no whole text leaves its bucket: numbers say how much a bucket's
+    # last text needs, and only so much of the next bucket's first text is sent back.
+    ranks = W.orderBy("_b")  # a row of numbers per bucket
+    behind = F.struct("_b", half.alias("need"))
+    ends = placed.where("_lead is null").select("_b", behind.alias("_end"))
+    before = ends.select("_b", F.coalesce(F.lag("_end").over(ranks), F.last("_end").over(ranks.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_end"))
+    heads = placed.where("_r = 1").select("_b", "text").join(before, "_b").select(F.col("_end._b").alias("_b"), F.left("text", F.col("_end.need")).alias("_first"))
+    both = placed.join(heads, "_b").withColumn("_next", F.coalesce(F.col("_lead.text"), F.col("_first")))
     both = both.select("_b", "_r", "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.concat(F.left("text", F.length("text") - half), F.left("_next", half)).alias("_edited"))
     keys = ["_b", "_r", "doc_id", "n_chars", "edited_sha256"]
     prints = fingerprints(both.withColumn("edited_sha256", F.sha2("_edited", 256)), keys, {"f": "text", "e": "_edited"})
