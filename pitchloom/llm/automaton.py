@@ -179,7 +179,10 @@ ENCODED = "doc_id long, n_tokens long, ids binary"
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every whole text; ids as unsigned 32-bit bytes.
 
-    A null text is an empty one. One output row per input row, no shuffle.
+    A null text is an empty one and has no ids. One output row per input row, repeated
+    rows and null ids included; an empty table gives an empty one. Further columns are
+    left out, whatever their names. A word of any length takes time in proportion. No
+    shuffle.
     """
 
     def run(batches):
@@ -212,7 +215,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode and digest every whole text in one pass.
 
     ``ids_sha256`` is over the decimal ids joined by one space, ``decoded_sha256``
-    over the decoded text.
+    over the decoded text; both of an empty string where a text is null, empty or blank.
+    Rows are as in :func:`encode`.
     """
 
     def run(batches):

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -68,10 +70,6 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Kept while operators still call it: :func:`stored` deletes shuffle files by itself."""
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,13 +93,21 @@ def partitions(spark: SparkSession, least: int = 1) -> int:
 
 
 def known_to_workers(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it.
+    """Let Python workers find this package.
 
-    Enough where the hosts share the folder. Elsewhere ship the package with
-    ``--py-files``; then this changes nothing.
+    On a cluster Spark ships it, once for each context, from the driver to every
+    executor. Local workers find it where the driver did.
     """
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.master.split("[")[0] == "local":
+        env = sc.environment
+        known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(root) not in known:
+            env["PYTHONPATH"] = os.pathsep.join([*known, str(root)])
+    elif not getattr(sc, "_pitchloom_shipped", False) and root.is_dir():
+        packed = Path(tempfile.mkdtemp()) / "pitchloom.zip"  # read by the driver's file server only
+        with zipfile.ZipFile(packed, "w") as z:
+            for path in sorted(root.glob("pitchloom/**/*.py")):
+                z.write(path, path.relative_to(root))
+        sc.addPyFile(str(packed))
+        sc._pitchloom_shipped = True

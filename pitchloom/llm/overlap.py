@@ -10,15 +10,16 @@ threshold T. An inverted list holds the classes that have a shingle.
 2. Short lists: of two sets that overlap in T shingles, the first ``n - T + l`` of
    each share at least ``l``. Only these prefixes are posted, so most shingles are
    never shuffled. Lists of short shingles are merged by counting the pairs in
-   them; pairs with fewer than ``l`` hits fall out. The table bounds these lists.
+   them; pairs with fewer than ``l`` hits fall out. A list that turns out to have more
+   than ``LIST`` members is treated as long, whatever the table says.
 3. Classes whose prefix reaches into long lists may miss hits. Such classes that
    share a long list are candidates without counting; each is tied to the least
    class of the list, so that no pairs are formed.
 4. Candidates that hang together meet, with their whole sets, in one task (or, if
    large, block by block), where DivideSkip searches exactly: the lists of a query's
-   shingles are split, short ones are merged by counting, and candidates with enough
-   hits are probed in the long ones by binary search. What reaches T is linked;
-   links within a component found already are not sought.
+   shingles are divided, the short ones go through a heap merge that skips, and members
+   with enough hits are probed in the long ones by binary search. What reaches T is
+   linked; sets in the largest component so far are not asked.
 5. Links and classes give the components, named by their least ``doc_id``.
 """
 
@@ -356,7 +357,9 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
     ``100 * overlap >= percent * union``. A text that is null or without words has no
     shingles and is its own component, as is each row without a link; repeated rows
     and rows with equal sets are linked. Rows with a null ``doc_id`` give links to
-    others but name no component. Hashes of shingles and sets have 64 bits.
+    others but name no component. An empty table gives an empty one, and a text of any
+    length is taken whole. Further columns are left out, whatever their names. Hashes of
+    shingles and sets have 64 bits. The result is a table that the caller may discard.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -415,7 +418,8 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of linked documents: that with the least ``doc_id``.
 
     Documents without words are no copies of each other and stay, as do rows with a
-    null ``doc_id``. Of rows that agree in id and text one stays.
+    null ``doc_id``. Of rows that agree in id and text one stays. Columns of any name are
+    kept as they are; an empty table gives an empty one.
     """
     key = unused(docs, "id")
     found = join(docs, words, percent)

@@ -236,5 +236,12 @@ def pack(cut: DataFrame, capacity: int = 2048, bins: int = 64, depth: int = 3) -
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:
-    """Encode, cut and pack whole texts; the pieces are written once, as the plan needs all of them."""
+    """Encode, cut and pack whole texts; the pieces are written once, as the plan needs all of them.
+
+    A null text is an empty one (a piece with the end id alone); a null ``doc_id`` stays
+    null. Repeated rows are documents of their own, and pieces of equal length may have
+    either of two places: rows that agree in everything cannot be told apart. A text of
+    any length is cut into as many pieces as it needs. An empty table gives an empty
+    one. Further columns are left out, whatever their names.
+    """
     return pack(stored(pieces(docs, vocabulary, capacity), "pieces"), capacity)

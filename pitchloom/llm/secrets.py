@@ -120,7 +120,12 @@ def redacted(text: str, found: list[tuple[int, str, int]]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans array<struct<kind, start, end>>`` per row, in code points; no shuffle."""
+    """``doc_id, spans array<struct<kind, start, end>>`` per row, in code points; no shuffle.
+
+    A null or empty text has no spans. Repeated rows and null ids have their rows, an
+    empty table none; texts of any length are taken whole. Further columns are left out,
+    whatever their names.
+    """
 
     def run(batches):
         import pyarrow as pa
