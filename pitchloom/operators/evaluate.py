@@ -28,15 +28,17 @@ def loo_pcd(pcd: DataFrame, p: Params = Params(), renormalise: bool = False, kin
     sums = held.groupBy("raga", "bin").agg(F.sum("p").alias("s"))
     grid = M.grid(ok, p).join(sums, ["raga", "bin"], "left").select(F.col("raga").alias("model"), "clip_count", F.struct("bin", F.coalesce("s", F.lit(0.0)).alias("s")).alias("b"))
     each = grid.groupBy("model", "clip_count").agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["s"]).alias("s"))
-    whole = each.agg(F.array_sort(F.collect_list(F.struct("model", "clip_count", "s"))).alias("all"))
+    each = each.withColumn("mean", F.transform("s", lambda y: F.greatest(F.lit(0.0), y) / F.col("clip_count")))
+    whole = each.agg(F.array_sort(F.collect_list(F.struct("model", "clip_count", "s", "mean"))).alias("all"))
     clips = held.groupBy("clip_id", "raga").agg(F.map_from_entries(F.collect_list(F.struct("bin", "p"))).alias("v"))
     bins = F.sequence(F.lit(0), F.lit(p.n_bins - 1))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, y: t + y)
     dot = lambda xs, ys: total(F.zip_with(xs, ys, lambda y, z: y * z))
     rows = clips.crossJoin(F.broadcast(whole)).select("clip_id", "raga", "all", F.transform(bins, lambda b: F.coalesce(F.element_at("v", b), F.lit(0.0))).alias("x"))
-    own = lambda m: F.when(m["model"] == F.col("raga"), 1).otherwise(0)
-    less = lambda m: F.zip_with(m["s"], F.col("x"), lambda s, y: F.greatest(F.lit(0.0), s - own(m) * y) / (m["clip_count"] - own(m)))
-    rows = rows.select("clip_id", "raga", "x", F.transform(F.filter("all", lambda m: m["clip_count"] > own(m)), lambda m: F.struct(m["model"].alias("model"), less(m).alias("mean"))).alias("ms"))
+    own = lambda m: m["model"] == F.col("raga")
+    # Only the clip's own class is computed anew.
+    less = lambda m: F.when(own(m), F.zip_with(m["s"], F.col("x"), lambda s, y: F.greatest(F.lit(0.0), s - y) / (m["clip_count"] - 1))).otherwise(m["mean"])
+    rows = rows.select("clip_id", "raga", "x", F.transform(F.filter("all", lambda m: ~own(m) | (m["clip_count"] > 1)), lambda m: F.struct(m["model"].alias("model"), less(m).alias("mean"))).alias("ms"))
     if renormalise:
         rows = rows.withColumn("ms", F.transform("ms", lambda m: F.struct(m["model"].alias("model"), F.transform(m["mean"], lambda y: y / (total(m["mean"]) + p.eps)).alias("mean"))))
     level = 0.001 if kind == "idf_old" else 1.0 / p.n_bins
