@@ -92,8 +92,11 @@ def loo_dyads(counts: DataFrame, totals: DataFrame, clip_counts: DataFrame, p: P
 
 def outcomes(scores: DataFrame, p: Params = Params()) -> DataFrame:
     """``clip_id, raga, predicted, margin, tier, outcome`` with outcome c, w or u."""
-    truth = scores.select("clip_id", "raga").distinct()
-    found = decide.margins(scores).join(truth, "clip_id")
+    # A clip has one class, so the two best of a clip and class are those of the clip.
+    pair = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model")))
+    best = scores.groupBy("clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
+    margin = F.coalesce(F.try_element_at("t", F.lit(2))["s"] - F.col("t")[0]["s"], F.lit(0.0))
+    found = best.select("clip_id", "raga", F.col("t")[0]["model"].alias("best"), margin.alias("margin"))
     level = decide.tier(F.col("margin"), p)
     outcome = F.when(level == "UNKNOWN", "u").when(F.col("best") == F.col("raga"), "c").otherwise("w")
     return found.select("clip_id", "raga", F.col("best").alias("predicted"), "margin", level.alias("tier"), outcome.alias("outcome"))
@@ -237,9 +240,10 @@ def sweep_bins(evaluated, bins, p: Params = Params(), sink=None) -> DataFrame:
     """
     out = None
     for n in bins:
-        found = outcomes(evaluated(p.but(n_bins=n)), p)
-        one = overall(found).crossJoin(found.agg(F.count_if((F.col("outcome") == "w") & (F.col("predicted") == F.lit(sink))).alias("sink")))  # one row each
-        one = one.select(F.lit(n).alias("n_bins"), "correct", "wrong", "unknown", "sink", "acc_decided")
+        is_ = lambda o: F.count_if(F.col("outcome") == o)
+        into = F.count_if((F.col("outcome") == "w") & (F.col("predicted") == F.lit(sink)))
+        one = outcomes(evaluated(p.but(n_bins=n)), p).agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"), into.alias("sink"))
+        one = one.select(F.lit(n).alias("n_bins"), "correct", "wrong", "unknown", "sink", _decided().alias("acc_decided"))
         out = one if out is None else out.unionByName(one)
     return out
 
