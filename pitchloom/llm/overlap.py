@@ -42,6 +42,9 @@ CHUNK = 1 << 16
 BLOCK = 2_000_000
 #: Weight of the longest list's length when a query's lists are divided.
 MU = 0.01
+#: Where a list over ``HEAPED`` members must be merged, lists are counted as whole arrays instead; beyond
+#: ``PROBED`` members with enough hits, so are the long lists, which is then cheaper than to probe them.
+HEAPED, PROBED = 128, 48
 #: Lists of more members are never merged, whatever the table of counts says of them.
 LIST = 256
 #: Pairs that are counted at a time, and the hits of a pair that is a candidate without counting.
@@ -273,7 +276,8 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     and hang not together yet, one is. Of its ``n`` lists the ``L`` longest are set
     aside; what occurs in ``T - L`` of the others is found by a heap merge and probed in
     the long ones by binary search. ``L`` follows from ``T`` and the longest list:
-    ``T / (MU ln M + 1)``, less than ``T``.
+    ``T / (MU ln M + 1)``, less than ``T``. Where almost all lists are long, they are
+    counted instead: the hits are the same.
     """
     size = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
@@ -297,15 +301,29 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         t = required(int(size[x]), percent)
         longest = int(high[by[0]] - low[by[0]])
         far = min(t - 1, int(t / (MU * math.log(longest) + 1)))
-        found = occurrences([owner[low[k] : high[k]] for k in by[far:].tolist()], t - far)
-        found.pop(x, None)
-        met = np.fromiter(found, np.int64, len(found))
-        hits = np.fromiter(found.values(), np.int64, len(found))
+        # Lists that only the query itself is in can bring no one else nearer to T.
+        rest = [k for k in by[far:].tolist() if high[k] - low[k] > 1]
+        if len(rest) < t - far:
+            return
+        if high[rest[0]] - low[rest[0]] <= HEAPED:
+            found = occurrences([owner[low[k] : high[k]] for k in rest], t - far)
+            found.pop(x, None)
+            met = np.fromiter(found, np.int64, len(found))
+            hits = np.fromiter(found.values(), np.int64, len(found))
+        else:
+            # More than T lists are long, as in a family: a heap would take a step for every member.
+            hits = np.bincount(np.concatenate([owner[low[k] : high[k]] for k in rest]), minlength=len(sets))
+            hits[x] = 0
+            met = np.flatnonzero(hits >= t - far)
+            hits = hits[met]
         fit = 100 * np.minimum(size[met], size[x]) >= percent * np.maximum(size[met], size[x])
         met, hits = met[fit], hits[fit]
-        for k in by[:far].tolist() if len(met) else []:
-            list_ = owner[low[k] : high[k]]
-            hits = hits + (list_[np.minimum(np.searchsorted(list_, met), len(list_) - 1)] == met)
+        if len(met) > PROBED:
+            hits = hits + np.bincount(np.concatenate([owner[low[k] : high[k]] for k in by[:far].tolist()] or [met[:0]]), minlength=len(sets))[met]
+        else:
+            for k in by[:far].tolist() if len(met) else []:
+                list_ = owner[low[k] : high[k]]
+                hits = hits + (list_[np.minimum(np.searchsorted(list_, met), len(list_) - 1)] == met)
         for j in met[100 * hits >= percent * (size[met] + size[x] - hits)].tolist():
             a, b = forest.root(x), forest.root(j)
             if forest.join(a, b):
