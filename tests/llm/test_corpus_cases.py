@@ -144,6 +144,24 @@ def test_lists_over_the_bound_are_not_merged(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in overlap.join(docs, block=100).collect()} == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("heaped, probed", [(128, 48), (3, 2), (8, 10**6), (1, 0)])
+def test_every_way_to_divide_the_lists_gives_the_links(monkeypatch, heaped, probed):
+    monkeypatch.setattr(overlap, "HEAPED", heaped)
+    monkeypatch.setattr(overlap, "PROBED", probed)
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        base, percent = rng.integers(0, 1 << 40, 60).astype(np.uint64), int(rng.choice([50, 80, 85, 95]))
+        sets = [np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.3, 0.9, 0.95])], rng.integers(0, 1 << 40, rng.integers(1, 9)).astype(np.uint64)])) for _ in range(30)]
+        edges = [(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+        labels = []
+        for found in (edges, overlap.divide_skip(sets, percent)):
+            label = list(range(30))
+            for i, j in found:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+            labels.append(label)
+        assert labels[0] == labels[1]
+
+
 def test_occurrences_by_heap_equal_counts():
     rng = np.random.default_rng(5)
     for least in (1, 2, 5, 9):
