@@ -153,12 +153,12 @@ _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 def forget() -> None:
     """Drop what this worker remembers, and give its pages back to the system; tasks of other operators call it, as workers outlive theirs."""
-    automaton = sys.modules.get("pitchloom.llm.automaton")
-    if not _ENCODERS and (automaton is None or not automaton.compiled.cache_info().currsize):
+    held = [getattr(sys.modules[m], name) for m, name in (("pitchloom.llm.automaton", "compiled"), ("pitchloom.llm.alignment", "aligner")) if m in sys.modules]
+    if not _ENCODERS and not any(x.cache_info().currsize for x in held):
         return
     _ENCODERS.clear()
-    if automaton is not None:
-        automaton.compiled.cache_clear()
+    for x in held:
+        x.cache_clear()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
     if trim is not None:
         trim(0)
