@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op12, op13
+from pitchloom.llm import op1, op2, op3, op4, op5, op6, op7, op8, op9, op10, op11, op12, op13
 from pitchloom.llm.common import known_to_workers
 
 QUERIES = {
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_chat_windows": op8,
     "op9_bpe_automaton": op9,
     "op10_secret_links": op10,
+    "op11_phrase_bitmaps": op11,
     "op12_token_links": op12,
     "op13_winnowing": op13,
 }
