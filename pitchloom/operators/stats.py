@@ -14,62 +14,151 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     return one.select(F.when((F.col("na") >= 2) & (F.col("nb") >= 2) & (pooled > 0), (F.col("ma") - F.col("mb")) / pooled).alias("d"))
 
 
-def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: int = 50_000, seed: int = 0, blocks: int | None = None) -> DataFrame:
+#: Distinct values that a block of the permutation test holds, and shuffles that are drawn at once.
+PER_BLOCK, SHARE = 1 << 16, 1000
+
+
+def uniforms(seed: int, block: int, place: int, shuffles):
+    """Numbers in (0, 1) for an array of shuffles, by a counter: a hash of seed, block, place and shuffle.
+
+    Each word is a 32-bit integer ``x`` (an array of unsigned 64-bit ones), mixed twice by
+    ``(x ^ x >> 16) * 73244475 mod 2^32`` and once by ``x ^ x >> 16``. No state: any task,
+    and SQL, gives the same number for the same counter.
+    """
+    import numpy as np
+
+    low = np.uint64(0xFFFFFFFF)
+
+    def mixed(x):
+        for _ in range(2):
+            x = (x ^ x >> np.uint64(16)) * np.uint64(73244475) & low
+        return x ^ x >> np.uint64(16)
+
+    key = np.zeros(1, np.uint64)
+    for part in (seed, block, place):
+        key = mixed(key + np.uint64(part) & low)
+    first = mixed(key + shuffles.astype(np.uint64) & low)
+    second = mixed(first + np.uint64(1) & low)
+    return (first + (second + 0.5) / 2.0**32) / 2.0**32
+
+
+def hypergeometric(total: int, marked: int, drawn, u):
+    """How many of ``marked`` among ``total`` are in ``drawn`` ones: the least number whose distribution function exceeds ``u``.
+
+    ``drawn`` and ``u`` are arrays. The probabilities of one number drawn come from the
+    ratios of neighbours, within twelve deviations of the mean.
+    """
+    import numpy as np
+
+    out = np.zeros(len(drawn), np.int64)
+    if not marked:
+        return out
+    for m in np.unique(drawn).tolist():
+        own = np.flatnonzero(drawn == m)
+        lo, hi = max(0, m - (total - marked)), min(marked, m)
+        share = m / total
+        reach = 12 * np.sqrt(marked * share * (1 - share)) + 40
+        lo, hi = max(lo, int(marked * share - reach)), min(hi, int(marked * share + reach) + 1)
+        x = np.arange(lo, hi, dtype=np.float64)
+        steps = np.log((marked - x) * (m - x) / ((x + 1) * (total - marked - m + x + 1)))
+        weights = np.append(0.0, np.cumsum(steps))
+        weights = np.exp(weights - weights.max())
+        below = np.cumsum(weights)
+        out[own] = lo + np.minimum(np.searchsorted(below, u[own] * below[-1], side="right"), hi - lo)
+    return out
+
+
+def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: int = 50_000, seed: int = 0, per_block: int = PER_BLOCK) -> DataFrame:
     """One row ``p, observed, n_a, n_b``: share of shuffles whose difference of means is at least the observed one, two-sided.
 
-    Values are pre-aggregated to counts and dealt into blocks by a hash. A shuffle draws
-    ``n_a`` of all values: how many of each block follows from the blocks' sizes alone, by
-    a stream that every task repeats from the seed; which ones a block then draws for
-    itself. Sums of all blocks make the shuffle's mean. So no values are collected: what
-    reaches the driver is one row per block. Without a value in either group ``p`` is null.
+    Values are pre-aggregated to counts, so that a value is one entry however often it
+    occurs, and dealt into blocks of about ``per_block`` distinct ones by a hash. A shuffle
+    draws ``n_a`` of all: how many of each block, then in a block how many of each value,
+    in ascending order; every draw is hypergeometric, from the numbers that remain. Its
+    random number depends on seed, block, value's place and shuffle only
+    (:func:`uniforms`). A task holds the values of one block and ``SHARE`` shuffles. What
+    reaches the driver is one row per block. Without a value in either group ``p`` is null;
+    null and NaN values are left out.
     """
     import numpy as np
 
     spark = df.sparkSession
-    many = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     x = F.col(value).cast("double")
-    rows = df.where(F.col(group).isin(a, b) & x.isNotNull()).groupBy(x.alias("x")).agg(F.count_if(F.col(group) == a).alias("a"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(many)).cast("int"))
+    rows = df.where(F.col(group).isin(a, b) & x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x")).agg(F.count_if(F.col(group) == a).alias("a"), F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-rows.count() // per_block))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(blocks)).cast("int"))
     told = {r["block"]: r for r in rows.groupBy("block").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum(F.col("x") * F.col("a")).alias("sa"), F.sum(F.col("x") * F.col("n")).alias("s")).collect()}
     names = sorted(told)
-    sizes = np.array([told[k]["n"] for k in names], np.int64)
+    sizes = [told[k]["n"] for k in names]
     na, nb = sum(told[k]["a"] for k in names), sum(told[k]["n"] - told[k]["a"] for k in names)
     if not na or not nb:
         return spark.createDataFrame([(None, None, na, nb)], "p double, observed double, n_a long, n_b long")
     total = sum(told[k]["s"] for k in names)
     first = sum(told[k]["sa"] for k in names)
     seen = first / na - (total - first) / nb
-    shares, cells = 1000, 1 << 21
 
-    def run(batches):
+    def of_blocks(batches):
+        """``block, share, m``: how many each shuffle of a share draws of a block."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for share in batch.column(0).to_pylist():
+                k = np.arange(share * SHARE, min(iterations, (share + 1) * SHARE))
+                rest, left = sum(sizes), np.full(len(k), na, np.int64)
+                for place, (block, size) in enumerate(zip(names, sizes)):
+                    m = left if place == len(names) - 1 else hypergeometric(rest, size, left, uniforms(seed, 0, place, k))
+                    rest, left = rest - size, left - m
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([share]), pa.array([m.tobytes()], pa.binary())], ["block", "share", "m"])
+
+    def of_values(batches):
+        """``k, s``: the sum of what a shuffle draws of a block."""
         import pyarrow as pa
 
-        values: dict[int, list[tuple[float, int]]] = {}
         for batch in batches:
-            for block, x, n in zip(*(c.to_pylist() for c in batch.columns)):
-                values.setdefault(block, []).append((x, n))
-        for block, held in values.items():
-            held.sort()
-            pool = np.repeat(np.array([x for x, _ in held]), np.array([n for _, n in held]))
-            own, own_rng = names.index(block), np.random.default_rng([seed, 1, block])
-            for at in range(0, iterations, shares):
-                k = min(shares, iterations - at)
-                drawn = np.random.default_rng([seed, 0, at]).multivariate_hypergeometric(sizes, na, size=k, method="marginals")[:, own]
-                sums = np.empty(k)
-                step = max(1, cells // max(1, len(pool)))
-                for c in range(0, k, step):
-                    some = own_rng.permuted(np.tile(pool, (min(step, k - c), 1)), axis=1)
-                    upto = np.cumsum(some, axis=1)
-                    m = drawn[c : c + step]
-                    sums[c : c + step] = np.where(m > 0, upto[np.arange(len(m)), np.maximum(m - 1, 0)], 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + k, dtype=np.int64)), pa.array(sums)], ["k", "s"])
-
-    parts = rows.select("block", "x", "n").repartition(many, "block").mapInArrow(run, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
+            for block, share, m, held in zip(*(batch.column(c) for c in range(4))):
+                xs, ns = (held.values.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+                k, left = np.arange(share.as_py() * SHARE, min(iterations, (share.as_py() + 1) * SHARE)), np.frombuffer(m.as_buffer(), np.int64)
+                rest, s = int(ns.sum()), np.zeros(len(k))
+                for place, (x, n) in enumerate(zip(xs.tolist(), ns.tolist())):
+                    got = hypergeometric(rest, n, left, uniforms(seed, block.as_py() + 1, place, k))
+                    s += x * got
+                    rest, left = rest - n, left - got
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], ["k", "s"])
+
+    shares = -(-iterations // SHARE)
+    drawn = spark.range(0, shares, 1, shares).mapInArrow(of_blocks, "block int, share long, m binary")
+    held = rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("held"))
+    # A single block is bounded; several are dealt over the tasks.
+    both = drawn.join(F.broadcast(held) if blocks == 1 else held, "block").select("block", "share", "m", "held")
+    parts = both.mapInArrow(of_values, "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
     apart = F.abs(F.col("s") / na - (F.lit(total) - F.col("s")) / nb)
     hits = F.count_if(apart >= abs(seen) - 1e-9 * (1 + abs(seen)))
     return parts.agg(((hits + 1) / F.lit(float(iterations + 1))).alias("p")).select("p", F.lit(seen).alias("observed"), F.lit(na).cast("long").alias("n_a"), F.lit(nb).cast("long").alias("n_b"))
 
 
+def observed_difference(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
+    """One row ``observed, n_a, n_b``: the difference of means that :func:`permutation_test` judges."""
+    x = lambda g: F.when((F.col(group) == g) & ~F.isnan(F.col(value).cast("double")), F.col(value))
+    return df.agg((F.avg(x(a)) - F.avg(x(b))).alias("observed"), F.count(x(a)).alias("n_a"), F.count(x(b)).alias("n_b"))
+
+
+def separation_test(df: DataFrame, value: str, group: str, target, references: list, **test) -> DataFrame:
+    """One row: a target class against its pooled references, with the verdict.
+
+    The references are pooled with all their rows, a class that is listed twice with twice
+    its rows. ``p``: permutation test of the means; ``d``: their distance in deviations;
+    ``reference_median, target_median, beats``; ``verdict``.
+    """
+    pooled = df.where(F.col(group) == target).select(F.lit(1).alias("side"), F.col(value).alias("x"))
+    for one in references:
+        pooled = pooled.unionByName(df.where(F.col(group) == one).select(F.lit(0).alias("side"), F.col(value).alias("x")))
+    p = permutation_test(pooled, "x", "side", 0, 1, **test).select("p")
+    means = pooled.agg(F.avg(F.when(F.col("side") == 1, F.col("x"))).alias("target_mean"), F.avg(F.when(F.col("side") == 0, F.col("x"))).alias("reference_mean"))
+    one = above_median(pooled, "x", "side", 1, 0).crossJoin(means).crossJoin(p).crossJoin(cohens_d(pooled, "x", "side", 0, 1))  # one row each
+    verdict = separation_verdict(F.col("p"), F.col("target_mean"), F.col("reference_mean"), F.col("target_median"), F.col("reference_median"))
+    return one.select("p", "d", "reference_median", "target_median", "beats", verdict.alias("verdict"))
+
+
 def above_median(df: DataFrame, value: str, group: str, target, reference) -> DataFrame:
     """One row: the reference's median, the target's, and how many targets exceed the former."""
     x = lambda g: F.when(F.col(group) == g, F.col(value))
@@ -78,9 +167,9 @@ def above_median(df: DataFrame, value: str, group: str, target, reference) -> Da
     return medians.crossJoin(beats)  # one row each
 
 
-def separation_verdict(p_value: float, target_mean, reference_mean, target_median, reference_median):
+def separation_verdict(p_value, target_mean, reference_mean, target_median, reference_median):
     """A column: whether a target is worse, as good, or not told apart from the references."""
-    return F.when((F.lit(p_value) < 0.05) & (target_mean < reference_mean), "WORSE").when(target_median >= reference_median, "NO DEGRADATION").otherwise("INCONCLUSIVE")
+    return F.when((p_value < 0.05) & (target_mean < reference_mean), "WORSE").when(target_median >= reference_median, "NO DEGRADATION").otherwise("INCONCLUSIVE")
 
 
 def by_class(df: DataFrame, value: str, group: str = "raga") -> DataFrame:

@@ -821,25 +821,74 @@ def cohens_d(spark, d):
     return stats.cohens_d(table(spark, d, "events"), "value", "event_type", "click", "view").select(r("d"))
 
 
-@query()
+def _mixed(x: str) -> str:
+    """SQL of the generator's hash of a 32-bit integer."""
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) >> 16) * 73244475) % 4294967296)"
+    return f"xor({x}, ({x}) >> 16)"
+
+
+#: The hash of seed 0 and of the first block, the start of every value's key.
+_FIRST_KEY = 824515495
+
+
+def _draws(tests: str, body: str) -> str:
+    """The permutation tests of ``tests`` (``test, first, x``), drawn value by value in ascending order, before ``body``, which reads ``z`` (``test, p``).
+
+    The same counter-based numbers as the operator's; the distribution function of a draw
+    comes from logarithms of factorials.
+    """
+    chance = "exp(lgamma(n + 1) - lgamma(y + 1) - lgamma(n - y + 1) + lgamma(rest - n + 1) - lgamma(m - y + 1) - lgamma(rest - n - m + y + 1) - lgamma(rest + 1) + lgamma(m + 1) + lgamma(rest - m + 1))"
+    upto = f"list_sum(list_transform(range(0, q + 1), lambda y: CASE WHEN y > m OR m - y > rest - n THEN 0 ELSE {chance} END))"
+    return f"""
+WITH RECURSIVE t AS MATERIALIZED ({tests}
+), v AS MATERIALIZED (
+  SELECT test, x, n, j, rest, {_mixed(f"(({_FIRST_KEY} + j) % 4294967296)")} AS key
+  FROM (SELECT test, x, n, row_number() OVER (PARTITION BY test ORDER BY x) - 1 AS j, CAST(sum(n) OVER (PARTITION BY test ORDER BY x DESC) AS BIGINT) AS rest FROM (SELECT test, x, count(*) AS n FROM t GROUP BY test, x))
+), o AS MATERIALIZED (
+  SELECT test, count(*) FILTER (first) AS na, count(*) FILTER (NOT first) AS nb, sum(x) AS total, avg(x) FILTER (first) - avg(x) FILTER (NOT first) AS seen FROM t GROUP BY test
+), d AS (
+  SELECT test, range AS k, CAST(0 AS BIGINT) AS j, na AS m, CAST(0 AS DOUBLE) AS s FROM o, range(50000)
+  UNION ALL
+  SELECT test, k, j + 1, m - g, s + x * g FROM (
+    SELECT test, k, j, m, s, x, CASE WHEN n = 1 THEN CAST(u >= 1 - m / rest AS BIGINT) ELSE len(list_filter(range(0, n), lambda q: {upto} <= u)) END AS g
+    FROM (SELECT *, (h + ({_mixed("((h + 1) % 4294967296)")} + 0.5) / 4294967296.0) / 4294967296.0 AS u FROM (SELECT d.*, x, n, rest, {_mixed("((key + k) % 4294967296)")} AS h FROM d JOIN v ON v.test = d.test AND v.j = d.j)))
+), z AS (
+  SELECT d.test, (count(*) FILTER (abs(s / na - (total - s) / nb) >= abs(seen) - 1e-9 * (1 + abs(seen))) + 1) / 50001.0 AS p FROM d JOIN o ON o.test = d.test WHERE d.j = (SELECT count(*) FROM v WHERE v.test = d.test) GROUP BY d.test
+) {body}"""
+
+
+def _labelled(spark, d):
+    return table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+
+
+@query(_draws("SELECT 1 AS test, toxic = 1 AS first, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id)", "SELECT p FROM z"))
 def permutation_p(spark, d):
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0).select("p")
+    return stats.permutation_test(_labelled(spark, d), "n_chars", "toxic", 1, 0).select("p")
 
 
 @query("SELECT round(avg(n_chars) FILTER (toxic = 1) - avg(n_chars) FILTER (toxic = 0), 6) AS observed, count(n_chars) FILTER (toxic = 1) AS n_a, count(n_chars) FILTER (toxic = 0) AS n_b FROM labels JOIN documents USING (doc_id)")
 def permutation_observed(spark, d):
-    """What of the permutation test SQL can tell; the shuffles' stream is the generator's own."""
-    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return stats.permutation_test(rows, "n_chars", "toxic", 1, 0, iterations=1000).select(r("observed"), "n_a", "n_b")
+    return stats.observed_difference(_labelled(spark, d), "n_chars", "toxic", 1, 0).select(r("observed"), "n_a", "n_b")
 
 
-@query("SELECT event_type, CASE WHEN 0.04 < 0.05 AND m < rm THEN 'WORSE' WHEN md >= rmd THEN 'NO DEGRADATION' ELSE 'INCONCLUSIVE' END AS verdict FROM (SELECT event_type, avg(value) AS m, median(value) AS md FROM events GROUP BY event_type), (SELECT avg(value) AS rm, median(value) AS rmd FROM events WHERE event_type = 'view')")
+_POOL = """SELECT 'once' AS test, quality = 1 AS first, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id) WHERE quality IN (0, 1)
+  UNION ALL SELECT 'twice', quality = 1, CAST(n_chars AS DOUBLE) FROM labels JOIN documents USING (doc_id), range(2) r(i) WHERE quality IN (0, 1) AND (quality = 1 OR i = 0)"""
+
+
+@query(
+    _draws(
+        _POOL,
+        """SELECT z.test, round(p, 9) AS p, round(rm, 6) AS reference_median, round(tm, 6) AS target_median, beats, CASE WHEN p < 0.05 AND ta < ra THEN 'WORSE' WHEN tm >= rm THEN 'NO DEGRADATION' ELSE 'INCONCLUSIVE' END AS verdict
+  FROM z JOIN (SELECT test, median(x) FILTER (first) AS rm, median(x) FILTER (NOT first) AS tm, avg(x) FILTER (first) AS ra, avg(x) FILTER (NOT first) AS ta FROM t GROUP BY test) a ON a.test = z.test
+  JOIN (SELECT t.test, count(*) FILTER (NOT first AND x > q) AS beats FROM t JOIN (SELECT test, median(x) FILTER (first) AS q FROM t GROUP BY test) b ON b.test = t.test GROUP BY t.test) c ON c.test = z.test""",
+    )
+)
 def separation_verdicts(spark, d):
-    events = table(spark, d, "events")
-    own = events.groupBy("event_type").agg(F.avg("value").alias("m"), F.median("value").alias("md"))
-    ref = events.where("event_type = 'view'").agg(F.avg("value").alias("rm"), F.median("value").alias("rmd"))  # one row
-    return own.crossJoin(ref).select("event_type", stats.separation_verdict(0.04, F.col("m"), F.col("rm"), F.col("md"), F.col("rmd")).alias("verdict"))
+    """Texts of low quality against those of high quality, these pooled once and (as a class that is listed twice) twice."""
+    rows = _labelled(spark, d)
+    one = lambda name, references: stats.separation_test(rows, "n_chars", "quality", 0, references).select(F.lit(name).alias("test"), r("p", 9), r("reference_median"), r("target_median"), "beats", "verdict")
+    return one("once", [1]).unionByName(one("twice", [1, 1]))
 
 
 @query(q("SELECT model, note, round(coalesce(sum(mean), 0), 6) AS energy FROM (SELECT DISTINCT n.model, notes.note, lo, hi FROM needed n, notes WHERE NOT EXISTS (SELECT 1 FROM needed x WHERE x.model = n.model AND x.note = notes.note)) z JOIN models ON raga = model AND bin BETWEEN lo AND hi GROUP BY model, note", "models", notes=_VALUES(_NOTES, "note, lo, hi"), needed=_VALUES(_NEEDED, "model, note")))
