@@ -159,19 +159,19 @@ def fixed_broken(base: DataFrame, new: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("change", F.lit("fixed")).unionByName(b.subtract(a).withColumn("change", F.lit("broken")))
 
 
-def sweep(params: DataFrame, scores: DataFrame) -> DataFrame:
+def sweep(params: DataFrame, scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Tallies for every row of ``params`` (``param, pcd_w, dyad_w, strict, least``), in one job.
 
-    ``scores`` has ``clip_id, raga, model, pcd_sim, dyad_sim``. The few parameter rows
-    are broadcast.
+    ``scores`` has ``clip_id, raga, model, pcd_sim, dyad_sim``, and ``keys`` if scores of
+    several kinds are swept at once. The few parameter rows are broadcast.
     """
     rows = scores.crossJoin(F.broadcast(params)).withColumn("score", F.col("pcd_w") * F.col("pcd_sim") + F.col("dyad_w") * F.col("dyad_sim"))
     pair = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model")))
-    best = rows.groupBy("param", "strict", "least", "clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
+    best = rows.groupBy(*keys, "param", "strict", "least", "clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
     margin = F.coalesce(F.try_element_at("t", F.lit(2))["s"] - F.col("t")[0]["s"], F.lit(0.0))
     out = F.when(margin < F.col("least"), "u").when(F.col("t")[0]["model"] == F.col("raga"), "c").otherwise("w")
     is_ = lambda o: F.count_if(F.col("outcome") == o)
-    by = best.withColumn("outcome", out).groupBy("param").agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"))
+    by = best.withColumn("outcome", out).groupBy(*keys, "param").agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"))
     return by.withColumn("acc_decided", _decided())
 
 
@@ -193,14 +193,15 @@ def scenarios(pcd: DataFrame, counts: DataFrame, totals: DataFrame, overrides: D
     return out
 
 
-def _tally(rows: DataFrame, p: Params, keys: list[str]) -> DataFrame:
-    """Correct, wrong and unknown by ``keys`` from ``*keys, clip_id, raga, model, score`` rows."""
+def _tally(rows: DataFrame, p: Params, keys: list[str], sink=None) -> DataFrame:
+    """Correct, wrong and unknown (and wrong ones that name ``sink``) by ``keys`` from ``*keys, clip_id, raga, model, score`` rows."""
     pair = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "model")))
     best = rows.groupBy(*keys, "clip_id", "raga").agg(F.slice(pair, 1, 2).alias("t"))
     margin = F.coalesce(F.try_element_at("t", F.lit(2))["s"] - F.col("t")[0]["s"], F.lit(0.0))
     out = F.when(margin < p.margin_min, "u").when(F.col("t")[0]["model"] == F.col("raga"), "c").otherwise("w")
     is_ = lambda o: F.count_if(F.col("outcome") == o)
-    by = best.withColumn("outcome", out).groupBy(*keys).agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"))
+    into = [F.count_if((F.col("outcome") == "w") & (F.col("t")[0]["model"] == F.lit(sink))).alias("sink")] if sink is not None else []
+    by = best.withColumn("outcome", out).groupBy(*keys).agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"), *into)
     return by.withColumn("acc_decided", _decided())
 
 
@@ -232,20 +233,13 @@ def sweep_ratio(scores: DataFrame, names: list[str], params: DataFrame, p: Param
     return _tally(rows, p, ["ratio_w"])
 
 
-def sweep_bins(evaluated, bins, p: Params = Params(), sink=None) -> DataFrame:
-    """``n_bins, correct, wrong, unknown, sink, acc_decided`` by resubstitution for every number of bins.
+def sweep_bins(scores: DataFrame, p: Params = Params(), sink=None) -> DataFrame:
+    """``n_bins, correct, wrong, unknown, sink, acc_decided`` by resubstitution for every number of bins, in one job.
 
-    ``evaluated`` makes ``clip_id, raga, model, score`` from parameters; ``sink`` counts
+    ``scores`` is made by :func:`~pitchloom.operators.resolutions.scores`; ``sink`` counts
     wrong answers that name this class.
     """
-    out = None
-    for n in bins:
-        is_ = lambda o: F.count_if(F.col("outcome") == o)
-        into = F.count_if((F.col("outcome") == "w") & (F.col("predicted") == F.lit(sink)))
-        one = outcomes(evaluated(p.but(n_bins=n)), p).agg(is_("c").alias("correct"), is_("w").alias("wrong"), is_("u").alias("unknown"), into.alias("sink"))
-        one = one.select(F.lit(n).alias("n_bins"), "correct", "wrong", "unknown", "sink", _decided().alias("acc_decided"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _tally(scores, p, ["n_bins"], sink)
 
 
 def best_configuration(swept: DataFrame, param: str = "param") -> DataFrame:

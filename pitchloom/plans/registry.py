@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from pitchloom.functions import names as G
 from pitchloom.functions import pitch
-from pitchloom.operators import decide, evaluate, features, gate, models, quality, scoring, stats, tonic
+from pitchloom.operators import decide, evaluate, features, gate, models, quality, resolutions, scoring, stats, tonic
 from pitchloom.params import UNKNOWN, Params
 from pitchloom.plans.oracle import decided, loo, q, with_dyads
 from pitchloom.sources import adapters, listing, sinks
@@ -723,8 +723,8 @@ def _bins_sql(n: int) -> str:
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_bins_sql(n)})" for n in _BIN_SWEEP))
 def sweep_bins_scored(spark, d):
-    swept = evaluate.sweep_bins(lambda p: _scores(spark, d, p), _BIN_SWEEP, P, 3)
-    return swept.select("n_bins", "correct", "wrong", "unknown", "sink", r("acc_decided"))
+    fine = sinks.stored(resolutions.fine_runs(_folded(spark, d)), "fine_runs")
+    return evaluate.sweep_bins(resolutions.scores(fine, _BIN_SWEEP, P), P, 3).select("n_bins", "correct", "wrong", "unknown", "sink", r("acc_decided"))
 
 
 _BINS = (6, 12, 24)
@@ -732,12 +732,22 @@ _BINS = (6, 12, 24)
 
 @query(q("SELECT n, clip_id, bin, round(c / sum(c) OVER (PARTITION BY n, clip_id), 6) AS p FROM (SELECT n, clip_id, CAST(least(floor(cents * n / 1200), n - 1) AS INTEGER) AS bin, count(*) AS c FROM folded, (VALUES (6), (12), (24)) b(n) WHERE cents IS NOT NULL GROUP BY ALL)", "folded"))
 def sweep_bins(spark, d):
-    folded = _folded(spark, d)
-    out = None
-    for n in _BINS:
-        one = features.histogram(folded, P.but(n_bins=n)).select(F.lit(n).alias("n"), "clip_id", "bin", r("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return resolutions.histograms(resolutions.fine_runs(_folded(spark, d)), _BINS).select(F.col("n_bins").alias("n"), "clip_id", "bin", r("p"))
+
+
+def _weighted_sql(n: int) -> str:
+    body = """SELECT {n} AS n_bins, param, count(*) FILTER (o = 'c') AS correct, count(*) FILTER (o = 'w') AS wrong, count(*) FILTER (o = 'u') AS unknown
+       FROM (SELECT *, CASE WHEN coalesce(sc - nx, 0) < least_ THEN 'u' WHEN model = raga THEN 'c' ELSE 'w' END AS o FROM
+       (SELECT *, lead(sc) OVER (PARTITION BY param, clip_id ORDER BY sc DESC, model) AS nx, row_number() OVER (PARTITION BY param, clip_id ORDER BY sc DESC, model) AS rn FROM (SELECT p.param, p.least_, s.clip_id, s.raga, s.model, p.a * s.pcd_sim + p.b * s.dyad_sim AS sc FROM scores s CROSS JOIN p)) WHERE rn = 1) GROUP BY param"""
+    return q(body.replace("{n}", str(n)), "scores", n=n, p=_VALUES(_SWEEP, "param, a, b, strict, least_"))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_weighted_sql(n)})" for n in (12, 24, 36)))
+def sweep_bins_weights_margins(spark, d):
+    """Resolutions, weights and margins together: one pass over the frames, one over the scores."""
+    params = spark.createDataFrame(_SWEEP, "param string, pcd_w double, dyad_w double, strict double, least double")
+    fine = sinks.stored(resolutions.fine_runs(_folded(spark, d)), "fine_runs")
+    return evaluate.sweep(params, resolutions.scores(fine, (12, 24, 36), P), ("n_bins",)).select("n_bins", "param", "correct", "wrong", "unknown")
 
 
 @query(q("SELECT clip_id, 'fixed' AS change FROM (SELECT clip_id FROM a WHERE outcome = 'w' EXCEPT SELECT clip_id FROM b WHERE outcome = 'w') UNION ALL SELECT clip_id, 'broken' FROM (SELECT clip_id FROM b WHERE outcome = 'w' EXCEPT SELECT clip_id FROM a WHERE outcome = 'w')", "ranked", a=_RESUB,

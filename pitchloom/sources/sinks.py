@@ -11,11 +11,24 @@ from pitchloom.params import Params
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``; where none is set, the warehouse)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path in the folder that the cluster shares, ``spark.checkpoint.dir``.
+
+    Where a local session names none, the warehouse holds it; a cluster must name it.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to :func:`scratch` and read back: its plan ends there, and it is computed once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_features(clips: DataFrame, path: str, p: Params = Params()) -> None:
     """Append clip records below ``feature_version`` and ``raga``."""
     clips.withColumn("feature_version", F.lit(p.feature_version)).write.mode("append").partitionBy("feature_version", "raga").parquet(path)
