@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pitchloom.functions import names
 
 
-#: Letters by which texts and what they may contain are brought together.
+#: Letters of the runs by which texts and what they may contain are brought together.
 GRAM = 4
 
 
+def _runs(text: str, lengths: list[int]) -> Column:
+    """The different runs of so many letters in a text, as hashes; length 0 gives one."""
+    n = F.length(text)
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(k))))).otherwise(F.array().cast("array<long>"))
+    return F.array_distinct(F.concat(*[F.array(F.xxhash64(F.lit(""))) if k == 0 else of(k) for k in lengths]))
+
+
+def _candidates(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """``_t, _p``: pairs of distinct texts (``_text, _t``) and parts (``_part, _p``) that may match.
+
+    The runs of the texts are counted, and each part is sought by that run of its own
+    that the fewest texts have. A part with a run that no text has is sought nowhere.
+    """
+    own = F.least(F.length("_part"), F.lit(GRAM))
+    lengths = sorted(r[0] for r in parts.select(own).distinct().collect())  # no more than GRAM + 1
+    if not lengths:
+        return texts.select("_t").join(parts.select("_p"), F.lit(False))
+    of_texts = texts.select("_t", F.explode(_runs("_text", lengths)).alias("_run"))
+    counts = of_texts.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    each = None
+    for k in lengths:
+        each = F.when(own == k, _runs("_part", [k])) if each is None else each.when(own == k, _runs("_part", [k]))
+    of_parts = parts.select("_p", F.explode(each).alias("_run")).join(counts, "_run", "left")
+    rarest = of_parts.groupBy("_p").agg(F.min_by("_run", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_run")).alias("_run"), F.min(F.coalesce("_n", F.lit(0))).alias("_n")).where("_n > 0")
+    return of_texts.join(rarest.select("_p", "_run"), "_run").select("_t", "_p").distinct()
+
+
 def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """Rows of ``texts`` with the rows of ``parts`` whose ``part`` their ``text`` contains.
 
-    Both sides meet by key: the first ``GRAM`` letters of a part (all of a shorter one)
-    and the runs of up to as many letters of a text. So no row meets all others, and
-    neither side is broadcast. Null texts and parts match nothing; an empty part is
-    contained in every text. The column names of the two sides must differ.
+    Both sides meet by key: a part's rarest run of ``GRAM`` letters among the texts (a
+    shorter part's own letters). What travels with a run is a hash of the text or part;
+    the strings themselves meet only where a run agrees, and are then compared. So titles
+    that begin alike, or share all common runs, meet few texts that they are not part of,
+    and a long text adds a row for each different run. Null texts and parts match nothing;
+    an empty part is contained in every text. The column names of the two sides must differ.
     """
-    n = F.length(text)
-    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col(text), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[runs(k) for k in range(1, GRAM + 1)]))
-    keyed = texts.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(grams))
-    found = keyed.join(parts.where(F.col(part).isNotNull()).withColumn("_gram", F.left(part, F.lit(GRAM))), "_gram")
-    return found.where(F.contains(text, part)).drop("_gram")
+    left = texts.where(F.col(text).isNotNull()).withColumn("_t", F.xxhash64(text))
+    right = parts.where(F.col(part).isNotNull()).withColumn("_p", F.xxhash64(part))
+    pairs = _candidates(left.select(F.col(text).alias("_text"), "_t").distinct(), right.select(F.col(part).alias("_part"), "_p").distinct())
+    found = left.join(pairs, "_t").join(right, "_p")
+    return found.where(F.contains(text, part)).drop("_t", "_p")
 
 
 def duplicate_groups(files: DataFrame, keys: list[str]) -> DataFrame:

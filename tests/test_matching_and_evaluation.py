@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitchloom.functions import names
 from pitchloom.operators import decide, evaluate, models, quality, scoring, stats
@@ -25,6 +26,20 @@ def test_containing_equals_all_pairs(spark):
     assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(parts) if t is not None and p is not None and p in t)
 
 
+def test_titles_that_begin_alike_meet_few_texts(spark):
+    rnd = random.Random(5)
+    some = lambda n: "".join(rnd.choice("abcdefghij") for _ in range(n))
+    titles = ["raga" + some(rnd.randint(3, 8)) for _ in range(10_000)]
+    texts = [some(20) + rnd.choice(titles) + some(10) if k % 2 else "raga" + some(25) for k in range(1500)]
+    a = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    b = spark.createDataFrame(list(enumerate(titles)), "j long, p string")
+    got = sorted((r["i"], r["j"]) for r in quality.containing(a, "t", b, "p").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, p in enumerate(titles) if p in t)
+    strings = lambda df, c, h: df.select(F.col(c).alias("_text" if c == "t" else "_part"), F.xxhash64(c).alias(h)).distinct()
+    # All begin with the same four letters: by these, 10,000 titles would meet some 1500 texts.
+    assert quality._candidates(strings(a, "t", "_t"), strings(b, "p", "_p")).count() < 300_000
+
+
 def test_matches_equal_loops(spark):
     songs, titles = words(3, 50, "abc "), words(4, 30, "abc ", 5)
     entries = spark.createDataFrame(list(enumerate(songs)), "path long, song string")
@@ -51,15 +66,15 @@ def test_new_classes_both_ways(spark):
     assert got == {"Saveri", "abc"}
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 50])
-def test_permutation_test_equals_the_exact_share(spark, blocks):
+@pytest.mark.parametrize("per_block", [100, 3, 1])
+def test_permutation_test_equals_the_exact_share(spark, per_block):
     a, b = [5.0, 7.0, 7.0, 9.0], [1.0, 2.0, 4.0, 6.0, 7.0]
     pool, seen = a + b, abs(np.mean(a) - np.mean(b))
     exact = np.mean([abs(np.mean([pool[i] for i in c]) - np.mean([pool[i] for i in range(9) if i not in c])) >= seen - 1e-9 for c in itertools.combinations(range(9), 4)])
     rows = spark.createDataFrame([("a", x) for x in a] + [("b", x) for x in b] + [("c", 99.0), ("a", None)], "g string, x double")
-    got = stats.permutation_test(rows, "x", "g", "a", "b", iterations=20_000, blocks=blocks).first()
+    got = stats.permutation_test(rows, "x", "g", "a", "b", iterations=20_000, per_block=per_block).first()
     assert abs(got["p"] - exact) < 4 * math.sqrt(exact * (1 - exact) / 20_000) and (got["n_a"], got["n_b"]) == (4, 5)
-    assert got["p"] == stats.permutation_test(rows.repartition(5), "x", "g", "a", "b", iterations=20_000, blocks=blocks).first()["p"]
+    assert got["p"] == stats.permutation_test(rows.repartition(5), "x", "g", "a", "b", iterations=20_000, per_block=per_block).first()["p"]
 
 
 def test_permutation_test_of_an_empty_group(spark):
@@ -67,6 +82,35 @@ def test_permutation_test_of_an_empty_group(spark):
     assert stats.permutation_test(rows, "x", "g", "a", "b").first()["p"] is None
 
 
+def test_draws_follow_the_distribution():
+    from math import comb
+
+    u = stats.uniforms(7, 2, 11, np.arange(200_000))
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.004 and abs(u.var() - 1 / 12) < 0.002
+    assert abs(np.corrcoef(u, stats.uniforms(7, 2, 12, np.arange(200_000)))[0, 1]) < 0.01
+    for total, marked, m in ((9, 4, 3), (30, 1, 29), (50, 20, 25), (10, 10, 4), (6, 0, 3)):
+        got = np.bincount(stats.hypergeometric(total, marked, np.full(len(u), m), u), minlength=marked + 1) / len(u)
+        want = [comb(marked, x) * comb(total - marked, m - x) / comb(total, m) if x <= m and m - x <= total - marked else 0 for x in range(marked + 1)]
+        assert np.abs(got - want).max() < 0.006
+    # A value of a billion rows is one draw: no array of its copies is made.
+    many = stats.hypergeometric(4 * 10**9, 10**9, np.full(2000, 10**9), u[:2000])
+    assert abs(many.mean() - 2.5e8) < 2000 and 0.9 < many.std() / math.sqrt(1e9 * 0.25 * 0.75 * 0.75) < 1.1
+
+
+def test_permutation_of_counts(spark):
+    heavy = spark.range(2).select(F.when(F.col("id") == 0, "a").otherwise("b").alias("g"), F.explode(F.array_repeat(F.col("id").cast("double"), 50_000)).alias("x"))
+    rows = heavy.unionByName(spark.createDataFrame([("a", 1.0), ("b", float("nan"))], "g string, x double"))
+    one = stats.permutation_test(rows, "x", "g", "a", "b", iterations=3000).first()
+    assert one["p"] == 1 / 3001 and (one["n_a"], one["n_b"]) == (50_001, 50_000)
+
+
+def test_separation_pools_references_with_duplicates(spark):
+    rows = spark.createDataFrame([("t", 1.0), ("t", 2.0), ("r", 5.0), ("r", 6.0), ("s", 1.0), ("s", 1.5)], "g string, x double")
+    one = lambda refs: stats.separation_test(rows, "x", "g", "t", refs, iterations=2000).first()
+    assert one(["r", "s"])["reference_median"] == 3.25 and one(["r", "s", "s"])["reference_median"] == 1.5
+    assert one(["s"])["verdict"] == "NO DEGRADATION" and one(["r"] * 6)["verdict"] == "WORSE"
+
+
 def table_of(spark, rng, clips, bins):
     x = rng.dirichlet(np.ones(bins) * 0.3, clips)
     x[x < 0.02] = 0
