@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.operators import selection
+
 
 def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """One row ``d``: difference of means over the pooled sample deviation; null with fewer than two values in a group."""
@@ -160,11 +162,13 @@ def separation_test(df: DataFrame, value: str, group: str, target, references: l
 
 
 def above_median(df: DataFrame, value: str, group: str, target, reference) -> DataFrame:
-    """One row: the reference's median, the target's, and how many targets exceed the former."""
-    x = lambda g: F.when(F.col(group) == g, F.col(value))
-    medians = df.agg(F.median(x(reference)).alias("reference_median"), F.median(x(target)).alias("target_median"))
-    beats = df.where(F.col(group) == target).crossJoin(F.broadcast(medians)).agg(F.count_if(F.col(value) > F.col("reference_median")).alias("beats"))
-    return medians.crossJoin(beats)  # one row each
+    """One row: the reference's median, the target's, and how many targets exceed the former.
+
+    Medians are exact; see :func:`~pitchloom.operators.selection.medians`.
+    """
+    found = selection.medians(df, value, group, [target, reference])
+    beats = F.count_if((F.col(group) == target) & (F.col(value) > F.lit(found[reference])))
+    return df.agg(beats.alias("beats")).select(F.lit(found[reference]).cast("double").alias("reference_median"), F.lit(found[target]).cast("double").alias("target_median"), "beats")
 
 
 def separation_verdict(p_value, target_mean, reference_mean, target_median, reference_median):
@@ -186,10 +190,17 @@ def range_overlap(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 
 def transition_summary(counts: DataFrame) -> DataFrame:
-    """One row over clips: mean, least, greatest and median number of transitions, and how many different pairs."""
-    per = counts.groupBy("clip_id").agg(F.sum("cnt").alias("n"))
+    """One row over clips: mean, least, greatest and median number of transitions, and how many different pairs.
+
+    The median is exact; the clips' sums are kept while it is sought.
+    """
+    per = counts.groupBy("clip_id").agg(F.sum("cnt").alias("n")).persist()
+    try:
+        median = selection.medians(per, "n")[None]
+    finally:
+        per.unpersist()
     pairs = counts.agg(F.count_distinct(F.struct("frm", "to")).alias("pairs"))
-    return per.agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.median("n").alias("median")).crossJoin(pairs)
+    return per.agg(F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.lit(median).cast("double").alias("median")).crossJoin(pairs)  # one row each
 
 
 def smoothing_share(counts: DataFrame, alphas: DataFrame, n_bins: int) -> DataFrame:
