@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from pitchloom.functions import names as G
 from pitchloom.functions import pitch
-from pitchloom.operators import decide, evaluate, features, gate, models, quality, resolutions, scoring, stats, tonic
+from pitchloom.operators import decide, evaluate, features, gate, models, quality, resolutions, scoring, segments, stats, tonic
 from pitchloom.params import UNKNOWN, Params
 from pitchloom.plans.oracle import decided, loo, q, with_dyads
 from pitchloom.sources import adapters, listing, sinks
@@ -161,6 +161,12 @@ def stability_gate(spark, d):
     return gate.ratios(gate.gate(_folded(spark, d), p), p).select("clip_id", "kept", "voiced", r("gating_ratio"))
 
 
+@query(ORACLES["stability_gate"])
+def stability_gate_segmented(spark, d):
+    p = P.but(drift=60.0)
+    return gate.ratios(segments.gate(_folded(spark, d), p, 50), p).select("clip_id", "kept", "voiced", r("gating_ratio"))
+
+
 @query(q("SELECT clip_id, round(sum(CASE WHEN voiced THEN 1 ELSE 0 END) / count(*), 6) AS gating_ratio FROM frames GROUP BY clip_id", "frames"))
 def voiced_ratio_ungated(spark, d):
     rows = _folded(spark, d).withColumn("kept", F.lit(True))
@@ -172,11 +178,21 @@ def stable_runs(spark, d):
     return features.stable(_runs(spark, d), P).select("clip_id", "bin", "len", "first")
 
 
+@query(ORACLES["stable_runs"])
+def stable_runs_segmented(spark, d):
+    return features.stable(segments.runs(_folded(spark, d), P, 50), P).select("clip_id", "bin", "len", "first")
+
+
 @query(q('SELECT clip_id, raga, dir, frm, "to", cnt FROM dyads', "dyads"))
 def transitions_directed(spark, d):
     return _dyads(spark, d)
 
 
+@query(ORACLES["transitions_directed"])
+def transitions_segmented(spark, d):
+    return features.dyads(segments.transitions(segments.runs(_folded(spark, d), P, 50), P, size=50))
+
+
 @query(q("""SELECT clip_id, raga, CASE WHEN bin > prv THEN 'up' ELSE 'down' END AS dir, prv AS frm, bin AS "to", count(*) AS cnt FROM (SELECT *, lag(bin) OVER (PARTITION BY clip_id ORDER BY first) AS prv FROM runs) WHERE len >= 2 AND prv <> bin GROUP BY ALL""", "runs"))
 def transitions_variant_b(spark, d):
     return features.dyads(features.transitions(_runs(spark, d), P, "into"))
