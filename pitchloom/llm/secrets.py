@@ -82,7 +82,8 @@ def linked(text: str, base: list[tuple[int, str, int]], reach: int = REACH) -> l
     weak = {"identifier": [s for s in names if free(*s)]}
     if not names and not any(k == "access" for _, k, _ in base):
         return []
-    weak["secret"] = [s for s in (m.span() for m in RANDOM.finditer(text)) if free(*s) and s not in set(names)]
+    named = set(names)
+    weak["secret"] = [s for s in (m.span() for m in RANDOM.finditer(text)) if free(*s) and s not in named]
     weak["endpoint"] = [s for s in (m.span() for m in ENDPOINT.finditer(text)) if free(*s)]
     role = {"identifier": _Parts(weak["identifier"] + [(a, b) for a, k, b in base if k == "access"]), "secret": _Parts(weak["secret"] + [(a, b) for a, k, b in base if k != "access"])}
     needs = {"identifier": ("secret",), "secret": ("identifier",), "endpoint": ("identifier", "secret")}
