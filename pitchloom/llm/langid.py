@@ -10,6 +10,7 @@ language with the largest corrected count is the prediction.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ SLOTS, HASHES = 1 << 20, 3
 #: Bytes of text that a worker takes up at a time, and characters that it looks at together.
 SLICE, PIECE = 1 << 20, 1 << 17
 UNDECIDED = "und"
+#: Some character that is no letter.
+_NO_LETTER = re.compile(r"[\W\d_]")
 
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -63,18 +66,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def pieces(texts: list[str | None], most: int = PIECE):
-    """``(parts, owners)``: the texts, cut at blanks into parts of about ``most`` characters, as many at a time.
+    """``(parts, owners)``: the texts, cut before characters that are no letters into parts of about ``most`` characters, as many at a time.
 
-    No n-gram reaches across a blank, so the parts have the n-grams of the texts, and
-    a very long text is never looked at as a whole.
+    No n-gram reaches across such a character, so the parts have the n-grams of the texts.
+    A very long text is not looked at as a whole, but for a run of letters in it, which
+    is never cut.
     """
     parts, owners, held = [], [], 0
     for k, text in enumerate(texts):
         text = text or ""
         at = 0
         while at < len(text):
-            cut = text.find(" ", at + most - held)
-            end = len(text) if cut < 0 else cut
+            cut = _NO_LETTER.search(text, at + most - held)
+            end = cut.start() if cut else len(text)
             parts.append(text[at:end])
             owners.append(k)
             held += end - at

@@ -343,3 +343,27 @@ def test_secrets_equal_plain_loops():
         assert found == naive_spans(text), text
         hits.update(k for _, k, _ in found)
     assert set(hits) == set(secrets.KINDS)
+
+
+# --- long texts of one kind --------------------------------------------------------------
+
+
+def test_many_weak_parts_in_one_text():
+    rnd = random.Random(4)
+    value = lambda: "".join(rnd.choice("abcdefghABCDEFGH0123456789") for _ in range(20))
+    text = "\n".join(f"user: ab{k} and {value()}" for k in range(100_000))
+    found = secrets.spans(text)
+    few = text[: text.index("user: ab50 ")]
+    assert len(found) > 190_000 and [s for s in found if s[2] < len(few) - 300] == [s for s in secrets.spans(few) if s[2] < len(few) - 300]
+
+
+@pytest.mark.parametrize("text", ["word\n" * 400_000, "ein-satz,ohne_blank1" * 100_000])
+def test_long_texts_without_blanks_are_cut(text):
+    parts = [p for some, _ in langid.pieces([text]) for p in some]
+    assert "".join(parts) == text and max(map(len, parts)) < 2 * langid.PIECE
+
+
+def test_cuts_change_no_ngram():
+    text = "Ein Satz, mit-Strichen_und 12Zahlen\nçà\tou là 東京 京都" * 7
+    hashes = lambda texts: sorted(x for h, _ in langid.ngrams(texts)[1] for x in h.tolist())
+    assert hashes([p for some, _ in langid.pieces([text], 9) for p in some]) == hashes([text])
