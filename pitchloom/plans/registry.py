@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from pitchloom.functions import names as G
 from pitchloom.functions import pitch
-from pitchloom.operators import decide, evaluate, features, gate, models, quality, resolutions, scoring, segments, stats, tonic
+from pitchloom.operators import decide, evaluate, features, gate, models, moments, quality, resolutions, scoring, segments, stats, tonic
 from pitchloom.params import UNKNOWN, Params
 from pitchloom.plans.oracle import decided, loo, q, with_dyads
 from pitchloom.sources import adapters, listing, sinks
@@ -232,6 +232,31 @@ def raga_models(spark, d):
     return models.models(_pcd(spark, d), P).select("raga", "bin", r("mean"), r("std"), "clip_count")
 
 
+def _increments(spark, d):
+    """Three runs; each one takes the clips that are there and not yet included."""
+    pcd, counts, totals = (sinks.stored(df, "parts") for df in _parts(spark, d))
+    path = sinks.scratch(spark, "increments")
+    for run in range(3):
+        new = pcd.where(F.col("clip_id") % 3 <= run).select("clip_id").distinct()
+        if run:
+            new = listing.not_included(new, listing.increments(spark, path, ("clips",))["clips"])
+        only = lambda df: df.join(new, "clip_id", "left_semi")  # noqa: E731, B023
+        sinks.write_increment(moments.increment(only(pcd), only(counts), only(totals)), path, f"2025010{run + 1}_000000")
+    return listing.increments(spark, path, moments.PARTS)
+
+
+@query(ORACLES["raga_models"])
+def models_by_increments(spark, d):
+    return moments.models(_increments(spark, d), P).select("raga", "bin", r("mean"), r("std"), "clip_count")
+
+
+@query(q("""SELECT m.raga, m.dir, m.frm, m."to", round(sum(m.v) / any_value(e.n), 6) AS mean, round(sqrt(sum((m.v - a.v) * (m.v - a.v)) / any_value(e.n) + (any_value(e.n) - count(*)) * any_value(a.v * a.v) / any_value(e.n)), 6) AS std
+  FROM matrices m JOIN eligible e ON e.raga = m.raga JOIN mean_matrices a ON a.raga = m.raga AND a.dir = m.dir AND a.frm = m.frm AND a."to" = m."to" WHERE EXISTS (SELECT 1 FROM dyads d WHERE d.raga = m.raga AND d.dir = m.dir AND d.frm = m.frm AND d."to" = m."to") GROUP BY m.raga, m.dir, m.frm, m."to" """, "mean_matrices", "dyads"))
+def dyad_models_by_increments(spark, d):
+    """Means and deviations of the smoothed transition matrices, in the cells that some clip has."""
+    return moments.dyad_models(_increments(spark, d), P)[0].select("raga", "dir", "frm", "to", r("mean"), r("std"))
+
+
 @query(q("SELECT raga, count(DISTINCT clip_id) AS clip_count, 5 - count(DISTINCT clip_id) AS deficit FROM pcd GROUP BY raga HAVING count(DISTINCT clip_id) < 5", "pcd"))
 def excluded_ragas(spark, d):
     return models.excluded(models.clip_counts(_pcd(spark, d)), P)

@@ -62,6 +62,18 @@ def model_store(spark: SparkSession, path: str, run_id: str) -> tuple[DataFrame,
     return model.join(scalars.select("raga").distinct(), "raga", "left_semi"), cells, scalars.join(model.select("raga").distinct(), "raga", "left_semi")
 
 
+def increments(spark: SparkSession, path: str, parts: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The moments of all finished runs under ``path``, by part; a run without ``classes`` was broken off and is left out."""
+    one = lambda part: spark.read.parquet(f"{path}/{part}").withColumn("run_id", F.col("run_id").cast("string"))
+    done = one("classes").select("run_id").distinct()
+    return {part: one(part).join(done, "run_id", "left_semi") for part in parts}
+
+
+def not_included(clips: DataFrame, included: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Clips that no increment holds yet."""
+    return clips.join(included.select(key).distinct(), key, "left_anti")
+
+
 def latest_cached(files: DataFrame, bases: DataFrame, version: str | None = None) -> DataFrame:
     """``base, name, stamp``: of each base's files named ``base_YYYYMMDD_HHMMSS.npz`` the newest of the version.
 

@@ -40,6 +40,12 @@ def write_models(model: DataFrame, cells: DataFrame, scalars: DataFrame, path: s
         df.write.mode("errorifexists").parquet(f"{path}/{part}/run_id={run_id}")
 
 
+def write_increment(parts: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """A run's moments (see ``operators.moments``) beside those of earlier runs; ``classes`` comes last and makes the run count."""
+    for part in sorted(parts, key=lambda x: x == "classes"):
+        parts[part].write.mode("errorifexists").parquet(f"{path}/{part}/run_id={run_id}")
+
+
 def write_run(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("errorifexists").json(path)
 
