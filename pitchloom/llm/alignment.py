@@ -20,6 +20,8 @@ the first and last partner, and ``repeat`` expands the links. Nothing loops over
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,47 +38,70 @@ TALLY = 1 << 20
 #: Salts of the first sum.
 SALTS = 16
 #: Bytes of text that are aligned at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
+#: Bytes that a worker spends on the words it knows, for each tokenizer.
+ROOM = 64 << 20
 
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a binary, b binary, pairs array<long>, counts array<long>"
 
 
+#: White space beside white space, or beyond ASCII: such texts are encoded whole.
+_ODD = re.compile(rb"[\t-\r ][\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[ \n]\Z")
+#: Behind a letter of ASCII or of U+00C0 to U+017F.
+_LETTER = rb"(?:(?<=[A-Za-z])|(?<=[\xc3-\xc5][\x80-\xbf])(?<!\xc3[\x97\xb7]))"
+_SIGNS = ".,;:!?"
+
+
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]|\xc3(?![\x97\xb7])[\x80-\xbf]|\xc4(?!\xb0)[\x80-\xbf]|\xc5[\x80-\xbf])+").fullmatch
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class Pieces:
-    """Texts to ids by a sentencepiece model that puts a space before the text.
+    """Ids by a sentencepiece model that puts a space before the text.
 
-    A model of which no piece has a space behind another character never merges across
-    the place before such a space: a text is then the concatenation of its chunks, which
-    are remembered up to ``room`` bytes.
+    No merge crosses a place between two characters that stand side by side in no piece,
+    so that a text may be cut there. ``signs`` are those before which it may be cut behind
+    a letter; ``cuts`` tells that it may be cut before spaces and around line ends as well.
     """
 
-    def __init__(self, path: str, room: int = tokens.CHUNKS):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(k) for k in range(self.model.vocab_size())]
-        self.cuts = not any(x != "▁" and y == "▁" for name in names for x, y in zip(name, name[1:]))
-        self.cuts = self.cuts and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
-        self.known: dict[bytes, bytes] = {}
-        self.room = room
+        beside = {(x, y) for k in range(self.model.vocab_size()) for name in [self.model.id_to_piece(k)] if not self.model.is_byte(k) for x, y in zip(name, name[1:])}
+        self.signs = "".join(y for y in _SIGNS if not any(b == y and a.isalpha() for a, b in beside))
+        self.cuts = not any((x != "▁" and y == "▁") or "\n" in (x, y) for x, y in beside) and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b") and len(self.model.encode("\n")) == 2
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.model.encode(text.decode("utf-8", "replace")), "<u4").tobytes()
 
-    def __call__(self, text: bytes) -> bytes:
-        """Ids as unsigned 32-bit integers."""
-        if not self.cuts or b"  " in text or text[:1] == b" " or text[-1:] == b" ":
-            return self.whole(text)
-        known, out = self.known, []
-        for chunk in text.split(b" "):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self.whole(chunk)
-                size = len(chunk) + len(ids) + tokens.ENTRY
-                if size <= self.room:
-                    self.room -= size
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+    def chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks of cut texts. One without its space goes behind a line end, whose two ids are left out."""
+        found = self.model.encode([(c[1:] if c[:1] == b" " else b"\n" + c).decode("utf-8", "replace") for c in chunks], num_threads=1)
+        return [_packed(ids if c[:1] == b" " else ids[2:]) for c, ids in zip(chunks, found)]
+
+
+class Known(dict):
+    """Chunk -> ids, up to ``room`` bytes; ``extra`` holds what found no room, for one slice of texts."""
+
+    def __init__(self, room: int):
+        super().__init__()
+        self.room, self.extra = room, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        return self.extra[chunk]
+
+    def learn(self, chunks: list[bytes], ids: list[bytes]) -> None:
+        for chunk, x in zip(chunks, ids):
+            size = len(chunk) + len(x) + tokens.ENTRY
+            if size <= self.room:
+                self.room -= size
+                self[chunk] = x
+            else:
+                self.extra[chunk] = x
 
 
 def _piece_bytes(model, k: int) -> bytes:
@@ -106,8 +131,13 @@ class Aligner:
         library = tokens.library(a)
         library.encode_special_tokens = True
         model = library.model
-        self.a = tokens.TextEncoder("space", (), lambda piece: [t.id for t in model.tokenize(tokens.spelled(piece))], lambda text: library.encode(text, add_special_tokens=False).ids)
+        self.a = tokens.TextEncoder("space", (), lambda piece: [t.id for t in model.tokenize(tokens.spelled(piece))], lambda text: library.encode(text, add_special_tokens=False).ids, chunks=0)
+        byte = dict(enumerate(tokens.byte_letters()))
+        # Letters, with a space or without, are one piece of the split.
+        self.word = lambda c: _packed([t.id for t in model.tokenize(c.decode("latin-1").translate(byte))])
         self.b = Pieces(b)
+        self.split = re.compile(rb"(?= )|(?=\n)|(?<=\n)|" + _LETTER + rb"(?=[" + self.b.signs.encode() + rb"])" if self.b.signs else rb"(?= )|(?=\n)|(?<=\n)").split if self.b.cuts else None
+        self.known_a, self.known_b = Known(ROOM), Known(ROOM)
         back = {c: k for k, c in enumerate(tokens.byte_letters())}
         letters = [library.id_to_token(k) or "" for k in range(library.get_vocab_size(with_added_tokens=True))]
         # Special tokens are not in the alphabet of bytes; no text gives them.
@@ -117,9 +147,21 @@ class Aligner:
     def encode(self, texts: list[bytes | None]) -> tuple[list[bytes], list[bytes]]:
         """Ids of every text by A and by B; none for texts whose ids do not give their bytes back."""
         a, b = [b""] * len(texts), [b""] * len(texts)
+        cut: dict[int, list[bytes]] = {}
         for k, text in enumerate(texts):
-            if text:
-                a[k], b[k] = self.a(b" " + text), self.b(text)
+            if not text:
+                continue
+            if self.split is None or text[:1] in b" \n" or _ODD.search(text):
+                a[k], b[k] = self.a(b" " + text), self.b.whole(text)
+            else:
+                cut[k] = self.split(b" " + text)
+        # Words that a worker does not know are encoded once a slice.
+        new = list(set().union(*cut.values()) - self.known_a.keys() - {b""})
+        self.known_a.extra, self.known_b.extra = {b"": b""}, {b"": b""}
+        self.known_a.learn(new, [self.word(c) if _PLAIN(c) else self.a.chunks.encode(c.decode("utf-8", "replace")) for c in new])
+        self.known_b.learn(new, self.b.chunks(new))
+        for k, chunks in cut.items():
+            a[k], b[k] = b"".join(map(self.known_a.__getitem__, chunks)), b"".join(map(self.known_b.__getitem__, chunks))
         expected = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
         good = np.ones(len(texts), bool)
         for table, ids in ((self.a_bytes, a), (self.b_bytes, b)):
