@@ -272,7 +272,7 @@ def _pairs(shards: DataFrame) -> DataFrame:
 
 
 def _longer(shards: DataFrame, longest: int) -> DataFrame:
-    """``w0, w1, …, n``: phrases of two words and more in each shard (``shard, ids, hs, words, pairs``), of frequent pairs only."""
+    """``w0, w1, …, n``: phrases of three words and more in each shard (``shard, ids, hs, words, pairs, pairs_total``), of frequent pairs only; and these pairs, once."""
 
     def run(batches):
         import pyarrow as pa
@@ -285,23 +285,31 @@ def _longer(shards: DataFrame, longest: int) -> DataFrame:
             for k in range(batch.num_rows):
                 hs = batch.column(2)[k].values.to_numpy().view(np.uint64)
                 ids, hs = _frequent_words(_ids(batch.column(1)[k]), hs, np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64))
-                pairs = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)
+                pairs, totals = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64), np.frombuffer(batch.column(5)[k].as_buffer(), np.int64)
                 maps = Bitmaps(ids, len(hs))
                 for a, b in maps.groups():
                     words, bitmaps = [np.arange(a, b)], maps.of(a, b)
                     while len(words) < longest and len(bitmaps[0]):
                         prefix, word, count, bitmaps = maps.extended(*bitmaps)
-                        keep = _among(_pair_hash(hs[words[-1][prefix]], hs[word]), pairs)
+                        pair = _pair_hash(hs[words[-1][prefix]], hs[word])
+                        keep = _among(pair, pairs)
                         words = [*[w[prefix][keep] for w in words], word[keep]]
                         bitmaps = _chosen(keep, bitmaps)
-                        if keep.any():
-                            yield rows(words, hs, count[keep])
+                        count = count[keep]
+                        if len(words) == 2 and len(count):
+                            # Pairs are summed already: one shard of each tells the sum.
+                            count = totals[np.searchsorted(pairs, pair[keep])]
+                            told = np.flatnonzero(count)
+                            if len(told):
+                                yield rows([w[told] for w in words], hs, count[told])
+                        elif len(count):
+                            yield rows(words, hs, count)
 
     return shards.mapInArrow(run, ", ".join(f"w{j} long" for j in range(longest)) + ", n long")
 
 
 def _back(rows: DataFrame, name: str) -> DataFrame:
-    """``shard`` and its hashes ``h``, ascending, as bytes: no more than the shard has places."""
+    """``shard``, its hashes ``h`` ascending and their ``total`` as bytes: no more than the shard has places."""
 
     def run(batches):
         import pyarrow as pa
@@ -309,28 +317,34 @@ def _back(rows: DataFrame, name: str) -> DataFrame:
         key, held = None, []
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.unique(np.concatenate(held)).tobytes()], pa.binary())], ["shard", name])
+            h, total = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(h)
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([h[order].tobytes()], pa.binary()), pa.array([total[order].tobytes()], pa.binary())], ["shard", name, f"{name}_total"])
 
         for batch in batches:
-            shard, h = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64)
+            shard, h, total = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, int)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if held and shard[a] != key:
                     yield done()
                     held = []
                 key = int(shard[a])
-                held.append(h[a:b])
+                held.append((h[a:b], total[a:b]))
         if held:
             yield done()
 
-    sorted_ = rows.select("shard", "h").repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard")
-    return sorted_.mapInArrow(run, f"shard long, {name} binary")
+    sorted_ = rows.select("shard", "h", "total").repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard")
+    return sorted_.mapInArrow(run, f"shard long, {name} binary, {name}_total binary")
 
 
 def _frequent(rows: DataFrame, least: int, name: str) -> DataFrame:
-    """A stored table ``shard, name``: of ``h, shard, n`` rows, each shard's hashes whose counts add up to ``least`` or more."""
-    total = F.sum("n").over(W.partitionBy("h"))
-    return stored(_back(rows.withColumn("total", total).where(F.col("total") >= least), name), name)
+    """A stored table ``shard, name, name_total``: of ``h, shard, n`` rows, each shard's hashes whose counts add up to ``least`` or more.
+
+    The sum is given to one of a hash's shards, the others have 0.
+    """
+    same = W.partitionBy("h")
+    summed = rows.withColumn("total", F.sum("n").over(same)).withColumn("first", F.min("shard").over(same)).where(F.col("total") >= least)
+    return stored(_back(summed.withColumn("total", F.when(F.col("shard") == F.col("first"), F.col("total")).otherwise(F.lit(0))), name), name)
 
 
 # --- collocations ---------------------------------------------------------------------------
@@ -384,12 +398,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     counts = stored(words.groupBy("h").agg(F.first("lang").alias("lang"), F.first("text").alias("text"), F.sum("n").alias("a")).where(F.col("a") >= least), "counts")
     sizes = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
     frequent = _frequent(words.select("h", "shard", "n"), least, "words")
-    with_words = shards.select("shard", "ids", "hs").join(frequent.hint("merge"), "shard")
-    pairs = stored(_pairs(with_words), "pairs")
-    frequent_pairs = _frequent(pairs, least, "pairs")
-    discard(pairs, words)
+    discard(words)
+    with_words = shards.select("shard", "ids", "hs").join(frequent.select("shard", "words").hint("merge"), "shard")
+    frequent_pairs = _frequent(_pairs(with_words), least, "pairs")
     keys = [f"w{j}" for j in range(longest)]
-    found = _longer(with_words.join(frequent_pairs.hint("merge"), "shard").select("shard", "ids", "hs", "words", "pairs"), longest).groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    found = _longer(with_words.join(frequent_pairs.hint("merge"), "shard").select("shard", "ids", "hs", "words", "pairs", "pairs_total"), longest).groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     held = [F.when(F.col(c) != 0, F.col(c)) for c in keys]
     phrases = stored(found.select(*[x.alias(c) for x, c in zip(held, keys)], "a", _key(held).alias("phrase"), F.size(F.array_compact(F.array(*held))).alias("n_words")), "phrases")
     discard(shards, frequent, frequent_pairs)
