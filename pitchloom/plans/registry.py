@@ -19,6 +19,7 @@ from pitchloom.params import UNKNOWN, Params
 from pitchloom.plans.oracle import decided, loo, q, with_dyads
 from pitchloom.sources import adapters, listing, sinks
 from pitchloom.sources.adapters import table
+from pitchloom.streaming import pieces
 
 P = Params().but(n_bins=12, min_stable=2, min_voiced=20, margin_strict=8e-4, margin_min=2e-4)
 V = Params().but(n_bins=64, margin_strict=6e-5, margin_min=2e-5)
@@ -798,6 +799,27 @@ def fixed_broken_diff(spark, d):
     return evaluate.fixed_broken(evaluate.outcomes(_scores(spark, d), P), evaluate.outcomes(_plain_scores(pcd, models.models(pcd, P)), P))
 
 
+@query(q("SELECT clip_id, CASE WHEN coalesce(score - second, 0) < 2e-4 THEN 'UNKNOWN / LOW CONFIDENCE' ELSE CAST(model AS VARCHAR) END AS final, round(coalesce(score - second, 0), 6) AS margin, CASE WHEN coalesce(score - second, 0) >= 8e-4 THEN 'HIGH' WHEN coalesce(score - second, 0) >= 2e-4 THEN 'MODERATE' ELSE 'UNKNOWN' END AS confidence_tier FROM rk WHERE rank = 1", "pcd_sims", rk="SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY 0.8 * pcd_sim DESC, model) AS rank, 0.8 * pcd_sim AS score, lead(0.8 * pcd_sim) OVER (PARTITION BY clip_id ORDER BY 0.8 * pcd_sim DESC, model) AS second FROM pcd_sims"))
+def streamed_pieces(spark, d):
+    """Frames arrive in five pieces; the query stops after the second and third and is started again."""
+    folded = _folded(spark, d).withColumn("n_frames", F.count(F.lit(1)).over(W.partitionBy("clip_id"))).select("clip_id", "raga", "frame_idx", "cents", "n_frames")
+    frames = sinks.stored(folded, "frames")
+    model = sinks.stored(models.models(_pcd(spark, d), P), "models")
+    weight = models.weights(model, P)
+    source, out, checkpoint = (sinks.scratch(spark, name) for name in ("pieces", "decided", "progress"))
+
+    def decided(whole):
+        sims = scoring.pcd_similarity(pieces.histogram(whole), model, P, "weighted", weight)
+        return decide.decisions(scoring.blend(sims, None, P), None, P)
+
+    for k in range(5):
+        frames.where(F.col("frame_idx") % 5 == k).coalesce(1).write.mode("append").parquet(source)
+        if k in (1, 2, 4):
+            pieces.follow(spark, source, "clip_id long, raga int, frame_idx long, cents double, n_frames long", decided, out, checkpoint, P, files_per_batch=1).awaitTermination()
+    rows = spark.read.schema("clip_id long, final string, margin double, confidence_tier string").parquet(out)
+    return rows.select("clip_id", "final", r("margin"), "confidence_tier")
+
+
 # --- scales, n-grams, statistics ------------------------------------------------------------------
 
 _SCALES = [(2, s) for s in (0, 2, 3, 5, 9)] + [(3, s) for s in (0, 2, 4, 6, 7, 9, 11)] + [(5, s) for s in (0, 2, 4, 5, 7, 9, 11)]
@@ -1166,9 +1188,11 @@ def latest_cached(spark, d):
 
 @query("SELECT c.c_custkey AS clip_id, round(coalesce(o.v, c.c_acctbal), 6) AS f0, CASE WHEN o.v IS NOT NULL THEN 'cache' ELSE 'live' END AS origin FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")
 def cache_or_compute(spark, d):
-    live = table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), F.col("c_acctbal").alias("f0"))
+    """Only customers without a finished order are computed, and these once."""
+    clips = table(spark, d, "customer").select(F.col("c_custkey").alias("clip_id"), "c_acctbal")
     cached = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("clip_id")).agg(F.max("o_totalprice").alias("f0"))
-    return listing.cache_or_compute(live, cached, live).select("clip_id", r("f0"), "origin")
+    found = listing.cache_or_compute(clips, cached, lambda rows: rows.select("clip_id", F.col("c_acctbal").alias("f0")), store=sinks.scratch(spark, "computed"))
+    return found.select("clip_id", r("f0"), "origin")
 
 
 _TOPS = ", ".join(f"round(coalesce(max(score) FILTER (rank = {k}), 0), 6) AS top{k}_score" for k in (1, 2, 3))

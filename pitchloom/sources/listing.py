@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,10 +88,31 @@ def latest_cached(files: DataFrame, bases: DataFrame, version: str | None = None
     return rows.groupBy("base").agg(F.max_by("name", F.struct("stamp", "name")).alias("name"), F.max("stamp").alias("stamp"))
 
 
-def cache_or_compute(clips: DataFrame, cached: DataFrame, computed: DataFrame, key: str = "clip_id", value: str = "f0") -> DataFrame:
-    """``key, value, origin``: the cached value, else the computed one."""
-    rows = clips.select(key).distinct().join(cached.select(key, F.col(value).alias("_a")), key, "left").join(computed.select(key, F.col(value).alias("_b")), key, "left")
-    return rows.select(key, F.coalesce("_a", "_b").alias(value), F.when(F.col("_a").isNotNull(), "cache").otherwise("live").alias("origin"))
+def cache_or_compute(clips: DataFrame, cached: DataFrame, compute: Callable[[DataFrame], DataFrame], key: str = "clip_id", value: str = "f0", store: str | None = None) -> DataFrame:
+    """``key, value, origin``: the cached value, or the one that ``compute`` makes.
+
+    ``compute`` is a function from rows of ``clips`` to ``key, value``; it gets only those
+    whose key the cache lacks, or holds without a value. With ``store`` its results are
+    appended there first and read back, so that they are computed once and are the next
+    run's cache (see :func:`computed_before`). A clip that is not computed either has no value.
+    """
+    held = cached.where(F.col(value).isNotNull()).groupBy(key).agg(F.first(value).alias(value))
+    missing = clips.join(held.select(key), key, "left_anti")
+    made = compute(missing).select(key, value)
+    if store is not None:
+        path = f"{store}/part={uuid.uuid4().hex}"
+        made.write.mode("errorifexists").parquet(path)
+        made = clips.sparkSession.read.schema(made.schema).parquet(path)
+    keys = clips.select(key).distinct()
+    found = keys.join(held.select(key, value, F.lit("cache").alias("origin")).unionByName(made.select(key, value, F.lit("live").alias("origin"))), key, "left")
+    return found.select(key, value, F.coalesce("origin", F.lit("live")).alias("origin"))
+
+
+def computed_before(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """What earlier runs of :func:`cache_or_compute` computed; nothing if there were none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(store).drop("part") if there else spark.createDataFrame([], schema)
 
 
 def song_metadata(spark: SparkSession, path: str) -> DataFrame:
