@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchloom.operators import selection
+from pitchloom.shipping import known_to_workers
 
 
 def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
@@ -85,6 +86,7 @@ def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: in
     import numpy as np
 
     spark = df.sparkSession
+    known_to_workers(spark)
     x = F.col(value).cast("double")
     rows = df.where(F.col(group).isin(a, b) & x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("x")).agg(F.count_if(F.col(group) == a).alias("a"), F.count(F.lit(1)).alias("n"))
     blocks = max(1, -(-rows.count() // per_block))

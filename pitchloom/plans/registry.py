@@ -17,7 +17,7 @@ from pitchloom.functions import pitch
 from pitchloom.operators import decide, evaluate, features, gate, models, moments, quality, resolutions, scoring, segments, stats, tonic
 from pitchloom.params import UNKNOWN, Params
 from pitchloom.plans.oracle import decided, loo, q, with_dyads
-from pitchloom.sources import adapters, listing, sinks
+from pitchloom.sources import adapters, archives, listing, sinks
 from pitchloom.sources.adapters import table
 from pitchloom.streaming import pieces
 
@@ -1124,6 +1124,16 @@ def run_metadata_round_trip(spark, d):
     return spark.read.schema("feature_version string, bins int, total_files_seen long, included_clips long").json(path)
 
 
+@query("SELECT 'concert' || CAST(p_size AS VARCHAR) || '/' || lower(p_name) || '/' || CAST(p_partkey AS VARCHAR) || '.mp3' AS path, 1000 + length(p_name) AS size, lower(p_name) AS song FROM part")
+def archived_parts(spark, d):
+    """Parts written into zip archives, a file of each, and listed from the archives' directories."""
+    part = table(spark, d, "part")
+    names = part.select(F.concat_ws("/", F.concat(F.lit("concert"), "p_size"), F.lower("p_name"), F.concat("p_partkey", F.lit(".mp3"))).alias("path"), (F.length("p_name") + 1000).cast("long").alias("size"), F.pmod("p_partkey", F.lit(4)).alias("archive"))
+    path = sinks.scratch(spark, "archives")
+    archives.write(names, path)
+    return listing.archive_entries(archives.listing(spark, path)).select("path", "size", "song")
+
+
 _ENTRIES = "(SELECT p_partkey AS path, lower(p_name) AS song FROM part) s"
 _TITLES = "(SELECT min_by(p_type, p_partkey) AS raga, min(p_partkey) AS ord, lower(split_part(p_name, ' ', 1)) AS title FROM part GROUP BY title) m"
 

@@ -135,25 +135,6 @@ def archive_entries(listing: DataFrame, least: int = 1000, extensions=names.AUDI
     )
 
 
-def zip_listing(spark: SparkSession, path: str) -> DataFrame:
-    """``path, size`` of the entries of zip files; only their directories are parsed, one file per row."""
-
-    def run(batches):
-        import io
-        import zipfile
-
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = [(i.filename, i.file_size) for i in z.infolist()]
-                a, b = zip(*found) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.int64())], ["path", "size"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "path string, size long")
-
-
 def newest_runs(runs: DataFrame) -> DataFrame:
     """The newest run of each class, by its id."""
     return runs.withColumn("_r", F.row_number().over(W.partitionBy("raga").orderBy(F.desc("run_id")))).where("_r = 1").drop("_r")

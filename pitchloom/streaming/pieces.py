@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pitchloom.functions import pitch
 from pitchloom.params import Params
+from pitchloom.shipping import known_to_workers
 
 STATE = "seen long, total long, raga int, counts array<long>"
 WHOLE = "clip_id long, raga int, counts array<long>, seen long, whole boolean"
@@ -53,6 +54,7 @@ def whole_clips(frames: DataFrame, p: Params = Params(), wait_ms: int | None = N
     seen. With ``wait_ms``, a clip without news for so long is given out as it is. Frames
     that come after that begin the clip anew.
     """
+    known_to_workers(frames.sparkSession)
     rows = frames.select("clip_id", "raga", "n_frames", F.when(F.col("cents").isNotNull(), pitch.histogram_bin(F.col("cents"), p.n_bins)).alias("bin"))
     timeout = GroupStateTimeout.NoTimeout if wait_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     return rows.groupBy("clip_id").applyInPandasWithState(_update(p.n_bins, wait_ms), WHOLE, STATE, "append", timeout)

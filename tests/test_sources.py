@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pitchloom.operators import features, models, quality, tonic
 from pitchloom.params import Params
-from pitchloom.sources import adapters, listing, sinks
+from pitchloom.sources import adapters, archives, listing, sinks
 from pitchloom.streaming import incremental
 
 P = Params().but(n_bins=12, min_stable=2, min_clips=1)
@@ -58,7 +58,7 @@ def test_metadata_and_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         for name, size in (("c/s/a.vocal.mp3", 2000), ("c/s/._b.mp3", 2000), ("c/s/small.mp3", 10), ("c/s/t.txt", 5000)):
             z.writestr(name, b"0" * size)
-    found = listing.archive_entries(listing.zip_listing(spark, str(tmp_path / "z.zip"))).collect()
+    found = listing.archive_entries(archives.listing(spark, str(tmp_path / "z.zip"))).collect()
     assert [(r["file"], r["song"], r["is_vocal"]) for r in found] == [("a.vocal.mp3", "s", True)]
 
 
