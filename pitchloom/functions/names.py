@@ -128,3 +128,8 @@ def denied(path: Column, words=NOT_VOICE) -> Column:
 
 def percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
+
+
+def run_id(moment: Column | None = None) -> Column:
+    """The name of a run that began at a moment, or now: ``run_YYYYMMDD_HHMMSS`` in the session's time zone."""
+    return F.concat(F.lit("run_"), F.date_format(F.current_timestamp() if moment is None else moment, "yyyyMMdd_HHmmss"))

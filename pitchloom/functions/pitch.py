@@ -54,11 +54,6 @@ def bin_centre(b: Column, low: Column, high: Column, n: int) -> Column:
     return low + (b + 0.5) * (high - low) / n
 
 
-def laplace(count: Column, total: Column, alpha: float, cells: int, eps: float) -> Column:
-    """A cell of a smoothed, normalised count matrix."""
-    return (count + alpha) / (total + alpha * cells + eps)
-
-
 def wide_window(c: Column) -> Column:
     """The octave below to the octave above, before folding."""
     return (c > -OCTAVE) & (c < 2 * OCTAVE)

@@ -49,6 +49,20 @@ def tonic(frames: DataFrame, p: Params = Params()) -> DataFrame:
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("clip_id", F.col("hz").alias("sa"), "score")
 
 
+def status(frames: DataFrame, p: Params = Params()) -> DataFrame:
+    """``clip_id, status, voiced``: why :func:`tonic` leaves a clip out (``NO VOICED FRAMES``, ``TOO FEW FRAMES``), or ``OK``."""
+    voiced = frames.groupBy("clip_id").agg(F.count("f0").alias("voiced"))
+    return voiced.select("clip_id", F.when(F.col("voiced") == 0, "NO VOICED FRAMES").when(F.col("voiced") < p.min_voiced, "TOO FEW FRAMES").otherwise("OK").alias("status"), "voiced")
+
+
+def require_enough(frames: DataFrame, p: Params = Params(), shown: int = 5) -> DataFrame:
+    """``frames``, or an error that names some clips with too few voiced frames, before anything is estimated."""
+    short = [r["clip_id"] for r in status(frames, p).where("status <> 'OK'").orderBy("clip_id").limit(shown).collect()]
+    if short:
+        raise ValueError(f"too few voiced frames in clips such as {short}")
+    return frames
+
+
 def median_tonic(frames: DataFrame) -> DataFrame:
     """Variant: the median pitch."""
     return frames.where(F.col("f0").isNotNull()).groupBy("clip_id").agg(F.median("f0").alias("sa"))

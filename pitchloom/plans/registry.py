@@ -1064,10 +1064,33 @@ def path_parts(spark, d):
     return rows.select("path", part(1).alias("file"), part(2).alias("song"), part(3).alias("concert"), G.has(F.col("path"), "Steel").alias("is_vocal"), G.denied(F.col("path")).alias("denied"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a/Multitrack/x.mp3' WHEN 1 THEN 'a/b.violin.mp3' ELSE 'a/vocal.mp3' END AS path FROM part WHERE p_partkey % 3 = 2")
+_MEANT = {"éa": "Accented", "eau": "Water", "ent": "Ending", "the": "Article", "oi": "Vowels"}
+_MEANT_SQL = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(_MEANT.items()))
+
+
+@query(f"""SELECT doc_id, name, coalesce((SELECT min_by(v, o) FROM (VALUES {_MEANT_SQL}) t(o, k, v) WHERE contains(lower(trim(name)), k)), (SELECT min_by(v, o) FROM (VALUES {_MEANT_SQL}) t(o, k, v) WHERE contains(strip_accents(lower(trim(name))), k)), name) AS raga
+       FROM (SELECT doc_id, left(text, 25) AS name FROM documents)""")
+def class_names_of_documents(spark, d):
+    """The first letters of the documents as spellings of classes."""
+    names_ = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(25)).alias("name"))
+    return names_.withColumn("raga", G.class_name(F.col("name"), _MEANT))
+
+
+@query("SELECT p_partkey, p_brand || '/' || p_name || '/' || p_type || '.mp3' AS path FROM part WHERE NOT regexp_matches(lower(p_brand || '/' || p_name || '/' || p_type), 'steel|promo|brand#1')")
 def allowed_paths(spark, d):
-    paths = F.when(F.col("p_partkey") % 3 == 0, "a/Multitrack/x.mp3").when(F.col("p_partkey") % 3 == 1, "a/b.violin.mp3").otherwise("a/vocal.mp3")
-    return table(spark, d, "part").select("p_partkey", paths.alias("path")).where(~G.denied(F.col("path")))
+    paths = table(spark, d, "part").select("p_partkey", F.concat(F.concat_ws("/", "p_brand", "p_name", "p_type"), F.lit(".mp3")).alias("path"))
+    return paths.where(~G.denied(F.col("path"), ("steel", "promo", "brand#1")))
+
+
+@query("SELECT user_id AS clip_id, CASE WHEN n = 0 THEN 'NO VOICED FRAMES' WHEN n < 55 THEN 'TOO FEW FRAMES' ELSE 'OK' END AS status, n AS voiced FROM (SELECT user_id, count(*) FILTER (event_type <> 'error') AS n FROM events GROUP BY user_id)")
+def clip_status(spark, d):
+    """The least number of voiced frames is chosen so that both sides have clips at every size."""
+    return tonic.status(_frames(spark, d), P.but(min_voiced=55)).select("clip_id", "status", "voiced")
+
+
+@query("SELECT user_id AS clip_id, 'run_' || strftime(max(ts), '%Y%m%d_%H%M%S') AS run_id FROM events GROUP BY user_id")
+def run_stamps(spark, d):
+    return table(spark, d, "events").groupBy(F.col("user_id").alias("clip_id")).agg(G.run_id(F.max("ts")).alias("run_id"))
 
 
 @query("SELECT o_orderkey, printf('%.1f%%', o_totalprice / 1000000 * 100) AS share FROM orders")

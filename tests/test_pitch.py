@@ -79,6 +79,21 @@ def test_gate_keeps_unvoiced_frames(spark):
     assert all(mask[:11]) and ratio > 1
 
 
+def test_short_clips_are_told_or_refused(spark):
+    rows = [(1, 1, i, 150.0, True) for i in range(20)] + [(2, 1, i, None, False) for i in range(30)] + [(3, 1, 0, 150.0, True)]
+    df = spark.createDataFrame(rows, "clip_id long, raga int, frame_idx long, f0 double, voiced boolean")
+    p = P.but(min_voiced=20)
+    assert {r["clip_id"]: r["status"] for r in tonic.status(df, p).collect()} == {1: "OK", 2: "NO VOICED FRAMES", 3: "TOO FEW FRAMES"}
+    with pytest.raises(ValueError, match=r"\[2, 3\]"):
+        tonic.require_enough(df, p)
+    assert tonic.require_enough(df.where("clip_id = 1"), p).count() == 20
+
+
+def test_run_ids(spark):
+    got = spark.range(1).select(names.run_id().alias("now"), names.run_id(F.lit("2025-03-04 05:06:07").cast("timestamp")).alias("then")).first()
+    assert got["then"] == "run_20250304_050607" and len(got["now"]) == 19 and got["now"] > "run_2025"
+
+
 def test_tonic_of_one_pitch(spark):
     rows = frames(spark, [220.0] * 30)
     got = tonic.tonic(rows, P).first()
