@@ -43,8 +43,11 @@ def tonic(frames: DataFrame, p: Params = Params()) -> DataFrame:
     options = found.select("clip_id", "peak", F.explode(pitch.octave_candidates(F.col("hz"), p.tonic_multipliers, p.tonic_low, p.tonic_high)).alias("c")).select("clip_id", "peak", "c.*")
     # At most peaks x multipliers options per clip: they are sent to the frames as one array.
     arrays = options.groupBy("clip_id").agg(F.collect_list(F.struct("peak", "m", "hz")).alias("options"))
-    tried = voiced.join(arrays, "clip_id").select("clip_id", "f0", F.explode("options").alias("c")).select("clip_id", "c.*", (F.abs(pitch.cents(F.col("f0"), F.col("c.hz"))) < p.tonic_tolerance).alias("near"))
-    scored = tried.groupBy("clip_id", "peak", "m", "hz").agg(F.sum(F.col("near").cast("long")).alias("score"))
+    # A frame is compared with all options in its own row; one sum for each place of the array.
+    near = lambda k: (F.abs(pitch.cents(F.col("f0"), F.get(F.col("options"), F.lit(k))["hz"])) < p.tonic_tolerance).cast("long")
+    sums = F.array(*[F.sum(near(k)) for k in range(p.tonic_peaks * len(p.tonic_multipliers))])
+    tried = voiced.join(arrays, "clip_id").groupBy("clip_id").agg(F.first("options").alias("options"), sums.alias("score"))
+    scored = tried.select("clip_id", F.explode(F.arrays_zip("options", "score")).alias("x")).where("x.options is not null").select("clip_id", "x.options.*", "x.score")
     order = W.partitionBy("clip_id").orderBy(F.desc("score"), F.desc("peak"), "m")
     return scored.withColumn("r", F.row_number().over(order)).where("r = 1").select("clip_id", F.col("hz").alias("sa"), "score")
 
