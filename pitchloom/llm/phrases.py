@@ -36,7 +36,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: A candidate inside a longer phrase goes if that has this percentage of its occurrences.
 COVERED = 80
 #: Words of a shard (a longer piece is a shard of its own), and bytes of bitmaps that are extended at once.
-SHARD, GROUP = 1 << 20, 1 << 17
+SHARD, GROUP = 1 << 20, 1 << 15
 #: Scores are this many times ``a / (l + r)``, rounded down.
 SCALE = 2_000_000
 
@@ -148,8 +148,11 @@ def _shards(docs: DataFrame) -> DataFrame:
                     if at < len(h):
                         yield shard.row(number)
                         number, shard = number + 1, _Shard()
+                        tokens.trim()
         if shard.size:
             yield shard.row(number)
+        shard = None
+        tokens.trim()
 
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
     return stored(texts.mapInArrow(run, SHARDS), "shards")

@@ -159,9 +159,17 @@ def forget() -> None:
     _ENCODERS.clear()
     for x in held:
         x.cache_clear()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-    if trim is not None:
-        trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Give what this worker no longer uses back to the system; idle workers stay beside other tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if give is not None:
+        give(0)
 
 
 def library_encoder(path: str, split_at: str, chunks: int = CHUNKS, pieces: int = PIECES) -> TextEncoder:
