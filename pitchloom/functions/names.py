@@ -127,7 +127,14 @@ def denied(path: Column, words=NOT_VOICE) -> Column:
 
 
 def percent(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", x * 100)
+    """A share as a text in percent, rounded as C's ``printf`` does: by the double's exact value, ties to the even digit.
+
+    Java's ``%f`` rounds the shortest decimal form half up; its number patterns do not.
+    """
+    pattern = "0." + "0" * digits if digits else "0"
+    y = (x * 100).cast("double")
+    odd = F.when(F.isnan(y), "nan").when(y == float("inf"), "inf").when(y == float("-inf"), "-inf")
+    return F.concat(F.coalesce(odd, F.call_function("format_number", y, F.lit(pattern))), F.lit("%"))
 
 
 def run_id(moment: Column | None = None) -> Column:
