@@ -19,6 +19,8 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 #: Distinct values that a block of the permutation test holds, and shuffles that are drawn at once.
 PER_BLOCK, SHARE = 1 << 16, 1000
+#: Probabilities that a draw makes at once.
+TABLE = 1 << 20
 
 
 def uniforms(seed: int, block: int, place: int, shuffles):
@@ -48,26 +50,33 @@ def uniforms(seed: int, block: int, place: int, shuffles):
 def hypergeometric(total: int, marked: int, drawn, u):
     """How many of ``marked`` among ``total`` are in ``drawn`` ones: the least number whose distribution function exceeds ``u``.
 
-    ``drawn`` and ``u`` are arrays. The probabilities of one number drawn come from the
-    ratios of neighbours, within twelve deviations of the mean.
+    ``drawn`` and ``u`` are arrays. The probabilities come from the ratios of neighbours,
+    within nine deviations of the mean and some more, for all drawn at once (``TABLE``
+    probabilities at most). A single marked one is a comparison.
     """
     import numpy as np
 
-    out = np.zeros(len(drawn), np.int64)
     if not marked:
-        return out
-    for m in np.unique(drawn).tolist():
-        own = np.flatnonzero(drawn == m)
-        lo, hi = max(0, m - (total - marked)), min(marked, m)
-        share = m / total
-        reach = 12 * np.sqrt(marked * share * (1 - share)) + 40
-        lo, hi = max(lo, int(marked * share - reach)), min(hi, int(marked * share + reach) + 1)
-        x = np.arange(lo, hi, dtype=np.float64)
-        steps = np.log((marked - x) * (m - x) / ((x + 1) * (total - marked - m + x + 1)))
-        weights = np.append(0.0, np.cumsum(steps))
-        weights = np.exp(weights - weights.max())
-        below = np.cumsum(weights)
-        out[own] = lo + np.minimum(np.searchsorted(below, u[own] * below[-1], side="right"), hi - lo)
+        return np.zeros(len(drawn), np.int64)
+    if marked == 1:
+        return (u >= 1 - drawn / total).astype(np.int64)
+    mean = marked * (drawn / total)
+    reach = 9 * np.sqrt(mean * (1 - drawn / total) * ((total - marked) / max(1, total - 1))) + 14
+    lo = np.maximum(np.maximum(0, drawn - (total - marked)), (mean - reach).astype(np.int64))
+    hi = np.minimum(np.minimum(marked, drawn), (mean + reach).astype(np.int64) + 1)
+    width = int((hi - lo).max()) + 1
+    x, out, step = np.arange(width - 1, dtype=np.float64)[:, None], np.empty(len(drawn), np.int64), max(1, TABLE // width)
+    for first in range(0, len(drawn), step):
+        own = slice(first, first + step)
+        low, m = lo[own].astype(np.float64), drawn[own]
+        # The product is 0 from the last possible number on, as one factor is.
+        below = np.ones((width, len(m)))
+        np.divide((marked - low - x) * (m - low - x), (low + 1 + x) * (total - marked - m + low + 1 + x), out=below[1:])
+        for k in range(1, width):  # row by row, which is faster than along the other axis
+            below[k] *= below[k - 1]
+        for k in range(1, width):
+            below[k] += below[k - 1]
+        out[own] = lo[own] + np.minimum((below <= u[own] * below[-1]).sum(axis=0), hi[own] - lo[own])
     return out
 
 
