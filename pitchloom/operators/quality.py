@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pitchloom.functions import names
 
 
-#: Letters of the runs by which texts and what they may contain are brought together.
+#: Least letters of the runs by which texts and what they may contain are brought together.
 GRAM = 4
 
 
@@ -25,9 +25,15 @@ def _candidates(texts: DataFrame, parts: DataFrame) -> DataFrame:
 
     The runs of the texts are counted, and each part is sought by that run of its own
     that the fewest texts have. A part with a run that no text has is sought nowhere.
+    A run has over half the letters of its part: the greatest power of two, from ``GRAM`` on.
+    So many different parts with few different letters do not share their runs.
     """
-    own = F.least(F.length("_part"), F.lit(GRAM))
-    lengths = sorted(r[0] for r in parts.select(own).distinct().collect())  # no more than GRAM + 1
+    n = F.length("_part")
+    own = F.when(n < GRAM, n)
+    for k in (GRAM << i for i in range(12)):
+        own = own.when(n < 2 * k, F.lit(k))
+    own = own.otherwise(F.lit(GRAM << 12))
+    lengths = sorted(r[0] for r in parts.select(own).distinct().collect())  # no more than GRAM + 13
     if not lengths:
         return texts.select("_t").join(parts.select("_p"), F.lit(False))
     of_texts = texts.select("_t", F.explode(_runs("_text", lengths)).alias("_run"))
@@ -43,9 +49,8 @@ def _candidates(texts: DataFrame, parts: DataFrame) -> DataFrame:
 def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
     """Rows of ``texts`` with the rows of ``parts`` whose ``part`` their ``text`` contains.
 
-    Both sides meet by key: a part's rarest run of ``GRAM`` letters among the texts (a
-    shorter part's own letters). What travels with a run is a hash of the text or part;
-    the strings themselves meet only where a run agrees, and are then compared. So titles
+    Both sides meet by key: a part's rarest run, of over half its letters, among the
+    texts. What travels with a run is a hash of the text or part; the strings themselves meet only where a run agrees, and are then compared. So titles
     that begin alike, or share all common runs, meet few texts that they are not part of,
     and a long text adds a row for each different run. Null texts and parts match nothing;
     an empty part is contained in every text. The column names of the two sides must differ.
@@ -102,15 +107,16 @@ def longest_match(wanted: DataFrame, entries: DataFrame) -> DataFrame:
 def not_extracted(staged: DataFrame, existing: DataFrame, prefix: int = 20) -> DataFrame:
     """Staged files the first ``prefix`` letters of whose name are in no existing name.
 
-    Names as long as the prefix are sought as keys among all runs of that length of the
-    existing names; only shorter ones go through :func:`containing`.
+    They are sought as keys among all runs of the existing names that have one of their
+    lengths: ``prefix + 1`` lengths at most, so that the work is linear in the names.
     """
     base = staged.withColumn("_b", F.substring(F.regexp_replace(F.lower(names.stem(F.col("path"))), r"\.mp3$", ""), 1, prefix))
-    seen = existing.select(F.lower("base").alias("_e")).distinct()
+    seen = existing.select(F.lower("base").alias("_e")).where(F.col("_e").isNotNull()).distinct()
     n = F.length("_e")
-    runs = seen.where(n >= prefix).select(F.explode(F.transform(F.sequence(F.lit(1), n - prefix + 1), lambda i: F.substring(F.col("_e"), i, F.lit(prefix)))).alias("_b"))
-    short = containing(seen, "_e", base.where(F.length("_b") < prefix).select("_b").distinct(), "_b")
-    return base.join(runs.unionByName(short.select("_b")).distinct(), "_b", "left_anti").drop("_b")
+    lengths = sorted(r[0] for r in base.select(F.length("_b")).distinct().collect() if r[0] is not None)  # prefix + 1 at most
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_e"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    each = F.concat(F.array().cast("array<string>"), *[of(k) if k else F.array(F.lit("")) for k in lengths])
+    return base.join(seen.select(F.explode(F.array_distinct(each)).alias("_b")).distinct().hint("merge"), "_b", "left_anti").drop("_b")
 
 
 def inventory(files: DataFrame, current: DataFrame, goal: int = 10) -> DataFrame:
