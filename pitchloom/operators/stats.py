@@ -19,31 +19,37 @@ def cohens_d(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
 
 #: Distinct values that a block of the permutation test holds, and shuffles that are drawn at once.
 PER_BLOCK, SHARE = 1 << 16, 1000
-#: Probabilities that a draw makes at once.
-TABLE = 1 << 20
+#: Probabilities that a draw makes at once, and places whose random numbers are made at once.
+TABLE, PLACES = 1 << 20, 32
+#: Marked ones, and their greatest mean drawn, that are counted from none on.
+MARKED, MEAN = 512, 32
 
 
-def uniforms(seed: int, block: int, place: int, shuffles):
-    """Numbers in (0, 1) for an array of shuffles, by a counter: a hash of seed, block, place and shuffle.
+def uniforms(seed: int, block: int, place, shuffles):
+    """Numbers in (0, 1) for an array of shuffles, by a counter: a hash of seed, block, place and shuffle. Several places give a row each.
 
-    Each word is a 32-bit integer ``x`` (an array of unsigned 64-bit ones), mixed twice by
+    Each word is an unsigned 32-bit integer ``x``, mixed twice by
     ``(x ^ x >> 16) * 73244475 mod 2^32`` and once by ``x ^ x >> 16``. No state: any task,
     and SQL, gives the same number for the same counter.
     """
     import numpy as np
 
-    low = np.uint64(0xFFFFFFFF)
-
     def mixed(x):
         for _ in range(2):
-            x = (x ^ x >> np.uint64(16)) * np.uint64(73244475) & low
-        return x ^ x >> np.uint64(16)
-
-    key = np.zeros(1, np.uint64)
-    for part in (seed, block, place):
-        key = mixed(key + np.uint64(part) & low)
-    first = mixed(key + shuffles.astype(np.uint64) & low)
-    second = mixed(first + np.uint64(1) & low)
+            x = (x ^ x >> 16) * 73244475 & 0xFFFFFFFF
+        return x ^ x >> 16
+
+    def words(x):  # the same for unsigned 32-bit numbers, which wrap by themselves
+        for _ in range(2):
+            x = (x ^ x >> np.uint32(16)) * np.uint32(73244475)
+        return x ^ x >> np.uint32(16)
+
+    start = 0
+    for part in (seed, block):
+        start = mixed(start + int(part) & 0xFFFFFFFF)
+    keys = np.array([mixed(start + int(one) & 0xFFFFFFFF) for one in np.ravel(place)], np.uint32).reshape(*np.shape(place), 1)
+    first = words(shuffles.astype(np.uint32) + keys)
+    second = words(first + np.uint32(1))
     return (first + (second + 0.5) / 2.0**32) / 2.0**32
 
 
@@ -52,14 +58,19 @@ def hypergeometric(total: int, marked: int, drawn, u):
 
     ``drawn`` and ``u`` are arrays. The probabilities come from the ratios of neighbours,
     within nine deviations of the mean and some more, for all drawn at once (``TABLE``
-    probabilities at most). A single marked one is a comparison.
+    probabilities at most). A single marked one is a comparison. Where few are drawn of
+    few marked ones (``MEAN``, ``MARKED``), the probability of none is a product, and the
+    sum goes no further than the greatest number found.
     """
     import numpy as np
 
-    if not marked:
+    if not marked or not len(drawn):
         return np.zeros(len(drawn), np.int64)
     if marked == 1:
         return (u >= 1 - drawn / total).astype(np.int64)
+    most = int(drawn.max())
+    if marked <= MARKED and marked * most <= MEAN * total and most <= total - marked:
+        return _from_none(total, marked, drawn, u)
     mean = marked * (drawn / total)
     reach = 9 * np.sqrt(mean * (1 - drawn / total) * ((total - marked) / max(1, total - 1))) + 14
     lo = np.maximum(np.maximum(0, drawn - (total - marked)), (mean - reach).astype(np.int64))
@@ -80,6 +91,24 @@ def hypergeometric(total: int, marked: int, drawn, u):
     return out
 
 
+def _from_none(total: int, marked: int, drawn, u):
+    """:func:`hypergeometric` where none of the marked ones may be drawn: probabilities are summed from 0 on, until none of ``u`` is left."""
+    import numpy as np
+
+    out, m, rest = np.zeros(len(drawn), np.int64), drawn.astype(np.float64), (total - marked + 1) - drawn.astype(np.float64)
+    each = np.arange(marked, dtype=np.float64)[:, None]
+    chance = np.multiply.reduce(((total - m) - each) / (total - each), axis=0)
+    below = chance.copy()
+    for k in range(marked):
+        on = below <= u
+        if not on.any():
+            break
+        out += on
+        chance *= (m - k) * ((marked - k) / (k + 1)) / (rest + k)
+        below += chance
+    return np.minimum(out, drawn)
+
+
 def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: int = 50_000, seed: int = 0, per_block: int = PER_BLOCK) -> DataFrame:
     """One row ``p, observed, n_a, n_b``: share of shuffles whose difference of means is at least the observed one, two-sided.
 
@@ -133,7 +162,9 @@ def permutation_test(df: DataFrame, value: str, group: str, a, b, iterations: in
                 k, left = np.arange(share.as_py() * SHARE, min(iterations, (share.as_py() + 1) * SHARE)), np.frombuffer(m.as_buffer(), np.int64)
                 rest, s = int(ns.sum()), np.zeros(len(k))
                 for place, (x, n) in enumerate(zip(xs.tolist(), ns.tolist())):
-                    got = hypergeometric(rest, n, left, uniforms(seed, block.as_py() + 1, place, k))
+                    if place % PLACES == 0:
+                        us = uniforms(seed, block.as_py() + 1, range(place, min(len(xs), place + PLACES)), k)
+                    got = hypergeometric(rest, n, left, us[place % PLACES])
                     s += x * got
                     rest, left = rest - n, left - got
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], ["k", "s"])
