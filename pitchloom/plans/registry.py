@@ -812,10 +812,11 @@ def streamed_pieces(spark, d):
         sims = scoring.pcd_similarity(pieces.histogram(whole), model, P, "weighted", weight)
         return decide.decisions(scoring.blend(sims, None, P), None, P)
 
+    files = spark.sparkContext.defaultParallelism
     for k in range(5):
-        frames.where(F.col("frame_idx") % 5 == k).coalesce(1).write.mode("append").parquet(source)
+        frames.where(F.col("frame_idx") % 5 == k).repartition(files).write.mode("append").parquet(source)
         if k in (1, 2, 4):
-            pieces.follow(spark, source, "clip_id long, raga int, frame_idx long, cents double, n_frames long", decided, out, checkpoint, P, files_per_batch=1).awaitTermination()
+            pieces.follow(spark, source, "clip_id long, raga int, frame_idx long, cents double, n_frames long", decided, out, checkpoint, P, files_per_batch=files).awaitTermination()
     rows = spark.read.schema("clip_id long, final string, margin double, confidence_tier string").parquet(out)
     return rows.select("clip_id", "final", r("margin"), "confidence_tier")
 

@@ -46,6 +46,34 @@ def test_a_clip_that_stays_away_is_given_out_as_it_is(spark, tmp_path):
     assert sorted((r["clip_id"], r["counts"], r["seen"], r["whole"]) for r in found) == [(1, [1, 0, 0, 0], 1, False), (3, [1, 0, 0, 0], 1, True)]
 
 
+def test_python_is_called_by_bucket_not_by_clip(spark, tmp_path):
+    """Clips that share a bucket stay apart, also over restarts; a call takes all of a bucket's clips."""
+    met = spark.sparkContext.accumulator(0)
+    update = pieces._update
+
+    def counting(*a):
+        inner = update(*a)
+
+        def call(key, rows, state):
+            met.add(1)
+            yield from inner(key, rows, state)
+
+        return call
+
+    pieces._update = counting
+    try:
+        clips = range(400)
+        write(spark, f"{tmp_path}/in", [(c, c % 3, 10.0 + 300 * (c % 4), 2 + c % 2) for c in clips])
+        assert run(spark, tmp_path, buckets=3) == []
+        write(spark, f"{tmp_path}/in", [(c, c % 3, None if c % 5 else 1200.0, 2 + c % 2) for c in clips])
+        found = run(spark, tmp_path, buckets=3)
+    finally:
+        pieces._update = update
+    want = lambda c: [int(b == c % 4) + int(b == 3 and c % 5 == 0) for b in range(4)]
+    assert found == [(c, want(c), 2, True) for c in clips if c % 2 == 0]
+    assert 0 < met.value <= 12
+
+
 def test_histogram_of_whole_clips(spark):
     whole = spark.createDataFrame([(1, 0, [1, 0, 3, 0], 5, True), (2, 0, [0, 0, 0, 0], 2, True)], pieces.WHOLE)
     assert sorted((r["clip_id"], r["bin"], r["p"]) for r in pieces.histogram(whole).collect()) == [(1, 0, 0.25), (1, 2, 0.75)]
