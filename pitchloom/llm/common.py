@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when its query ends, and Python workers get texts in small batches.
+_TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Shuffle files of the queries that run inside go when each of them ends, not when the driver collects garbage."""
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+    """Shuffle files of the queries that run inside go when each of them ends, not when the driver collects garbage; batches for Python are bounded in bytes."""
+    before = {key: spark.conf.get(key, None) for key in _TIDY}
+    for key, value in _TIDY.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -87,6 +90,14 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small(spark: SparkSession, rows: list[tuple], kinds: dict[str, str]) -> DataFrame:
+    """A few rows of the driver's, with Arrow's types by column; Spark has them in the plan, and starts no Python workers for them."""
+    import pyarrow as pa
+
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(x, pa.type_for_alias(kind)) for x, kind in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Partitions for an explicit shuffle: what the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

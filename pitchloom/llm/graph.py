@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitchloom.llm import tokens
 from pitchloom.llm.common import discard, stored
 
 
@@ -48,7 +49,7 @@ def _within(edges: DataFrame) -> DataFrame:
         a, b = zip(*pairs) if pairs else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return edges.mapInArrow(run, "a long, b long")
+    return edges.mapInArrow(tokens.gives_back(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pitchloom.llm import shingles, tokens
-from pitchloom.llm.common import discard, stored
+from pitchloom.llm.common import discard, small, stored
 
 #: About so many labelled documents of each language are used for fitting.
 SAMPLE_PER_LANGUAGE = 3000
@@ -176,11 +176,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filter:
     if not languages:
         return Filter([], np.zeros((slices, SLOTS), np.uint64), np.zeros(0), 0)
     number = {name: k for k, name in enumerate(languages)}
-    share = spark.createDataFrame([(name, number[name], min(1.0, sample / n)) for name, n in sizes.items()], "lang string, l int, share double")
+    share = small(spark, [(name, number[name], min(1.0, sample / n)) for name, n in sizes.items()], {"lang": "string", "l": "int32", "share": "double"})
     chosen = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("text", "l")
 
     def run(batches):
-        tokens.forget()
         counts = _Counts()
         for batch in batches:
             for part in shingles.slices(batch, 0, SLICE):
@@ -192,11 +191,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Filter:
                             yield from counts.add(l, n, h[by == l])
         yield counts.take()
 
-    counts = chosen.mapInArrow(run, "l int, n int, h long, c long").groupBy("l", "n", "h").agg(F.sum("c").alias("c"))
+    counts = chosen.mapInArrow(tokens.gives_back(run), "l int, n int, h long, c long").groupBy("l", "n", "h").agg(F.sum("c").alias("c"))
     counts = stored(counts, "ngrams")
     try:
         totals = {(r["l"], r["n"]): r["t"] for r in counts.groupBy("l", "n").agg(F.sum("c").alias("t")).collect()}
-        whole = spark.createDataFrame([(l, n, float(t)) for (l, n), t in totals.items()], "l int, n int, t double") if totals else None
+        whole = small(spark, [(l, n, float(t)) for (l, n), t in totals.items()], {"l": "int32", "n": "int32", "t": "double"}) if totals else None
         if whole is None:
             return Filter(languages, np.zeros((slices, SLOTS), np.uint64), np.zeros(len(languages)), 0)
         shares = counts.join(F.broadcast(whole), ["l", "n"]).select("l", "h", (F.col("c") / F.col("t")).alias("f")).where(F.col("f") >= LEAST_SHARE)
@@ -264,14 +263,13 @@ def predict(docs: DataFrame, filter_: Filter, into: tuple[str, str] = ("lang_pre
     def run(batches):
         import pyarrow as pa
 
-        tokens.forget()
         for batch in batches:
             for part in shingles.slices(batch, at, SLICE):
                 names, score = decide(shared.value, part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *into])
 
     schema = StructType([*plain.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
-    return plain.mapInArrow(run, schema)
+    return plain.mapInArrow(tokens.gives_back(run), schema)
 
 
 def with_letters(docs: DataFrame) -> DataFrame:
@@ -286,7 +284,7 @@ def with_letters(docs: DataFrame) -> DataFrame:
             for part in shingles.slices(batch, at, SLICE):
                 yield part.filter(pa.array([any(map(str.isalpha, (t or "").lower())) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema)
+    return plain.mapInArrow(tokens.gives_back(run), plain.schema)
 
 
 def held_out(docs: DataFrame):

@@ -81,7 +81,6 @@ def classes(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFram
     def run(batches):
         import pyarrow as pa
 
-        tokens.forget()
         table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in shingles.slices(batch, 1):
@@ -97,7 +96,7 @@ def classes(docs: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFram
         used = np.flatnonzero(small.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([small[k].tobytes() for k in used], pa.binary())], ["doc_id", "c", "n", "chunk", "counts"])
 
-    both = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, c long, n long, chunk int, counts binary"), "classes")
+    both = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tokens.gives_back(run), "doc_id long, c long, n long, chunk int, counts binary"), "classes")
     rows = both.where("chunk is null").select("doc_id", "c", "n")
     return both, rows
 
@@ -120,7 +119,7 @@ def long_lists(table: DataFrame, shingles_in_all: int, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([np.packbits(sums[k] > bound).tobytes() for k in names], pa.binary())], ["chunk", "long"])
 
     out = np.zeros((1 << bits) // CHUNK * (CHUNK // 8), np.uint8).reshape(-1, CHUNK // 8)
-    parts = table.where("chunk is not null").select("chunk", "counts").repartition(partitions(table.sparkSession), "chunk").mapInArrow(run, "chunk int, long binary")
+    parts = table.where("chunk is not null").select("chunk", "counts").repartition(partitions(table.sparkSession), "chunk").mapInArrow(tokens.gives_back(run), "chunk int, long binary")
     for r in parts.collect():  # 2 ** bits / 8 bytes at most
         out[r["chunk"]] = np.frombuffer(r["long"], np.uint8)
     return np.unpackbits(out.ravel()).astype(bool)
@@ -133,7 +132,6 @@ def prefixes(docs: DataFrame, words: int, percent: int, bits: int, is_long: np.n
     def run(batches):
         import pyarrow as pa
 
-        tokens.forget()
         long_ = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in shingles.slices(batch, 0):
@@ -151,7 +149,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, bits: int, is_long: np.n
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ns)), pa.array(np.concatenate(ls))], ["h", "c", "n", "far"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long, n int, far boolean")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tokens.gives_back(run), "h long, c long, n int, far boolean")
 
 
 def least_hits(n, slack: float):
@@ -233,7 +231,7 @@ def merged(posted: DataFrame, percent: int) -> DataFrame:
         if rest is not None:
             yield from whole_lists(*rest)
 
-    return posted.repartition(2 * partitions(posted.sparkSession), "h").sortWithinPartitions("h", "c").mapInArrow(run, "a long, b long, n long, hits long")
+    return posted.repartition(2 * partitions(posted.sparkSession), "h").sortWithinPartitions("h", "c").mapInArrow(tokens.gives_back(run), "a long, b long, n long, hits long")
 
 
 def occurrences(lists: list[np.ndarray], least: int) -> dict[int, int]:
@@ -365,7 +363,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         if len(names) > 1:
             yield flush(names, sets_)
 
-    return sets.repartition(2 * partitions(sets.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return sets.repartition(2 * partitions(sets.sparkSession), "g").sortWithinPartitions("g").mapInArrow(tokens.gives_back(run), "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None = None, slack: float = 0.02, block: int = BLOCK) -> DataFrame:
@@ -415,9 +413,9 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, bits: int | None =
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], ["c", "s"])
 
     # Joined alike at every size: the texts are shuffled once, however few are needed.
-    whole = rows.join(needed.hint("merge"), "doc_id").select("text", "_c", "root", "blocks").mapInArrow(sets, "c long, root long, blocks int, s binary")
+    whole = rows.join(needed.hint("merge"), "doc_id").select("text", "_c", "root", "blocks").mapInArrow(tokens.gives_back(sets), "c long, root long, blocks int, s binary")
     # Classes of rows without an id have no key into the texts: they are joined by class.
-    alone = rows.where("doc_id is null").select("text").mapInArrow(classed, "c long, s binary").dropDuplicates(["c"])
+    alone = rows.where("doc_id is null").select("text").mapInArrow(tokens.gives_back(classed), "c long, s binary").dropDuplicates(["c"])
     whole = whole.unionByName(alone.join(needed.where("doc_id is null").select(F.col("_c").alias("c"), "root", "blocks"), "c").select("c", "root", "blocks", "s"))
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))

@@ -41,7 +41,6 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        import pandas as pd
         import pyarrow as pa
 
         encoder, step = tokens.library_encoder(vocabulary, "blank"), 4 * capacity
@@ -54,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
                 ids, *rest = zip(*rows) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, kind) for x, kind in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_text(docs).mapInArrow(run, PIECES)
+    return id_text(docs).mapInArrow(tokens.gives_back(run), PIECES)
 
 
 def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
@@ -232,7 +231,7 @@ def pack(cut: DataFrame, capacity: int = 2048, bins: int = 64, depth: int = 3) -
             at = np.searchsorted(key, n << 40 | rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first[at] + rank - (key[at] & ((1 << 40) - 1))), pa.array(offset[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(tokens.gives_back(run), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048) -> DataFrame:

@@ -23,7 +23,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchloom.llm import shingles
+from pitchloom.llm import shingles, tokens
 from pitchloom.llm.common import id_text
 
 REACH = 200
@@ -137,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = [[{"kind": k, "start": a, "end": b} for a, k, b in spans(t)] for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return id_text(docs).mapInArrow(tokens.gives_back(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def digests(scanned: DataFrame) -> DataFrame:
@@ -164,5 +164,5 @@ def redact(docs: DataFrame) -> DataFrame:
 
     plain = docs.withColumn("text", F.col("text").cast("string"))
     at = plain.columns.index("text")
-    out = plain.mapInArrow(run, plain.schema)
+    out = plain.mapInArrow(tokens.gives_back(run), plain.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchloom.llm import shingles, tokens
-from pitchloom.llm.common import discard, partitions, stored, unused
+from pitchloom.llm.common import discard, partitions, small, stored, unused
 
 WINDOW, SHORTEST = 13, 7
 #: One document in so many is looked at to tell which windows are frequent; the choice
@@ -98,7 +98,6 @@ def _listed(texts: DataFrame, length: int, level: int, before: int | None) -> Da
     def run(batches):
         import pyarrow as pa
 
-        tokens.forget()
         for batch in batches:
             for part in shingles.slices(batch, 1):
                 w = _Windows(part.column(1), length)
@@ -109,7 +108,7 @@ def _listed(texts: DataFrame, length: int, level: int, before: int | None) -> Da
                 owner, h = _pairs(owner, h)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(0).take(pa.array(owner))], ["h", "doc_id"])
 
-    return texts.mapInArrow(run, "h long, doc_id long")
+    return texts.mapInArrow(tokens.gives_back(run), "h long, doc_id long")
 
 
 def _later(rows: DataFrame, first_too: bool) -> DataFrame:
@@ -143,7 +142,7 @@ def _later(rows: DataFrame, first_too: bool) -> DataFrame:
             key, least, told = h[-1], first[-1], bool(any_[-1]) or not bool(fresh[-1])
             yield pa.RecordBatch.from_arrays([pa.array(out_h), pa.array(out_d)], ["h", "doc_id"])
 
-    return rows.mapInArrow(run, "h long, doc_id long")
+    return rows.mapInArrow(tokens.gives_back(run), "h long, doc_id long")
 
 
 def _decided(listed: DataFrame, last: bool) -> DataFrame:
@@ -157,7 +156,7 @@ def _decided(listed: DataFrame, last: bool) -> DataFrame:
     heavy = [r["h"] for r in seen.where(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(int(4 * parts / HEAVY_SHARE)).collect()]
     if not heavy:
         return _later(listed.repartition(parts, "h").sortWithinPartitions("h", "doc_id"), not last)
-    names = F.broadcast(spark.createDataFrame([(h,) for h in heavy], "h long"))
+    names = F.broadcast(small(spark, [(h,) for h in heavy], {"h": "int64"}))
     light = listed.join(names, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h", "doc_id")
     often = listed.join(names, "h")
     bounds = often.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
@@ -192,7 +191,7 @@ def _by_document(rows: DataFrame) -> DataFrame:
         if held:
             yield done()
 
-    return rows.repartition(partitions(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, hs binary")
+    return rows.repartition(partitions(rows.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(tokens.gives_back(run), "doc_id long, hs binary")
 
 
 def repeated(docs: DataFrame, length: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -273,7 +272,7 @@ def digests(docs: DataFrame, length: int = WINDOW, shortest: int = SHORTEST) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     marked, name = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, shortest)
-    return marked.select("doc_id", "text", name).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked.select("doc_id", "text", name).mapInArrow(tokens.gives_back(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -302,5 +301,5 @@ def without_repeats(docs: DataFrame, length: int = WINDOW, shortest: int = SHORT
                     texts = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([texts if k == at else part.column(k) for k in range(part.num_columns - 1)], names=part.schema.names[:-1])
 
-    out = marked.select(*[F.col(f"`{c}`") for c in plain.columns], name).mapInArrow(run, plain.schema)
+    out = marked.select(*[F.col(f"`{c}`") for c in plain.columns], name).mapInArrow(tokens.gives_back(run), plain.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -172,6 +172,22 @@ def trim() -> None:
         give(0)
 
 
+def gives_back(run: Callable) -> Callable:
+    """``run`` of a ``mapInArrow``, after which the worker keeps nothing of it.
+
+    An executor may have more workers than cores, and takes them by turns: each would keep
+    the most that any of its tasks needed.
+    """
+
+    def task(batches):
+        forget()
+        yield from run(batches)
+        forget()
+        trim()
+
+    return task
+
+
 def library_encoder(path: str, split_at: str, chunks: int = CHUNKS, pieces: int = PIECES) -> TextEncoder:
     """Ids by the tokenizers library: its model for pieces, all of it for the rest. One per worker."""
     if (path, split_at) not in _ENCODERS:
