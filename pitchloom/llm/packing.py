@@ -43,12 +43,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     def run(batches):
         import pyarrow as pa
 
-        encoder, step = tokens.library_encoder(vocabulary, "blank"), 4 * capacity
+        encoder, step = tokens.ColumnEncoder(tokens.library_encoder(vocabulary, "blank", tokens.COLUMN_CHUNKS)), 4 * capacity
         for batch in batches:
-            for part in shingles.slices(batch, 1):
+            for part in shingles.slices(batch, 1, tokens.WINDOW):
                 rows = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
-                    ids = encoder(text or b"") + end
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(part.column(1))):
+                    ids += end
                     rows += [(doc_id, k, at // 4, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
                 ids, *rest = zip(*rows) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, kind) for x, kind in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))], ["doc_id", "piece", "start", "length", "ids_crc32"])
